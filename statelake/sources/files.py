@@ -7,6 +7,9 @@ import re
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+# what Spark's binaryFile source delivers; a stream needs it spelled out
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def list_files(
     spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False, required: bool = False
