@@ -93,25 +93,32 @@ def _same_key(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Co
     return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
-def _delta_against_base(
+def _few_keys(recent: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The recent keys when they are measured to fit a broadcast; all of them if that is little, else the distinct."""
+    every = recent.select(*keys)
+    if fits(every):
+        return every
+    distinct = every.distinct()
+    return distinct if fits(distinct) else None
+
+
+def _against_base(
+    winners: DataFrame,
     base: DataFrame,
-    recent: DataFrame,
+    few: DataFrame | None,
     keys: Sequence[str],
     order: Sequence[str],
-    ties: Sequence[str],
-    few_keys: bool,
     null_safe: bool,
 ) -> DataFrame:
     """The recent winners that are new or strictly newer than the base row of their key.
 
-    With few recent keys these go to the base by broadcast first, so only the base rows they hit are shuffled.
+    Few recent keys go to the base by broadcast first, so only the base rows they hit are shuffled.
     """
     known = base.select(*keys, *order).alias("b")
-    if few_keys:
-        wanted = F.broadcast(recent.select(*keys).distinct().alias("w"))
-        known = known.join(wanted, _same_key("b", "w", keys, null_safe), "left_semi")
+    if few is not None:
+        known = known.join(F.broadcast(few.alias("w")), _same_key("b", "w", keys, null_safe), "left_semi")
     known = known.withColumn("_in_base", F.lit(True)).alias("b")
-    joined = lww(recent, keys, order, ties).alias("d").join(known, _same_key("d", "b", keys, null_safe), "left")
+    joined = winners.alias("d").join(known, _same_key("d", "b", keys, null_safe), "left")
     return joined.filter(F.col("b._in_base").isNull() | _newer("d", "b", order)).select("d.*")
 
 
@@ -121,15 +128,14 @@ def delta_winners(recent: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def live_count_as_written(
-    base: DataFrame,
-    recent: DataFrame,
-    keys: Sequence[str] = KEYS,
-    order: Sequence[str] = ORDER,
-    ties: Sequence[str] = TIES,
+    base: DataFrame, recent: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER
 ) -> DataFrame:
-    """Base keys plus newer or new recent keys. A key updated in the window counts twice by definition."""
-    few_keys = fits(recent.select(*keys).distinct())
-    delta = _delta_against_base(base, recent, keys, order, ties, few_keys, null_safe=False)
+    """Base keys plus newer or new recent keys. A key updated in the window counts twice by definition.
+
+    Which of two equal rows wins does not change the count, so the winners are a plain aggregation of the order.
+    """
+    newest = recent.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_order")).select(*keys, "_order.*")
+    delta = _against_base(newest, base, _few_keys(recent, keys), keys, order, null_safe=False)
     return base.select(*keys).unionAll(delta.select(*keys)).agg(F.count(F.lit(1)).alias("keys"))
 
 
@@ -145,8 +151,9 @@ def live_view(
     Few recent keys: they are broadcast, and the base is read without a shuffle. Many: both sides go into one
     ranking, which shuffles every base row once.
     """
-    if fits(recent.select(*keys).distinct()):
-        delta = _delta_against_base(base, recent, keys, order, ties, few_keys=True, null_safe=True)
+    few = _few_keys(recent, keys)
+    if few is not None:
+        delta = _against_base(lww(recent, keys, order, ties), base, few, keys, order, null_safe=True)
         # at most one row per recent key, so within the bound just measured
         replaced = F.broadcast(delta.select(*keys).alias("d"))
         kept = base.alias("b").join(replaced, _same_key("b", "d", keys, null_safe=True), "left_anti")
