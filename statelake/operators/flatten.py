@@ -53,20 +53,21 @@ FLATTENERS = {
 
 def flatten_contracts(documents: DataFrame) -> DataFrame:
     """(addr, key, value, class_hash, nonce) as decimal text; a pair is {key, value} or [key, value]."""
-    pairs = documents.select(F.explode("doc.contracts").alias("c")).filter("c is not null").select(
-        "c.address", "c.class_hash", "c.nonce", F.explode("c.storage").alias("pair")
+    contracts = documents.select(F.explode("doc.contracts").alias("c")).filter("c is not null")
+    pairs = contracts.select("c.address", "c.class_hash", "c.nonce", F.explode("c.storage").alias("json")).filter(
+        F.ltrim("json").rlike(r"^[\[{]")
     )
-    listed = F.from_json("pair", T.ArrayType(T.StringType()))
-    named = F.from_json("pair", schemas.STORAGE_PAIR)
-    is_list = F.ltrim("pair").startswith("[")
 
-    def part(place: int, name: str) -> Column:
-        return canonical_int(F.when(is_list, F.get(listed, F.lit(place))).otherwise(named[name])).alias(name)
+    def as_list(pair: Column) -> Column:
+        # each form is parsed once and then taken apart
+        named = F.transform(F.array(F.from_json(pair, schemas.STORAGE_PAIR)), lambda p: F.array(p["key"], p["value"]))
+        return F.when(F.ltrim(pair).startswith("["), F.from_json(pair, T.ArrayType(T.StringType()))).otherwise(named[0])
 
-    return pairs.select(
+    split = pairs.select("address", "class_hash", "nonce", F.explode(F.array(as_list(F.col("json")))).alias("pair"))
+    return split.select(
         canonical_int(F.coalesce("address", F.lit("0"))).alias("addr"),
-        part(0, "key"),
-        part(1, "value"),
+        canonical_int(F.get("pair", F.lit(0))).alias("key"),
+        canonical_int(F.get("pair", F.lit(1))).alias("value"),
         canonical_int(F.col("class_hash")).alias("class_hash"),
         canonical_int(F.col("nonce")).alias("nonce"),
     )

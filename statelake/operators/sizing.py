@@ -8,14 +8,23 @@ MAX_ROWS = 1_000_000
 MAX_BYTES = 64 << 20
 
 
-def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Count the rows and the text and binary bytes of `df`; one aggregation, two numbers reach the driver."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of the text and binary cells plus eight per cell; two numbers reach the driver."""
     width = F.lit(8 * len(df.columns))
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
-    return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    return seen["rows"], seen["bytes"] or 0
+
+
+def within(rows: int, volume: int) -> bool:
+    return rows <= MAX_ROWS and volume <= MAX_BYTES
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether `df`, measured now, is small enough to be broadcast."""
+    return within(*measure(df))
 
 
 def salted_left_join(df: DataFrame, lookup: DataFrame, on: str, salts: int = 16) -> DataFrame:

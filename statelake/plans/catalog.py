@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from statelake.functions import absolute_path, file_name
 from statelake.operators.sizing import salted_left_join
-from statelake.sources.files import list_files
+from statelake.sources.files import list_files, manifest_text
 
 # fixed values: kinds of a catalogue, and the extensions of the arrow kind
 KINDS = ("arrow", "parquet", "files", "urls")
@@ -29,6 +29,21 @@ def build_catalog(spark: SparkSession, root: str, include_parquet: bool = False)
     return list_files(spark, root, recursive=True).select(kind.alias("kind"), relative.alias("path")).filter("kind is not null")
 
 
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A JSON manifest as catalogue (kind, path, ord) and segments (file, path, url, ord)."""
+    lists = T.StructType([T.StructField(kind, T.ArrayType(T.StringType())) for kind in KINDS])
+    entries = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("file", "path", "url")]))
+    schema = T.StructType([*lists.fields, T.StructField("segments", entries)])
+    manifest = manifest_text(spark, path).select(F.from_json("value", schema).alias("m"))
+    by_kind = F.create_map(*[part for kind in KINDS for part in (F.lit(kind), F.col(f"m.{kind}"))])
+    paths = manifest.select(F.explode(by_kind).alias("kind", "paths")).select("kind", F.posexplode("paths").alias("ord", "path"))
+    segments = manifest.select(F.posexplode("m.segments").alias("ord", "s")).filter("s is not null")
+    return (
+        paths.filter("path is not null").select("kind", "path", F.col("ord").cast("long").alias("ord")),
+        segments.select("s.*", F.col("ord").cast("long").alias("ord")),
+    )
+
+
 def merge_catalogs(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Union per kind, first occurrence wins, local entries before remote ones, order kept.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from statelake import schemas
 from statelake.sources.arrow_ipc import read_arrow
+from statelake.sources.files import exists, manifest_text
 
 VIEW = "state"
 
@@ -53,16 +53,12 @@ def read_table_catalog(spark: SparkSession, roots: list[str], name: str = "_tabl
     """(kind, path, ord) from the JSON catalogue {table: [file, ...]} of the first readable root."""
     listed = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
     for root in roots:
-        try:
-            text = spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        tables = text.select(F.explode(F.from_json("value", listed)).alias("kind", "paths"))
-        return tables.select("kind", F.posexplode("paths").alias("ord", "path")).filter("path is not null").select(
-            "kind", "path", F.col("ord").cast("long").alias("ord")
-        )
+        path = f"{root.rstrip('/')}/{name}"
+        if exists(path):
+            tables = manifest_text(spark, path).select(F.explode(F.from_json("value", listed)).alias("kind", "paths"))
+            return tables.select("kind", F.posexplode("paths").alias("ord", "path")).filter("path is not null").select(
+                "kind", "path", F.col("ord").cast("long").alias("ord")
+            )
     raise FileNotFoundError(f"{name} in none of {roots}")
 
 

@@ -7,7 +7,9 @@ readable, and no folder that may be in use is overwritten. One writer at a time:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,14 +18,28 @@ from statelake import schemas
 from statelake.operators.lww import KEYS, ORDER, TIES, live_view, lww
 from statelake.sinks.tables import write_table
 
-_PARTS = T.StructType([
-    T.StructField("kind", T.StringType()),
-    T.StructField("bucket", T.IntegerType()),
-    T.StructField("data", T.LongType()),
-    T.StructField("tag", T.StringType()),
+# one row per version: the folders that make it up, and the last batch merged from every named source
+_MANIFEST = T.StructType([
+    T.StructField("parts", T.ArrayType(T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.LongType()),
+    ]))),
+    T.StructField("sources", T.MapType(T.StringType(), T.LongType())),
 ])
 
 
+@dataclass(frozen=True)
+class _Version:
+    number: int = 0
+    parts: tuple[tuple[str, int, int], ...] = ()
+    sources: dict[str, int] = field(default_factory=dict)
+
+    def folders(self, kind: str, buckets: set[int] | None = None) -> list[str]:
+        return [f"v={data}/bucket={b}" for k, b, data in self.parts if k == kind and (buckets is None or b in buckets)]
+
+    def has(self, source: str | None, batch: int | None) -> bool:
+        return source is not None and batch <= self.sources.get(source, -1)
+
+
 class SnapshotStore:
     """Snapshots of one keyed table."""
 
@@ -40,118 +56,91 @@ class SnapshotStore:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.keys, self.order, self.ties, self.buckets = tuple(keys), tuple(order), tuple(ties), buckets
 
-    # -- versions ---------------------------------------------------------------------------------------------------
-
-    def _versions(self) -> DataFrame:
-        schema = T.StructType([*_PARTS.fields, T.StructField("v", T.LongType())])
+    def _version(self, number: int | None = None) -> _Version:
+        """A published version, by default the newest."""
+        schema = T.StructType([*_MANIFEST.fields, T.StructField("v", T.LongType())])
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/versions")
+            versions = self.spark.read.schema(schema).parquet(f"{self.root}/versions")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            versions = self.spark.createDataFrame([], schema)
+        if number is not None:
+            versions = versions.filter(F.col("v") == number)
+        found = versions.agg(F.max_by(F.struct("v", "parts", "sources"), "v").alias("m")).first()["m"]
+        if found is None:
+            if number is not None:
+                raise ValueError(f"there is no version {number}")
+            return _Version()
+        return _Version(found["v"], tuple(tuple(p) for p in found["parts"]), found["sources"])
 
     def version(self) -> int | None:
-        """The newest published version."""
-        return self._versions().agg(F.max("v")).first()[0]
-
-    def has_tag(self, tag: str) -> bool:
-        """Whether some version was published with this tag."""
-        return not self._versions().filter(F.col("tag") == tag).isEmpty()
-
-    def _parts(self, version: int) -> list[tuple[str, int, int]]:
-        # at most one row per bucket for the base, and one per delta since the last compaction
-        rows = self._versions().filter(F.col("v") == version).select("kind", "bucket", "data").collect()
-        return [tuple(row) for row in rows if row["kind"] != "none"]
+        """Number of the newest published version."""
+        return self._version().number or None
 
-    def _publish(self, version: int, parts: list[tuple[str, int, int]], tag: str | None) -> int:
-        rows = [(*part, tag) for part in parts] or [("none", None, None, tag)]
-        self.spark.createDataFrame(rows, _PARTS).coalesce(1).write.mode("errorifexists").parquet(
-            f"{self.root}/versions/v={version}"
-        )
-        return version
-
-    # -- data -------------------------------------------------------------------------------------------------------
+    def _publish(self, before: _Version, parts: list[tuple[str, int, int]], source: str | None, batch: int | None) -> int:
+        number = before.number + 1
+        sources = before.sources if source is None else {**before.sources, source: batch}
+        row = self.spark.createDataFrame([(parts, sources)], _MANIFEST)
+        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/versions/v={number}")
+        return number
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def _write(self, df: DataFrame, version: int) -> list[int]:
-        """Write rows as data folder `version`, return its buckets. A leftover of a failed writer is replaced."""
-        where = f"{self.root}/data/v={version}"
+    def _write(self, df: DataFrame, number: int, kind: str) -> list[tuple[str, int, int]]:
+        """Write rows as data folder `number` and list its buckets. A leftover of a failed writer is replaced."""
+        where = f"{self.root}/data/v={number}"
         write_table(self._bucketed(df), where, ("bucket",), mode="overwrite")
-        try:
-            written = self.spark.read.parquet(where)
-        except AnalysisException as error:  # nothing but an empty folder
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-                raise
-            return []
-        if "bucket" not in written.columns:
-            return []
-        return [row["bucket"] for row in written.select("bucket").distinct().collect()]
+        written = self.spark.read.schema(self.schema).option("pathGlobFilter", "*.parquet").parquet(where).inputFiles()
+        buckets = {int(found.group(1)) for name in written if (found := re.search(r"/bucket=(\d+)/", name))}
+        return [(kind, bucket, number) for bucket in sorted(buckets)]
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
-
-    def _base(self, parts: list[tuple[str, int, int]], buckets: set[int] | None = None) -> DataFrame:
-        return self._read([
-            f"{self.root}/data/v={data}/bucket={bucket}"
-            for kind, bucket, data in parts
-            if kind == "base" and (buckets is None or bucket in buckets)
-        ])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/{folder}" for folder in folders])
 
-    def _deltas(self, parts: list[tuple[str, int, int]]) -> DataFrame | None:
-        folders = [f"{self.root}/data/v={data}/bucket={bucket}" for kind, bucket, data in parts if kind == "delta"]
-        return self._read(folders) if folders else None
-
-    # -- operations -------------------------------------------------------------------------------------------------
-
-    def replace(self, rows: DataFrame, tag: str | None = None) -> int:
+    def replace(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
         """Compact `rows` and publish them as a whole new base."""
-        version = (self.version() or 0) + 1
-        written = self._write(lww(rows, self.keys, self.order, self.ties), version)
-        return self._publish(version, [("base", b, version) for b in written], tag)
+        before = self._version()
+        base = lww(rows.select(*self.schema.names), self.keys, self.order, self.ties)
+        return self._publish(before, self._write(base, before.number + 1, "base"), source, batch)
 
-    def upsert(self, batch: DataFrame, tag: str | None = None) -> int:
-        """Merge a batch into the base and rewrite only the buckets it touches; the older row stays on a tie.
+    def upsert(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
+        """Merge rows into the base and rewrite only the buckets they touch; the older row stays on a tie.
 
-        Published with a tag, the same batch can be offered again without effect.
+        With a source and a batch number, a batch that is not newer than the last of its source has no effect.
         """
-        if tag is not None and self.has_tag(tag):
-            return self.version()
-        current = self.version()
-        parts = self._parts(current) if current else []
-        version = (current or 0) + 1
-        buckets = {r["bucket"] for r in self._bucketed(batch.select(*self.keys)).select("bucket").distinct().collect()}
-        base = self._base(parts, buckets).withColumn("_base", F.lit(1))
-        both = base.unionByName(batch.select(*self.schema.names).withColumn("_base", F.lit(0)))
+        before = self._version()
+        if before.has(source, batch):
+            return before.number
+        touched = self._bucketed(rows.select(*self.keys)).select("bucket").distinct()
+        buckets = {row["bucket"] for row in touched.collect()}  # at most one number per bucket
+        base = self._read(before.folders("base", buckets)).withColumn("_base", F.lit(1))
+        both = base.unionByName(rows.select(*self.schema.names).withColumn("_base", F.lit(0)))
         merged = lww(both, self.keys, self.order, ("_base", *self.ties)).drop("_base")
-        written = self._write(merged, version)
-        kept = [part for part in parts if part[0] == "delta" or part[1] not in buckets]
-        return self._publish(version, kept + [("base", b, version) for b in written], tag)
-
-    def append_delta(self, batch: DataFrame, tag: str | None = None) -> int:
-        """Add a batch without touching the base; readers merge it. The cost grows with the batch alone."""
-        if tag is not None and self.has_tag(tag):
-            return self.version()
-        current = self.version()
-        parts = self._parts(current) if current else []
-        version = (current or 0) + 1
-        written = self._write(lww(batch.select(*self.schema.names), self.keys, self.order, self.ties), version)
-        return self._publish(version, parts + [("delta", b, version) for b in written], tag)
+        kept = [part for part in before.parts if part[0] == "delta" or part[1] not in buckets]
+        return self._publish(before, kept + self._write(merged, before.number + 1, "base"), source, batch)
+
+    def append_delta(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
+        """Add rows without touching the base; readers merge them. The cost grows with the batch alone."""
+        before = self._version()
+        if before.has(source, batch):
+            return before.number
+        winners = lww(rows.select(*self.schema.names), self.keys, self.order, self.ties)
+        parts = [*before.parts, *self._write(winners, before.number + 1, "delta")]
+        return self._publish(before, parts, source, batch)
 
     def compact(self) -> int:
         """Fold all deltas into the base."""
-        current = self.version()
-        version = (current or 0) + 1
-        written = self._write(self.read(current), version)
-        return self._publish(version, [("base", b, version) for b in written], None)
+        before = self._version()
+        return self._publish(before, self._write(self._live(before), before.number + 1, "base"), None, None)
+
+    def _live(self, version: _Version) -> DataFrame:
+        base, deltas = self._read(version.folders("base")), version.folders("delta")
+        return live_view(base, self._read(deltas), self.keys, self.order, self.ties) if deltas else base
 
     def read(self, version: int | None = None) -> DataFrame:
         """One row per key of a version, by default the newest."""
-        wanted = self.version() if version is None else version
-        parts = self._parts(wanted) if wanted else []
-        base, deltas = self._base(parts), self._deltas(parts)
-        return base if deltas is None else live_view(base, deltas, self.keys, self.order, self.ties)
+        return self._live(self._version(version))

@@ -15,27 +15,27 @@ def _trimmed(column: Column) -> Column:
     return F.btrim(column, F.lit(_BLANK))
 
 
-def _is_object(text: Column) -> Column:
-    return text.startswith("{") & text.endswith("}") & F.try_parse_json(text).isNotNull()
+def _own_object(line: Column) -> Column:
+    """A line from { to }. When all lines of a text are so, each is a document of its own: a closing brace, a line
+    break and an opening brace never follow each other inside one JSON document."""
+    return line.startswith("{") & line.endswith("}")
 
 
 def _parsed(text: Column, schema: T.StructType) -> Column:
-    """The document as a struct; text that is not JSON stops the job, a field of another type becomes null."""
-    bad = F.raise_error(F.concat(F.lit("not a JSON document: "), F.substring(text, 1, 80)))
-    return F.from_json(F.when(F.try_parse_json(text).isNotNull(), text).otherwise(bad), schema)
+    """The document as a struct; text that is not such a document stops the job."""
+    return F.from_json(text, schema, {"mode": "FAILFAST"})
 
 
 def documents_in(texts: DataFrame, schema: T.StructType) -> DataFrame:
     """(src, text) with one whole file per row -> (src, doc) with one object per row."""
     body = texts.select("src", _trimmed(F.col("text")).alias("text")).filter("text <> ''")
-    lines = F.filter(F.transform(F.split("text", "\r?\n|\r"), _trimmed), lambda line: line != "")
-    several = F.forall(lines, _is_object) | ~F.substring("text", 1, 1).isin("{", "[")
+    lines = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda line: line != "")
+    listed = F.from_json("text", T.ArrayType(T.StringType()), {"mode": "FAILFAST"})
     parts = (
-        F.when(F.col("text").startswith("["), F.filter(
-            F.from_json("text", T.ArrayType(T.StringType()), {"mode": "FAILFAST"}),
-            lambda item: _trimmed(item).startswith("{"),
-        ))
-        .when(several, lines)
+        F.when(F.col("text").startswith("["), F.filter(listed, lambda item: _trimmed(item).startswith("{")))
+        .when(~F.col("text").startswith("{"), lines)
+        .when(F.instr("text", "\n") == 0, F.array("text"))
+        .when(F.forall(lines, _own_object), lines)
         .otherwise(F.array("text"))
     )
     return body.select("src", F.explode(parts).alias("text")).select("src", _parsed(F.col("text"), schema).alias("doc"))
@@ -53,7 +53,7 @@ def _by_shape(lines: DataFrame) -> tuple[list[str], list[str]]:
     """
     line = _trimmed(F.col("value"))
     shapes = lines.groupBy("path").agg(
-        F.bool_and((line == "") | _is_object(line)).alias("by_line"), F.bool_or(line != "").alias("filled")
+        F.bool_and((line == "") | _own_object(line)).alias("by_line"), F.bool_or(line != "").alias("filled")
     )
     found: tuple[list[str], list[str]] = ([], [])
     for row in shapes.filter("filled").toLocalIterator():

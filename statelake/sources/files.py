@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,20 @@ def open_for_write(path: str):
     system, name = _resolve(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(name, compression=None)
+
+
+def exists(path: str) -> bool:
+    system, name = _resolve(path)
+    return system.get_file_info(name).type == pafs.FileType.File
+
+
+def _whole_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            with open_for_read(path) as stream:
+                yield pa.record_batch([pa.array([stream.read().decode("utf-8")])], names=["value"])
+
+
+def manifest_text(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the text of one manifest file. Spark's own readers hide names that start with an underscore."""
+    return spark.createDataFrame([(path,)], "path string").mapInArrow(_whole_text, "value string")

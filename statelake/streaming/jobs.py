@@ -73,12 +73,12 @@ def read_updates(spark: SparkSession, out: str, keys: Sequence[str] = KEYS) -> D
 def upsert_into(state: DataFrame, store: SnapshotStore, checkpoint: str, name: str, as_delta: bool = False) -> StreamingQuery:
     """Every batch becomes a snapshot version, rewritten buckets or (as_delta) an appended delta.
 
-    The batch number is the version's tag, so a batch that is repeated after a failure changes nothing.
+    Snapshots remember the last batch of every stream, so a batch that is repeated after a failure changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        (store.append_delta if as_delta else store.upsert)(held, tag=f"{name}:{number}")
+        (store.append_delta if as_delta else store.upsert)(held, source=name, batch=number)
         held.unpersist()
 
     return (

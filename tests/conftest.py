@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
 
     session = get_session(
         "tests", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="4g",
+        spark_sql_maxMetadataStringLength="2000",
         spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")),
         spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
     )
