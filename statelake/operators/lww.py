@@ -14,6 +14,7 @@ KEYS = ("key",)
 ORDER = ("timestamp", "blob_index", "position")
 # rows that agree in the whole order still need one fixed winner
 TIES = ("tx_hash", "value")
+SECONDS_PER_DAY = 86_400
 # recent rows per broadcast bound up to which their distinct keys are counted too
 DISTINCT_FACTOR = 4
 
@@ -57,8 +58,17 @@ def between(
     max_timestamp: int | None = None,
     min_blob_index: int | None = None,
     max_blob_index: int | None = None,
+    day_column: str | None = None,
 ) -> DataFrame:
-    """Rows inside the given bounds, all inclusive; without bounds all rows."""
+    """Rows inside the given bounds, all inclusive; without bounds all rows.
+
+    `day_column` names a column that holds the day number of the timestamp; where it is a partition column, time
+    bounds then skip whole folders.
+    """
+    if day_column is not None:
+        days = [None if t is None else t // SECONDS_PER_DAY for t in (min_timestamp, max_timestamp)]
+        df = df if days[0] is None else df.filter(F.col(day_column) >= days[0])
+        df = df if days[1] is None else df.filter(F.col(day_column) <= days[1])
     for column, low, high in (
         ("timestamp", min_timestamp, max_timestamp),
         ("blob_index", min_blob_index, max_blob_index),
@@ -70,16 +80,21 @@ def between(
     return df
 
 
-def lww_between(df: DataFrame, *, keys: Sequence[str] = KEYS, **bounds: int | None) -> DataFrame:
-    """L2: compaction of the rows inside the bounds; the filter stays below the ranking and reaches the scan."""
+def lww_between(df: DataFrame, *, keys: Sequence[str] = KEYS, **bounds: int | str | None) -> DataFrame:
+    """L2: compaction of the rows inside the bounds of `between`; the filter stays below the ranking and reaches the
+    scan."""
     return lww(between(df, **bounds), keys)
 
 
 def as_of(
-    df: DataFrame, blob_index: int | None = None, timestamp: int | None = None, keys: Sequence[str] = KEYS
+    df: DataFrame,
+    blob_index: int | None = None,
+    timestamp: int | None = None,
+    keys: Sequence[str] = KEYS,
+    day_column: str | None = None,
 ) -> DataFrame:
     """L3: the state as it was at a blob or at a time."""
-    return lww_between(df, keys=keys, max_blob_index=blob_index, max_timestamp=timestamp)
+    return lww_between(df, keys=keys, max_blob_index=blob_index, max_timestamp=timestamp, day_column=day_column)
 
 
 def split_window(df: DataFrame, last: int, window: int) -> tuple[DataFrame, DataFrame] | None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from statelake.functions import absolute_path, file_name
-from statelake.operators.sizing import salted_left_join
+from statelake.operators.sizing import fits, salted_left_join
 from statelake.sources.files import list_files, manifest_text
 
 # fixed values: kinds of a catalogue, and the extensions of the arrow kind
@@ -24,8 +26,8 @@ def build_catalog(spark: SparkSession, root: str, include_parquet: bool = False)
     kind = F.when(arrow, "arrow")
     if include_parquet:
         kind = kind.when(name.endswith(".parquet"), "parquet")
-    tail = root.rstrip("/").rsplit("/", 1)[-1]
-    relative = F.regexp_replace("path", r"^.*?\Q/" + tail + r"/\E", "")
+    below = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/")
+    relative = F.regexp_replace("path", r"^.*?\Q" + below + r"/\E", "")
     return list_files(spark, root, recursive=True).select(kind.alias("kind"), relative.alias("path")).filter("kind is not null")
 
 
@@ -49,9 +51,8 @@ def merge_catalogs(local: DataFrame, remote: DataFrame) -> DataFrame:
 
     Copies collapse before the shuffle. The new `ord` moves remote entries behind all local ones of their kind.
     """
-    # one row per kind, and the kinds are a fixed set
     ends = local.groupBy("kind").agg((F.max("ord") + 1).alias("_from"))
-    moved = remote.join(F.broadcast(ends), "kind", "left").select(
+    moved = remote.join(F.broadcast(ends) if fits(ends) else ends, "kind", "left").select(
         "kind", "path", (F.col("ord") + F.coalesce("_from", F.lit(0))).alias("ord")
     )
     both = local.select("kind", "path", "ord").unionAll(moved).filter("path is not null")

@@ -194,7 +194,7 @@ def blob_file_report(spark, root):
 @query
 def blob_words(spark, root):
     """A blob per supplier, made of 4,096 hashes; words of both byte orders."""
-    blobs = X.table(spark, root, "supplier").selectExpr(
+    blobs = X.spread(X.table(spark, root, "supplier"), "s_suppkey").selectExpr(
         "concat('s', s_suppkey) as path",
         "unhex(array_join(transform(sequence(0, 4095), i -> sha2(concat(s_suppkey, '-', i), 256)), '')) as content",
     )
@@ -291,7 +291,7 @@ def path_functions(spark, root):
 
 def _diff_texts(spark: SparkSession, root: str) -> DataFrame:
     """A document per line item: two storage entries, none for line 7, with raw hex in mixed case."""
-    return X.table(spark, root, "lineitem").selectExpr(
+    return X.spread(X.table(spark, root, "lineitem"), "l_orderkey").selectExpr(
         "'lineitem' as src",
         "to_json(named_struct('storage_diffs', array(named_struct('address', concat('0x00', hex(l_suppkey)), "
         "'storage_entries', if(l_linenumber = 7, null, array("
@@ -337,7 +337,7 @@ def flatten_deployed(spark, root):
 
 @query
 def flatten_contracts(spark, root):
-    texts = X.table(spark, root, "orders").selectExpr(
+    texts = X.spread(X.table(spark, root, "orders"), "o_orderkey").selectExpr(
         "'orders' as src",
         "concat('{\"contracts\": [{\"address\": ', o_custkey, if(o_orderkey % 2 = 0, ', \"nonce\": 7', ''), "
         "if(o_orderkey % 3 = 0, concat(', \"class_hash\": \"00', o_orderkey, '\"'), ''), "

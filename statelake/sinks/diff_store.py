@@ -17,10 +17,10 @@ _BATCH = T.StructField("batch", T.LongType())
 
 
 class DiffStore:
-    """Tables below tables/<name>/batch=<n>/, ledger below ledger/batch=<n>/.
+    """Tables below tables/<name>/batch=<n>/, ledger below ledger/batch=<n>/, one mark per batch below published/.
 
-    The ledger is written last. Batches without a ledger entry do not count, so the four tables of a batch become
-    visible together, and the rest of a failed run is overwritten by the next.
+    The mark is written last and is one small file. Batches without a mark do not count, so the four tables and the
+    ledger of a batch become visible together, and the rest of a failed run is overwritten by the next.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -36,13 +36,12 @@ class DiffStore:
 
     def ledger(self) -> DataFrame:
         """(name, sha1, written, batch); `written` counts the rows of all four tables."""
-        return self._load(f"{self.root}/ledger", T.StructType([*schemas.FILE_LEDGER.fields, _BATCH]))
+        return self._visible(self._load(f"{self.root}/ledger", T.StructType([*schemas.FILE_LEDGER.fields, _BATCH])))
 
-    def ingest(self, source: str, force: bool = False, max_records_per_file: int = 0) -> int:
-        """Read the new or changed files of a folder; returns how many there were."""
-        known = self.ledger()
-        fresh = new_files(file_digests(self.spark, source, GLOB), known, force)
-        batch = (known.agg(F.max("batch")).first()[0] or 0) + 1
+    def ingest(self, source: str, force: bool = False, max_records_per_file: int = 0, layout: str = "auto") -> int:
+        """Read the new or changed files of a folder; returns how many there were. `layout` as in read_documents."""
+        fresh = new_files(file_digests(self.spark, source, GLOB), self.ledger(), force)
+        batch = max(self._published(), default=0) + 1
         listing = f"{self.root}/pending/batch={batch}"
         fresh.write.mode("overwrite").parquet(listing)
         pending = self.spark.read.schema("path string, name string, sha1 string").parquet(listing)
@@ -52,7 +51,7 @@ class DiffStore:
             return 0
         # parsed once; each table then reads only its own nested column
         parsed = f"{self.root}/parsed/batch={batch}"
-        documents = read_documents(self.spark, paths, schemas.DIFF_DOCUMENT)
+        documents = read_documents(self.spark, paths, schemas.DIFF_DOCUMENT, layout)
         write_table(documents, parsed, mode="overwrite")
         documents = self.spark.read.schema(documents.schema).parquet(parsed)
         for name, flatten in FLATTENERS.items():
@@ -66,7 +65,9 @@ class DiffStore:
         entries = pending.join(written, "name", "left").select(
             "name", "sha1", F.coalesce("written", F.lit(0).cast("long")).alias("written")
         )
-        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/batch={batch}")
+        entries.write.mode("overwrite").parquet(f"{self.root}/ledger/batch={batch}")
+        mark = self.spark.createDataFrame([(len(paths),)], "files long").coalesce(1)
+        mark.write.mode("overwrite").parquet(f"{self.root}/published/batch={batch}")
         return len(paths)
 
     def _batches(self, table: str) -> DataFrame:
@@ -74,11 +75,15 @@ class DiffStore:
 
     def _published(self) -> list[int]:
         # one number per ingest run
-        return [row["batch"] for row in self.ledger().select("batch").distinct().collect()]
+        marks = self._load(f"{self.root}/published", T.StructType([T.StructField("files", T.LongType()), _BATCH]))
+        return [row["batch"] for row in marks.select("batch").distinct().collect()]
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("batch").isin(self._published()))
 
     def read(self, table: str, replace_by_src: bool = False) -> DataFrame:
         """Rows of all published batches, or with `replace_by_src` only those of each file's newest version."""
-        rows = self._batches(table).filter(F.col("batch").isin(self._published()))
+        rows = self._visible(self._batches(table))
         if replace_by_src:
             newest = self.ledger().groupBy("name").agg(F.max("batch").alias("newest"))
             old = self.ledger().join(newest, "name").filter("batch < newest").select(F.col("name").alias("src"), "batch")

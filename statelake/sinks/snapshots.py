@@ -1,7 +1,7 @@
 """Versioned key-bucketed snapshots (K3, L8) with base and delta parts.
 
-Layout below the root: data/v=<n>/bucket=<b>/ holds rows, versions/v=<n>/ one small file that lists which data folders
-make up version n. A version exists once its list is written, so readers never see half of one, old versions stay
+Layout below the root: data/v=<n>/ holds rows (a base below bucket=<b>/), versions/v=<n>/ one small file that lists
+which data folders make up version n. A version exists once its list is written, so readers never see half of one, old versions stay
 readable, and no folder that may be in use is overwritten. One writer at a time: a second one fails on the list.
 """
 
@@ -30,11 +30,12 @@ _MANIFEST = T.StructType([
 @dataclass(frozen=True)
 class _Version:
     number: int = 0
-    parts: tuple[tuple[str, int, int], ...] = ()
+    parts: tuple[tuple[str, int | None, int], ...] = ()
     sources: dict[str, int] = field(default_factory=dict)
 
     def folders(self, kind: str, buckets: set[int] | None = None) -> list[str]:
-        return [f"v={data}/bucket={b}" for k, b, data in self.parts if k == kind and (buckets is None or b in buckets)]
+        chosen = [p for p in self.parts if p[0] == kind and (buckets is None or p[1] in buckets)]
+        return [f"v={data}" if bucket is None else f"v={data}/bucket={bucket}" for _, bucket, data in chosen]
 
     def has(self, source: str | None, batch: int | None) -> bool:
         return source is not None and batch <= self.sources.get(source, -1)
@@ -88,13 +89,13 @@ class SnapshotStore:
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def _write(self, df: DataFrame, number: int, kind: str) -> list[tuple[str, int, int]]:
+    def _write_base(self, df: DataFrame, number: int) -> list[tuple[str, int, int]]:
         """Write rows as data folder `number` and list its buckets. A leftover of a failed writer is replaced."""
         where = f"{self.root}/data/v={number}"
         write_table(self._bucketed(df), where, ("bucket",), mode="overwrite")
         written = self.spark.read.schema(self.schema).option("pathGlobFilter", "*.parquet").parquet(where).inputFiles()
         buckets = {int(found.group(1)) for name in written if (found := re.search(r"/bucket=(\d+)/", name))}
-        return [(kind, bucket, number) for bucket in sorted(buckets)]
+        return [("base", bucket, number) for bucket in sorted(buckets)]
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -105,7 +106,7 @@ class SnapshotStore:
         """Compact `rows` and publish them as a whole new base."""
         before = self._version()
         base = lww(rows.select(*self.schema.names), self.keys, self.order, self.ties)
-        return self._publish(before, self._write(base, before.number + 1, "base"), source, batch)
+        return self._publish(before, self._write_base(base, before.number + 1), source, batch)
 
     def upsert(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
         """Merge rows into the base and rewrite only the buckets they touch; the older row stays on a tie.
@@ -121,7 +122,7 @@ class SnapshotStore:
         both = base.unionByName(rows.select(*self.schema.names).withColumn("_base", F.lit(0)))
         merged = lww(both, self.keys, self.order, ("_base", *self.ties)).drop("_base")
         kept = [part for part in before.parts if part[0] == "delta" or part[1] not in buckets]
-        return self._publish(before, kept + self._write(merged, before.number + 1, "base"), source, batch)
+        return self._publish(before, kept + self._write_base(merged, before.number + 1), source, batch)
 
     def append_delta(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
         """Add rows without touching the base; readers merge them. The cost grows with the batch alone."""
@@ -129,13 +130,14 @@ class SnapshotStore:
         if before.has(source, batch):
             return before.number
         winners = lww(rows.select(*self.schema.names), self.keys, self.order, self.ties)
-        parts = [*before.parts, *self._write(winners, before.number + 1, "delta")]
-        return self._publish(before, parts, source, batch)
+        number = before.number + 1
+        write_table(winners, f"{self.root}/data/v={number}", mode="overwrite")
+        return self._publish(before, [*before.parts, ("delta", None, number)], source, batch)
 
     def compact(self) -> int:
         """Fold all deltas into the base."""
         before = self._version()
-        return self._publish(before, self._write(self._live(before), before.number + 1, "base"), None, None)
+        return self._publish(before, self._write_base(self._live(before), before.number + 1), None, None)
 
     def _live(self, version: _Version) -> DataFrame:
         base, deltas = self._read(version.folders("base")), version.folders("delta")

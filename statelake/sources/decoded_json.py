@@ -61,18 +61,24 @@ def _by_shape(lines: DataFrame) -> tuple[list[str], list[str]]:
     return sorted(found[0]), sorted(found[1])
 
 
-def read_documents(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], schema: T.StructType, layout: str = "auto") -> DataFrame:
     """(src, doc) of all JSON files below `path`; `src` is the file name.
 
     Files of JSON lines, which may be very large, are read line by line and split between tasks. Only files that
-    hold one object or one array are read whole.
+    hold one object or one array are read whole. Telling them apart is a pass over the text, which a known layout
+    ("lines" or "whole" for all files) saves.
     """
+    if layout not in ("auto", "lines", "whole"):
+        raise ValueError(f"layout {layout!r} is not auto, lines or whole")
 
     def text(where: str | list[str], whole: bool) -> DataFrame:
         rows = spark.read.option("pathGlobFilter", GLOB).text(where, wholetext=whole)
         return rows.select("value", _plain(F.col("_metadata.file_path")).alias("path"))
 
-    by_line, whole = _by_shape(text(path, False))
+    if layout == "auto":
+        by_line, whole = _by_shape(text(path, False))
+    else:
+        by_line, whole = (path, None) if layout == "lines" else (None, path)
     src = file_name(F.col("path")).alias("src")
     found = spark.createDataFrame([], T.StructType([T.StructField("src", T.StringType()), T.StructField("doc", schema)]))
     if by_line:

@@ -13,8 +13,7 @@ WORDS = BLOB_BYTES // WORD_BYTES
 
 
 def _reversed_bytes(word: Column) -> Column:
-    pairs = F.regexp_extract_all(F.hex(word), F.lit("(..)"), F.lit(1))
-    return F.unhex(F.array_join(F.reverse(pairs), ""))
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(word), F.lit("(..)"), F.lit(1))), ""))
 
 
 def split_words(blobs: DataFrame, endian: str = "BE") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statelake import schemas
 from statelake.operators import lww as L, sizing
-from statelake.sinks.tables import save_bucketed
+from statelake.sinks.tables import save_bucketed, write_state
 
 TEXT = "type string, address string, key string, value string, tx_hash string, blob_index long, position long, timestamp long"
 
@@ -162,6 +162,17 @@ def test_bounds_reach_the_scan(stored):
     assert "LessThanOrEqual(blob_index,4)" in text and "GreaterThanOrEqual(timestamp,1)" in text
 
 
+def test_time_bounds_skip_folders(spark, stored, tmp_path):
+    state = stored.withColumn("timestamp", F.col("timestamp") * 100_000)
+    write_state(state, str(tmp_path / "lake"), 1)
+    lake = spark.read.schema(schemas.STATE_PARTITIONED).parquet(str(tmp_path / "lake"))
+    found = L.as_of(lake, timestamp=200_000, day_column="date").select(*schemas.STATE_COLUMNS)
+    assert found.exceptAll(L.as_of(state, timestamp=200_000)).count() == 0 and found.count() > 30
+    assert "PartitionFilters: [isnotnull(date" in plan(found) and "(date#" in plan(found)
+    low = L.lww_between(lake, min_timestamp=100_000, day_column="date")
+    assert low.select(*schemas.STATE_COLUMNS).exceptAll(L.lww_between(state, min_timestamp=100_000)).count() == 0
+
+
 def test_counting_reads_keys_only(stored):
     assert "ReadSchema: struct<key:binary>" in plan(L.key_count(stored))
 

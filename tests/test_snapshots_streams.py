@@ -58,7 +58,7 @@ def test_repeated_batch_and_leftovers(spark, tmp_path):
     assert store.upsert(one, "s", 0) == 1
     assert store.upsert(two, "s", 0) == 1 and store.append_delta(two, "s", 0) == 1
     # a writer died after its data and before its list: the next one replaces the data
-    store._write(two.withColumn("value", F.lit("dead")), 2, "base")
+    store._write_base(two.withColumn("value", F.lit("dead")), 2)
     assert store.read().count() == 1
     assert store.upsert(two, "other", 0) == 2
     assert {r["value"] for r in store.read().collect()} == {"2"}
