@@ -54,7 +54,7 @@ def compaction(spark) -> dict[str, float]:
     root, out = scratch_path(spark, "bench"), {}
     keys = generator.keyspace_for(PART_ROWS * PARTS, UPDATE_RATIO)
     state = generator.generate_state(spark, PART_ROWS, PARTS, keyspace=keys)
-    blob.write_blobs(state, f"{root}/blob", slices=1, rows_per_file=PART_ROWS)
+    blob.write_blobs(state, f"{root}/blob", rows_per_file=PART_ROWS)
     out["decode_all"] = timed(lambda: write_table(blob.read_blobs(spark, f"{root}/blob"), f"{root}/hot"))
     hot = spark.read.schema(schemas.STATE).parquet(f"{root}/hot")
     for window in WINDOWS:

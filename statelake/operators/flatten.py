@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from statelake import schemas
 from statelake.functions import canonical_int, is_surrogate, norm_hex
-from statelake.operators.sizing import salted_left_join
+from statelake.operators.sizing import fits, lookup_join
 
 
 def _rows(documents: DataFrame, field: str) -> DataFrame:
@@ -73,13 +73,15 @@ def flatten_contracts(documents: DataFrame) -> DataFrame:
     )
 
 
-def resolve_indexes(rows: DataFrame, index_map: DataFrame, columns: tuple[str, ...] = ("addr", "key"), salts: int = 16) -> DataFrame:
+def resolve_indexes(
+    rows: DataFrame, index_map: DataFrame, columns: tuple[str, ...] = ("addr", "key"), salts: int = 16
+) -> DataFrame:
     """Replace surrogates (2^127 and up) found in `index_map` (idx, val); literals and misses stay."""
     known = index_map.select(canonical_int(F.col("idx")).alias("_idx"), canonical_int(F.col("val")).alias("_val"))
     known = known.filter(is_surrogate(F.col("_idx"))).groupBy("_idx").agg(F.min("_val").alias("_val"))
-    names = rows.columns
+    names, small = rows.columns, fits(known)
     for column in columns:
         keyed = rows.withColumn("_idx", F.col(column))
-        found = salted_left_join(keyed, known, "_idx", salts)
+        found = lookup_join(keyed, known, "_idx", salts, small)
         rows = found.select(*[F.coalesce("_val", column).alias(column) if n == column else F.col(n) for n in names])
     return rows

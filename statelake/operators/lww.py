@@ -8,15 +8,13 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from statelake.operators.sizing import MAX_ROWS, fits, measure, within
+from statelake.operators.sizing import fits, measure, within
 
 KEYS = ("key",)
 ORDER = ("timestamp", "blob_index", "position")
 # rows that agree in the whole order still need one fixed winner
 TIES = ("tx_hash", "value")
 SECONDS_PER_DAY = 86_400
-# recent rows per broadcast bound up to which their distinct keys are counted too
-DISTINCT_FACTOR = 4
 
 
 def _latest_first(order: Sequence[str], ties: Sequence[str]) -> list[Column]:
@@ -113,16 +111,15 @@ def _same_key(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Co
 def _few_keys(recent: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The recent keys when they are measured to fit a broadcast; all of them if that is little, else the distinct.
 
-    Far beyond the bound the distinct keys are not counted, because few updates repeat a key that often.
+    One pass measures them and estimates the distinct; these are only counted where the estimate is promising.
     """
     every = recent.select(*keys)
-    rows, volume = measure(every)
+    rows, volume, distinct = measure(every)
     if within(rows, volume):
         return every
-    if rows > DISTINCT_FACTOR * MAX_ROWS:
+    if not within(distinct, 0):
         return None
-    distinct = every.distinct()
-    return distinct if fits(distinct) else None
+    return every.distinct() if fits(every.distinct()) else None
 
 
 def _against_base(

@@ -8,14 +8,17 @@ MAX_ROWS = 1_000_000
 MAX_BYTES = 64 << 20
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows, and bytes of the text and binary cells plus eight per cell; two numbers reach the driver."""
+def measure(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, bytes (text and binary cells plus eight per cell), estimated distinct rows; three numbers, one pass."""
     width = F.lit(8 * len(df.columns))
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
-    return seen["rows"], seen["bytes"] or 0
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    seen = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"), F.approx_count_distinct(row).alias("distinct")
+    ).first()
+    return seen["rows"], seen["bytes"] or 0, seen["distinct"]
 
 
 def within(rows: int, volume: int) -> bool:
@@ -24,15 +27,17 @@ def within(rows: int, volume: int) -> bool:
 
 def fits(df: DataFrame) -> bool:
     """Whether `df`, measured now, is small enough to be broadcast."""
-    return within(*measure(df))
+    return within(*measure(df)[:2])
 
 
-def salted_left_join(df: DataFrame, lookup: DataFrame, on: str, salts: int = 16) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, on: str, salts: int = 16, small: bool | None = None) -> DataFrame:
     """LEFT join against a lookup with one row per `on`, safe when one value of `on` holds much of `df`.
 
-    The rows of a value are spread by a hash of the whole row, so a retried task sends them the same way, and the
-    lookup is repeated once per salt. When the planner broadcasts a small lookup nothing is shuffled at all.
+    A lookup that is measured to be small is broadcast, and `df` is not shuffled. A larger one is repeated once per
+    salt, and the rows of a value are spread by a hash of the whole row, so a retried task sends them the same way.
     """
+    if fits(lookup) if small is None else small:
+        return df.join(F.broadcast(lookup), on, "left")
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return df.withColumn("_salt", spread).join(copies, [on, "_salt"], "left").drop("_salt")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from statelake.functions import absolute_path, file_name
-from statelake.operators.sizing import fits, salted_left_join
+from statelake.operators.sizing import fits, lookup_join
 from statelake.sources.files import list_files, manifest_text
 
 # fixed values: kinds of a catalogue, and the extensions of the arrow kind
@@ -98,7 +98,7 @@ def make_absolute(catalog: DataFrame, base: str) -> DataFrame:
 def remap_paths(catalog: DataFrame, mapping: DataFrame, salts: int = 16) -> DataFrame:
     """`mapping` (old, new) applied to paths; a path it does not know stays."""
     lookup = mapping.select(F.col("old").alias("path"), F.col("new").alias("_new"))
-    found = salted_left_join(catalog, lookup, "path", salts)
+    found = lookup_join(catalog, lookup, "path", salts)
     return found.select(*[F.coalesce("_new", "path").alias("path") if c == "path" else F.col(c) for c in catalog.columns])
 
 

@@ -115,6 +115,9 @@ WHERE blob_index BETWEEN 3 AND 20 GROUP BY blob_index""",
 WITH w AS (SELECT CAST(i AS INTEGER) AS position, sha256(s_suppkey || '-' || i) AS h FROM supplier, range(4096) AS r(i)),
 b AS (SELECT position, h, array_to_string([substr(h, CAST(63 - 2 * j AS BIGINT), 2) FOR j IN range(32)], '') AS r FROM w)
 SELECT position, '0x' || max(h) AS greatest, '0x' || max(r) AS greatest_le FROM b GROUP BY position""",
+    "word_state_last": """
+SELECT '0x' || sha256(s_suppkey || '-4095') AS value, CAST(1700000000 AS BIGINT) AS timestamp, s_suppkey AS blob_index,
+  CAST(4095 AS BIGINT) AS position FROM supplier ORDER BY s_suppkey DESC LIMIT 1""",
     "arrow_scan": f"SELECT {COLUMNS} FROM {ORDERS}",
     "partition_columns": f"""
 SELECT CAST(167001 AS BIGINT) AS chain_id, CAST(timestamp // 86400 AS INTEGER) AS date, type AS topic, count(*) AS rows,
@@ -168,6 +171,11 @@ SELECT CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN c_custk
     THEN CAST(c_custkey * 1000 AS VARCHAR) ELSE '9' || lpad(CAST(o_custkey AS VARCHAR), 39, '0') END AS addr,
   CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS value
 FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = o_custkey""",
+    "json_lines_write_read": """
+SELECT class_hash, nonce, count(*) AS n, max(key) AS key FROM (
+  SELECT CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS class_hash,
+    CASE WHEN o_orderkey % 2 = 0 THEN '7' END AS nonce, CAST(o_orderkey * f AS VARCHAR) AS key
+  FROM orders, (VALUES (1), (2)) AS t(f)) GROUP BY class_hash, nonce""",
     "diff_store_ingest": """
 SELECT c_mktsegment AS item, count(*) AS n FROM customer GROUP BY 1 UNION ALL
 SELECT CASE WHEN turn = 0 THEN '0x0' ELSE '0x' || lower(to_hex(turn)) END, count(*) FROM conversations GROUP BY 1""",

@@ -203,6 +203,18 @@ def blob_words(spark, root):
     return big.join(little, "position")
 
 
+@query
+def word_state_last(spark, root):
+    """The toy state of the words of all suppliers' blobs, and its one last row."""
+    blobs = X.spread(X.table(spark, root, "supplier"), "s_suppkey").selectExpr(
+        "cast(s_suppkey as string) as path",
+        "unhex(array_join(transform(sequence(0, 4095), i -> sha2(concat(s_suppkey, '-', i), 256)), '')) as content",
+    )
+    state = words.word_state(words.split_words(blobs), 1700000000, F.col("path").cast("long"))
+    last = lw.global_last(state, ties=("value",))
+    return last.select(to_hex(F.col("value")).alias("value"), "timestamp", "blob_index", "position")
+
+
 @query
 def arrow_scan(spark, root):
     state = X.binary_state(X.state_orders(spark, root))
@@ -360,6 +372,16 @@ def index_resolve(spark, root):
     return fl.resolve_indexes(rows, index_map)
 
 
+@query
+def json_lines_write_read(spark, root):
+    """Flat rows as JSON lines and back; absent fields stay absent."""
+    where = scratch_path(spark, "json")
+    flat = flatten_contracts(spark, root)
+    out.write_json_lines(flat, where)
+    back = spark.read.schema(flat.schema).json(where)
+    return back.groupBy("class_hash", "nonce").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("key"))
+
+
 @query
 def diff_store_ingest(spark, root):
     """Files of JSON lines from two tables, ingested in two runs; the second run sees only the new files."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from statelake import schemas
-from statelake.sources.files import list_files, open_for_write, open_random
+from statelake.sources.files import list_files, open_random, replacing
 
 SLICE_ROWS = 65_536
 _ARROW = {T.StringType: pa.string(), T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
@@ -46,17 +47,15 @@ def write_arrow(df: DataFrame, root: str) -> DataFrame:
     """One Arrow file per task, written batch by batch; returns (path, rows). A retried task writes its file again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, rows, writer = f"{root}/part_{TaskContext.get().partitionId():06d}.arrow", 0, None
-        for batch in batches:
-            if writer is None:
-                sink = open_for_write(path)
-                writer = pa.ipc.new_file(sink, batch.schema)
-            writer.write_batch(batch)
-            rows += batch.num_rows
-        if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.record_batch([pa.array([path]), pa.array([rows])], names=["path", "rows"])
+        first = next(batches, None)
+        if first is None:
+            return
+        path, rows = f"{root}/part_{TaskContext.get().partitionId():06d}.arrow", 0
+        with replacing(path) as sink, pa.ipc.new_file(sink, first.schema) as writer:
+            for batch in chain([first], batches):
+                writer.write_batch(batch)
+                rows += batch.num_rows
+        yield pa.record_batch([pa.array([path]), pa.array([rows])], names=["path", "rows"])
 
     listing = f"{root}/_listing"
     df.mapInArrow(write, "path string, rows long").write.mode("overwrite").parquet(listing)

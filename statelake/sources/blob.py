@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statelake import schemas
 from statelake.functions import name_index
-from statelake.sources.files import list_files, open_for_read, open_for_write
+from statelake.operators.sizing import fits
+from statelake.sources.files import list_files, open_for_read, replacing
 
 # fixed values of the file format; all numbers are big-endian
 MAGIC = b"ZKBL"
@@ -220,7 +221,7 @@ def _encoder(root: str, rows_per_file: int) -> Callable:
         blob, rows = int(records[0]["blob_index"][0]), sum(map(len, records))
         head = np.array([(MAGIC, 1, 0, blob, timestamp, rows, RECORD_BYTES)], HEADER)
         path = f"{root}/blob_{part:05d}-{number:06d}_{blob:06d}.blob.gz"
-        with open_for_write(path) as raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1, mtime=0) as stream:
+        with replacing(path) as raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1, mtime=0) as stream:
             stream.write(head.tobytes())
             for piece in records:
                 stream.write(piece.tobytes())
@@ -249,18 +250,20 @@ def _encoder(root: str, rows_per_file: int) -> Callable:
     return encode
 
 
-def write_blobs(state: DataFrame, root: str, slices: int = 8, rows_per_file: int = 500_000) -> DataFrame:
+def write_blobs(state: DataFrame, root: str, rows_per_file: int = 500_000) -> DataFrame:
     """Write binary state rows as blob files and return (path, rows) of what was written.
 
-    A file has one timestamp, one blob index (also in its name) and at most `rows_per_file` rows. The rows of a blob
-    are spread over `slices` tasks by a hash of their content, so a hot blob is shared; the full order inside a task
-    makes a retried task write the same files again.
+    A file has one timestamp, one blob index (also in its name) and at most `rows_per_file` rows. A blob of more rows
+    is counted first and spread by a hash of its content, so a hot blob is shared by many tasks; the full order inside
+    a task makes a retried task write the same files again.
     """
     spark = state.sparkSession
-    spread = F.pmod(F.xxhash64("tx_hash", "position", "value"), F.lit(slices))
-    ready = state.select(*schemas.STATE_COLUMNS).repartition("blob_index", spread).sortWithinPartitions(
-        "timestamp", "blob_index", "position", "tx_hash", "value"
-    )
+    slices = state.groupBy("blob_index").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_slices"))
+    sized = state.join(F.broadcast(slices) if fits(slices) else slices, "blob_index", "left")
+    spread = F.pmod(F.xxhash64("tx_hash", "position", "value"), F.col("_slices"))
+    ready = sized.withColumn("_slice", spread).repartition("blob_index", "_slice").sortWithinPartitions(
+        "timestamp", "blob_index", "position", "tx_hash", "value", "key", "address", "type"
+    ).select(*schemas.STATE_COLUMNS)
     listing = f"{root}/_listing"
     ready.mapInArrow(_encoder(root, rows_per_file), "path string, rows long").write.mode("overwrite").parquet(listing)
     return spark.read.schema("path string, rows long").parquet(listing)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 # what Spark's binaryFile source delivers; a stream needs it spelled out
@@ -45,11 +47,16 @@ def open_random(path: str):
     return system.open_input_file(name)
 
 
-def open_for_write(path: str):
-    """Byte sink, opened inside a task; missing parent folders are made."""
+@contextmanager
+def replacing(path: str):
+    """Byte sink of a task attempt that becomes `path` when it is complete, so no reader or other attempt sees a part."""
     system, name = _resolve(path)
-    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(name, compression=None)
+    folder, base = name.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    part = f"{folder}/.{base}.{TaskContext.get().taskAttemptId()}"
+    with system.open_output_stream(part, compression=None) as sink:
+        yield sink
+    system.move(part, name)
 
 
 def exists(path: str) -> bool:

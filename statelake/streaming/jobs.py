@@ -78,8 +78,10 @@ def upsert_into(state: DataFrame, store: SnapshotStore, checkpoint: str, name: s
 
     def merge(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        (store.append_delta if as_delta else store.upsert)(held, source=name, batch=number)
-        held.unpersist()
+        try:
+            (store.append_delta if as_delta else store.upsert)(held, source=name, batch=number)
+        finally:
+            held.unpersist()
 
     return (
         state.writeStream.foreachBatch(merge)

@@ -92,12 +92,12 @@ def test_selection_by_name(spark, tmp_path):
 
 def test_generate_encode_decode(spark, tmp_path):
     state = generator.generate_state(spark, 700, 3, keyspace=200, seed=4)
-    written = blob.write_blobs(state, str(tmp_path), slices=2, rows_per_file=100)
+    written = blob.write_blobs(state, str(tmp_path), rows_per_file=100)
     assert written.agg(F.sum("rows"), F.max("rows")).first() == (2100, 100)
     files = written.count()
     decoded = blob.read_blobs(spark, str(tmp_path))
     assert decoded.exceptAll(state).count() == 0 and decoded.count() == 2100
-    again = blob.write_blobs(state, str(tmp_path), slices=2, rows_per_file=100)
+    again = blob.write_blobs(state, str(tmp_path), rows_per_file=100)
     assert again.count() == files and blob.read_blobs(spark, str(tmp_path)).count() == 2100
 
 

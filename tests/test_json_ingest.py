@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statelake import schemas
-from statelake.operators import flatten as fl, increments
+from statelake.operators import flatten as fl, increments, sizing
 from statelake.plans.tables import register_tables
 from statelake.sinks.diff_store import DiffStore
 from statelake.sources import decoded_json as dj
@@ -71,7 +71,9 @@ def test_contracts_and_index_map(spark):
     assert found == {("0", str(2 ** 127 + 1)), ("99", "1"), ("99", "7")}
 
 
-def test_hot_surrogate_is_spread(spark):
+@pytest.mark.parametrize("bound", [0, sizing.MAX_ROWS])
+def test_hot_surrogate(spark, monkeypatch, bound):
+    monkeypatch.setattr(sizing, "MAX_ROWS", bound)
     hot = str(2 ** 128)
     flat = spark.range(3000).selectExpr(f"if(id % 3 = 0, '{hot}', cast(id as string)) as addr", "cast(id as string) as key")
     index_map = spark.createDataFrame([(hot, "777777")], schemas.INDEX_MAP)
