@@ -54,14 +54,14 @@ FLATTENERS = {
 def flatten_contracts(documents: DataFrame) -> DataFrame:
     """(addr, key, value, class_hash, nonce) as decimal text; a pair is {key, value} or [key, value]."""
     contracts = documents.select(F.explode("doc.contracts").alias("c")).filter("c is not null")
-    pairs = contracts.select("c.address", "c.class_hash", "c.nonce", F.explode("c.storage").alias("json")).filter(
-        F.ltrim("json").rlike(r"^[\[{]")
-    )
+    pairs = contracts.select("c.address", "c.class_hash", "c.nonce", F.explode("c.storage").alias("json"))
 
     def as_list(pair: Column) -> Column:
         # each form is parsed once and then taken apart
         named = F.transform(F.array(F.from_json(pair, schemas.STORAGE_PAIR)), lambda p: F.array(p["key"], p["value"]))
-        return F.when(F.ltrim(pair).startswith("["), F.from_json(pair, T.ArrayType(T.StringType()))).otherwise(named[0])
+        listed = F.from_json(pair, T.ArrayType(T.StringType()))
+        bad = F.raise_error(F.concat(F.lit("not a storage pair: "), F.coalesce(pair, F.lit("null"))))
+        return F.when(pair.startswith("["), listed).when(pair.startswith("{"), named[0]).otherwise(bad)
 
     split = pairs.select("address", "class_hash", "nonce", F.explode(F.array(as_list(F.col("json")))).alias("pair"))
     return split.select(

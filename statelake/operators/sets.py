@@ -24,7 +24,8 @@ def complete_sets(items: DataFrame) -> DataFrame:
         *group, F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", "high", F.lit(SLICE)))).alias("slice")
     )
     sliced = each.withColumn("slice", F.call_function("div", "idx", F.lit(SLICE)))
-    return sliced.join(complete, [*group, "slice"], "left_semi").select(*group, "idx", "path")
+    # a set has one row per slice, so this is a semi join; written as one, Spark would move it below the counting
+    return sliced.join(complete, [*group, "slice"]).select(*group, "idx", "path")
 
 
 def manifest_entries(complete: DataFrame) -> DataFrame:

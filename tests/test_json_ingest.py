@@ -86,6 +86,14 @@ def test_hot_surrogate(spark, monkeypatch, bound):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_bad_pair_stops_the_job(spark):
+    for pair in ("5", "null"):
+        text = '{"contracts": [{"storage": [%s]}]}' % pair
+        df = dj.documents_in(spark.createDataFrame([("f", text)], "src string, text string"), schemas.CONTRACTS_DOCUMENT)
+        with pytest.raises(Exception, match="not a storage pair"):
+            fl.flatten_contracts(df).collect()
+
+
 def test_store(spark, tmp_path):
     source, root = tmp_path / "in", tmp_path / "out"
     source.mkdir()

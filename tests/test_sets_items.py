@@ -27,6 +27,12 @@ def test_complete_sets(spark, monkeypatch, size):
     assert joined["large"] == [f"large-{i}" for i in range(50)] and joined["whole"] == [f"whole-{i}" for i in range(3)]
 
 
+def test_doubles_collapse_before_the_join(spark):
+    text = sets.complete_sets(spark.createDataFrame([(1, "a", 0, "p")], ITEM))._jdf.queryExecution().executedPlan().toString()
+    left = text[text.index("Join"):]
+    assert left.index("partial_min(path") > left.index("Aggregate(key=[eth_block") > 0
+
+
 def test_same_block_other_transaction(spark):
     rows = [(1, "a", 0, "p"), (1, "b", 1, "q"), (2, "a", 0, "r")]
     found = sets.complete_sets(spark.createDataFrame(rows, ITEM)).select("path").collect()
