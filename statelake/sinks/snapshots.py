@@ -87,12 +87,22 @@ class SnapshotStore:
         return number
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        return df.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets)))
+
+    def _aligned(self) -> bool:
+        """Whether a shuffle by key leaves every task with the fewest buckets possible.
+
+        Shuffles place a key by the same hash as buckets do, so it is enough that one count divides the other. Then
+        compacted rows are written as they are; with other counts they are shuffled once more, by bucket.
+        """
+        initial = self.spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        partitions = int(initial or self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return partitions % self.buckets == 0 or self.buckets % partitions == 0
 
     def _write_base(self, df: DataFrame, number: int) -> list[tuple[str, int, int]]:
         """Write rows as data folder `number` and list its buckets. A leftover of a failed writer is replaced."""
         where = f"{self.root}/data/v={number}"
-        write_table(self._bucketed(df), where, ("bucket",), mode="overwrite")
+        write_table(self._bucketed(df), where, ("bucket",), mode="overwrite", rebalance=not self._aligned())
         written = self.spark.read.schema(self.schema).option("pathGlobFilter", "*.parquet").parquet(where).inputFiles()
         buckets = {int(found.group(1)) for name in written if (found := re.search(r"/bucket=(\d+)/", name))}
         return [("base", bucket, number) for bucket in sorted(buckets)]

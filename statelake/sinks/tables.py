@@ -34,9 +34,13 @@ def write_table(
     partitions: tuple[str, ...] = (),
     mode: str = "append",
     max_records_per_file: int = 0,
+    rebalance: bool = True,
 ) -> None:
-    """K5/K6: append (or overwrite) as zstd Parquet, optionally with a row limit per file."""
-    ready = rebalanced(df, *partitions) if partitions else df
+    """K5/K6: append (or overwrite) as zstd Parquet, optionally with a row limit per file.
+
+    `rebalance=False` saves a shuffle where the rows of a task already belong to few partitions.
+    """
+    ready = rebalanced(df, *partitions) if partitions and rebalance else df
     writer = ready.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", max_records_per_file)
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 

@@ -65,6 +65,18 @@ def test_repeated_batch_and_leftovers(spark, tmp_path):
     assert store.upsert(one, "s", 1) == 3 and store.upsert(one, "other", 0) == 3
 
 
+@pytest.mark.parametrize("buckets,files", [(4, 8), (16, 16), (3, 24)])
+def test_buckets_follow_the_shuffle(spark, tmp_path, buckets, files):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = store_of(spark, tmp_path, buckets=buckets)
+        store.replace(spark.createDataFrame([("tx", "a", f"k{i}", "v", "t", 1, 1, 1) for i in range(500)], TEXT))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert store.read().count() == 500 and len(store.read().inputFiles()) <= files
+    assert len(store._version().parts) == buckets
+
+
 def test_second_writer_fails(spark, tmp_path):
     store = store_of(spark, tmp_path)
     before = store._version()
