@@ -51,11 +51,10 @@ def _edge(window: int) -> str:
 
 def _live_count(window: int) -> str:
     return f"""
-WITH sc AS ({_lww(EVENTS, f"blob_index <= {_edge(window)}")}), d AS ({_lww(EVENTS, f"blob_index > {_edge(window)}")})
-SELECT count(*) AS keys FROM (
-  SELECT key FROM sc UNION ALL
-  SELECT d.key FROM d LEFT JOIN sc ON sc.key = d.key WHERE sc.key IS NULL
-    OR (d.timestamp, d.blob_index, d.position) > (sc.timestamp, sc.blob_index, sc.position))"""
+WITH old AS ({_lww(EVENTS, f"blob_index <= {_edge(window)}")}), fresh AS ({_lww(EVENTS, f"blob_index > {_edge(window)}")})
+SELECT (SELECT count(*) FROM old) + (SELECT count(*) FROM fresh WHERE NOT EXISTS (
+  SELECT 1 FROM old WHERE old.key = fresh.key AND (old.timestamp, old.blob_index, old.position)
+    >= (fresh.timestamp, fresh.blob_index, fresh.position))) AS keys"""
 
 
 ITEM_FIELDS = """(

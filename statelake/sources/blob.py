@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def _chunks(stream, rows: int, chunk: int) -> Iterator[np.ndarray]:
         take = min(rows, chunk)
         try:
             raw = stream.read(take * RECORD_BYTES)
-        except (EOFError, OSError) as cause:
+        except (EOFError, OSError, zlib.error) as cause:
             raise BlobFormatError(f"broken gzip stream: {cause}") from cause
         if len(raw) < take * RECORD_BYTES:
             raise BlobFormatError("truncated records")
@@ -103,7 +104,7 @@ def _decode_file(path: str, content: pa.Buffer | None, chunk: int) -> Iterator[p
             timestamp, rows = _read_header(stream)
             for records in _chunks(stream, rows, chunk):
                 yield _to_batch(records, timestamp)
-    except (BlobFormatError, EOFError, gzip.BadGzipFile) as cause:
+    except (BlobFormatError, EOFError, gzip.BadGzipFile, zlib.error) as cause:
         raise BlobFormatError(f"{path}: {cause}") from cause
 
 
@@ -114,7 +115,7 @@ def _check_file(path: str, content: pa.Buffer | None, chunk: int) -> tuple[int,
             _, expected = _read_header(stream)
             for records in _chunks(stream, expected, chunk):
                 rows += len(records)
-    except (BlobFormatError, EOFError, gzip.BadGzipFile) as cause:
+    except (BlobFormatError, EOFError, gzip.BadGzipFile, zlib.error) as cause:
         return rows, str(cause)
     return rows, None
 
@@ -176,9 +177,9 @@ def read_blobs(
     return _over_files(files, _decoder(chunk, mode == "PERMISSIVE"), schemas.STATE)
 
 
-def decode_content(files: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """S1 over a DataFrame (batch or stream) with `path` and `content`."""
-    return files.select("path", "content").mapInArrow(_decoder(chunk, False), schemas.STATE)
+def decode_files(files: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """S1 over a listing (batch or stream) of `path`, and `content` unless the tasks shall open the paths themselves."""
+    return files.mapInArrow(_decoder(chunk, False), schemas.STATE)
 
 
 def blob_report(spark: SparkSession, path: str | list[str], chunk: int = CHUNK_ROWS) -> DataFrame:

@@ -13,12 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from statelake.operators.lww import KEYS, ORDER, TIES, lww, lww_max_by
 from statelake.sinks.snapshots import SnapshotStore
 from statelake.sinks.tables import PARTITIONS, with_partition_columns
-from statelake.sources.blob import GLOB, decode_content
+from statelake.sources.blob import GLOB, decode_files
 from statelake.sources.files import FILES
 
 
-def stream_blobs(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Records of blob files as they arrive; a file is known by its path and read once."""
+def stream_blobs(spark: SparkSession, path: str, max_files: int = 1000, by_path: bool = False) -> DataFrame:
+    """Records of blob files as they arrive.
+
+    A file is known by its path and read once; for changed contents under an old name compare hashes (`new_files`).
+    `by_path` streams the bytes from storage in the task, for files too large to be one value.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .option("pathGlobFilter", GLOB)
@@ -26,7 +30,7 @@ def stream_blobs(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
         .schema(FILES)
         .load(path)
     )
-    return decode_content(files)
+    return decode_files(files.select("path") if by_path else files.select("path", "content"))
 
 
 def catch_up(state: DataFrame, out: str, checkpoint: str, chain_id: int) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Blob files: format, bad files, selection by name, sizes beyond the inline limit."""
 
 import gzip
+import random
 import struct
 
 import pyarrow as pa
@@ -52,6 +53,9 @@ BAD = {
     "length": blob_bytes([record(b"k", 1, 1)], length=125),
     "count": blob_bytes([record(b"k", 1, 1)], count=9),
     "cut": blob_bytes([record(bytes([i % 251, i % 7]), 1, i) for i in range(900)])[:-600],
+    "damaged": (lambda whole: whole[:3000] + bytes(200) + whole[3200:])(
+        blob_bytes([record(random.Random(i).randbytes(32), 1, i) for i in range(900)])
+    ),
     "plain": b"not gzip at all",
     "empty": gzip.compress(b""),
 }

@@ -129,11 +129,12 @@ def test_stream_into_snapshots_and_restart(spark, tmp_path, as_delta):
     assert values["fresh"] == "new" and values["hot"] != "late"
 
 
-def test_catch_up_reads_new_files_once(spark, tmp_path):
+@pytest.mark.parametrize("by_path", [False, True])
+def test_catch_up_reads_new_files_once(spark, tmp_path, by_path):
     source = str(tmp_path / "blobs")
 
     def run():
-        stream = jobs.stream_blobs(spark, source, max_files=1)
+        stream = jobs.stream_blobs(spark, source, max_files=1, by_path=by_path)
         jobs.catch_up(stream, str(tmp_path / "lake"), str(tmp_path / "cp"), 5).awaitTermination()
         return spark.read.schema(schemas.STATE_PARTITIONED).parquet(str(tmp_path / "lake"))
 
