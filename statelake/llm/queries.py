@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statelake.llm import exact_dedup, line_dedup, sharding
+from statelake.llm import bpe, exact_dedup, line_dedup, quality, sharding, toxicity
 from statelake.llm.common import documents
+from statelake.llm.fitting import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +19,39 @@ def query(run: Query) -> Query:
     return run
 
 
+def rank_file() -> tuple[str, str]:
+    """Path of the rank file and the pattern of its pieces; a package of public vocabularies brings both."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query
+def op2_bpe(spark, root):
+    path, pattern = rank_file()
+    return bpe.encode_column(documents(spark, root), path, pattern, with_ids=False)
+
+
+@query
+def op3_quality(spark, root):
+    docs = documents(spark, root).select("doc_id", "text")
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    model = quality.train(docs, labels, fold("doc_id", 5) != 0)
+    return docs.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), model.score(F.col("text")).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op6_toxicity(spark, root):
+    docs = documents(spark, root).select("doc_id", "text")
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    model = toxicity.train(docs, labels, fold("doc_id", 3) != 1)
+    return docs.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), model.score(F.col("text")).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op4_line_dedup(spark, root):
     docs = documents(spark, root).select("doc_id", "text")
