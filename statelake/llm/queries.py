@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statelake.llm import bpe, exact_dedup, line_dedup, quality, sharding, toxicity
+from statelake.llm import bpe, chat_format, exact_dedup, line_dedup, quality, secret_scan, sharding, toxicity
 from statelake.llm.common import documents
 from statelake.llm.fitting import fold
 
@@ -69,6 +69,22 @@ def op5_sharding(spark, root):
     )
 
 
+@query
+def op7_secret_scan(spark, root):
+    return secret_scan.scan(documents(spark, root))
+
+
 @query
 def op9_exact_dedup(spark, root):
     return exact_dedup.exact_groups(documents(spark, root))
+
+
+@query
+def op10_chat_format(spark, root):
+    import public_tokenizers
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = spark.read.parquet(f"{root}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    )
+    return chat_format.digests(chat_format.format_blocks(turns, public_tokenizers.path("byte_bpe_50k.json")))
