@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statelake.llm import bpe, chat_format, exact_dedup, line_dedup, quality, secret_scan, sharding, toxicity
+from statelake.llm import (
+    bpe, chat_format, exact_dedup, line_dedup, near_dedup, quality, secret_scan, sharding, toxicity,
+)
 from statelake.llm.common import documents
 from statelake.llm.fitting import fold
 
@@ -74,6 +76,13 @@ def op7_secret_scan(spark, root):
     return secret_scan.scan(documents(spark, root))
 
 
+@query
+def op8_near_dedup(spark, root):
+    return near_dedup.near_classes(documents(spark, root)).select(
+        "doc_id", "class_id", "class_size", "kept"
+    )
+
+
 @query
 def op9_exact_dedup(spark, root):
     return exact_dedup.exact_groups(documents(spark, root))
