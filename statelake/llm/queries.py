@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statelake.llm import (
-    bpe, chat_format, exact_dedup, line_dedup, near_dedup, quality, secret_scan, sharding, toxicity,
+    bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, quality, secret_scan, sharding, toxicity,
 )
 from statelake.llm.common import documents
 from statelake.llm.fitting import fold
@@ -28,6 +28,11 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_decontamination(spark, root):
+    return decontaminate.hits(documents(spark, root), spark.read.parquet(f"{root}/benchmark.parquet"))
+
+
 @query
 def op2_bpe(spark, root):
     path, pattern = rank_file()
