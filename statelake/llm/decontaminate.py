@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from statelake.llm.common import named, whole_text
 
@@ -275,12 +275,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: float = BUDGET, shortest: int = SHORTEST,
           item_columns: tuple[str, str] = ("item_id", "text")) -> DataFrame:
     """`docs` without the rows in which an item stands; every other row and all columns stay as they are."""
-    for shared in _shared_blocks(docs, benchmark, budget, shortest, item_columns):
+    def leaks_into(text: Column, shared: _Shared) -> Column:
         @F.pandas_udf("boolean")
-        def leaks(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
+        def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = _index(shared)
             for part in parts:
                 yield pd.Series([bool(places) for places in index.find_in(list(part))], dtype=bool)
 
-        docs = docs.filter(~leaks(whole_text(text_col)))
+        return leaks(text)
+
+    for shared in _shared_blocks(docs, benchmark, budget, shortest, item_columns):
+        docs = docs.filter(~leaks_into(whole_text(text_col), shared))
     return docs
