@@ -47,7 +47,7 @@ class Logistic:
     """Logistic regression by Newton steps, with standardised features and a weak ridge."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0):
-        x = np.asarray(x, float).reshape(len(y), -1)
+        x = np.asarray(x, float)
         self.mean = x.mean(0) if len(y) else np.zeros(x.shape[1])
         self.scale = x.std(0) + 1e-9 if len(y) else np.ones(x.shape[1])
         self.beta = np.zeros(x.shape[1] + 1)
