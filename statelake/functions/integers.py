@@ -9,13 +9,18 @@ SURROGATE_FROM = "170141183460469231731687303715884105728"
 
 
 def canonical_int(column: Column) -> Column:
-    """Unsigned decimal text without leading zeros."""
-    text = F.trim(column.cast("string"))
-    digits = F.ltrim(text, F.lit("0"))
-    return F.when((digits == "") & (text != ""), "0").otherwise(digits)
+    """Decimal text without blanks, plus sign or leading zeros; null stays null, and text that is no integer is an error."""
+    text = column.cast("string")
+    valid = text.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    digits = F.regexp_replace(text, r"^\s*[+-]?0*|\s+$", "")
+    sign = F.when(text.rlike(r"^\s*-") & (digits != ""), "-").otherwise("")
+    whole = F.when(digits == "", "0").otherwise(F.concat(sign, digits))
+    bad = F.raise_error(F.concat(F.lit("not an integer: '"), text, F.lit("'")))
+    return F.when(text.isNull() | valid, whole).otherwise(bad)
 
 
 def is_surrogate(column: Column) -> Column:
     """True for canonical decimal text of 2^127 or more."""
     width = len(SURROGATE_FROM)
-    return (F.length(column) > width) | ((F.length(column) == width) & (column >= SURROGATE_FROM))
+    wide = (F.length(column) > width) | ((F.length(column) == width) & (column >= SURROGATE_FROM))
+    return wide & ~column.startswith("-")

@@ -61,7 +61,8 @@ def flatten_contracts(documents: DataFrame) -> DataFrame:
         named = F.transform(F.array(F.from_json(pair, schemas.STORAGE_PAIR)), lambda p: F.array(p["key"], p["value"]))
         listed = F.from_json(pair, T.ArrayType(T.StringType()))
         bad = F.raise_error(F.concat(F.lit("not a storage pair: "), F.coalesce(pair, F.lit("null"))))
-        return F.when(pair.startswith("["), listed).when(pair.startswith("{"), named[0]).otherwise(bad)
+        two = F.when(F.size(listed) == 2, listed).otherwise(bad)
+        return F.when(pair.startswith("["), two).when(pair.startswith("{"), named[0]).otherwise(bad)
 
     split = pairs.select("address", "class_hash", "nonce", F.explode(F.array(as_list(F.col("json")))).alias("pair"))
     return split.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# paths per manifest row; a larger set goes on in further rows
+# indexes of a group that meet their verdict in one task
 SLICE = 4096
 
 
@@ -29,8 +29,8 @@ def complete_sets(items: DataFrame) -> DataFrame:
 
 
 def manifest_entries(complete: DataFrame) -> DataFrame:
-    """Complete sets as manifest rows: paths in index order, one row per set and slice of 4,096 indexes."""
-    placed = F.sort_array(F.collect_list(F.struct("idx", "path")))
-    return complete.groupBy("eth_block", "tx_hash", F.call_function("div", "idx", F.lit(SLICE)).alias("slice")).agg(
-        F.transform(placed, lambda blob: blob["path"]).alias("paths")
-    )
+    """Complete sets as manifest rows in long form, for sets of any size: (eth_block, tx_hash, position, path).
+
+    The indexes of a complete set are 0 up without gap, so the index is the position in the set.
+    """
+    return complete.select("eth_block", "tx_hash", F.col("idx").alias("position"), "path")

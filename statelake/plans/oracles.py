@@ -179,7 +179,9 @@ SELECT class_hash, nonce, count(*) AS n, max(key) AS key FROM (
 SELECT c_mktsegment AS item, count(*) AS n FROM customer GROUP BY 1 UNION ALL
 SELECT CASE WHEN turn = 0 THEN '0x0' ELSE '0x' || lower(to_hex(turn)) END, count(*) FROM conversations GROUP BY 1""",
     "complete_sets": f"SELECT * FROM {COMPLETE}",
-    "manifest_entries": f"SELECT eth_block, string_agg(path, ',' ORDER BY idx) AS paths FROM {COMPLETE} GROUP BY eth_block, tx_hash",
+    "manifest_entries": f"""
+        SELECT eth_block, tx_hash, row_number() OVER (PARTITION BY eth_block, tx_hash ORDER BY idx) - 1 AS position, path
+        FROM {COMPLETE}""",
     "incremental_new_files": "SELECT 'd' || doc_id || '.json' AS name, sha1(text) AS sha1 FROM documents WHERE doc_id % 3 <> 2",
     "files_without_output": "SELECT 'raw/blob_' || page_id || '.blob.gz' AS path FROM pages WHERE page_id % 2 <> 0",
     "blob_item_rows": f"SELECT * FROM {ITEM_FIELDS}",

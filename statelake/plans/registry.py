@@ -410,8 +410,7 @@ def complete_sets(spark, root):
 
 @query
 def manifest_entries(spark, root):
-    entries = sets.manifest_entries(sets.complete_sets(X.blob_items(spark, root)))
-    return entries.select("eth_block", F.array_join("paths", ",").alias("paths"))
+    return sets.manifest_entries(sets.complete_sets(X.blob_items(spark, root)))
 
 
 @query

@@ -23,8 +23,8 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
         raise QueryError(f"query failed: {error}") from error
 
 
-def run_sql(spark: SparkSession, text: str, limit: int = 10_000) -> QueryResult:
-    """Run a query for display, at most `limit` rows."""
+def run_sql(spark: SparkSession, text: str, limit: int | None) -> QueryResult:
+    """Run a query for display: at most `limit` rows, or with None all of them. `sql` gives rows that stay in Spark."""
     df = sql(spark, text)
     try:
         return result_of(df, limit)

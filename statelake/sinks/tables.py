@@ -77,10 +77,11 @@ class QueryResult:
     complete: bool
 
 
-def result_of(df: DataFrame, limit: int = 10_000) -> QueryResult:
-    """Run `df` and keep at most `limit` rows on the driver."""
+def result_of(df: DataFrame, limit: int | None) -> QueryResult:
+    """Run `df` and bring at most `limit` rows to the driver, with None all of them."""
     start = time.perf_counter()
-    held = render_binary(df).limit(limit + 1).collect()
+    shown = render_binary(df)
+    held = (shown if limit is None else shown.limit(limit + 1)).collect()
     elapsed = round((time.perf_counter() - start) * 1000, 3)
     rows = [list(row) for row in held[:limit]]
-    return QueryResult(df.columns, rows, len(rows), elapsed, len(held) <= limit)
+    return QueryResult(df.columns, rows, len(rows), elapsed, len(rows) == len(held))

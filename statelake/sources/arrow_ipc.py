@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from statelake import schemas
-from statelake.sources.files import list_files, open_random, replacing
+from statelake.sources.files import list_files, open_random, refuse_used, replacing
 
 SLICE_ROWS = 65_536
 _ARROW = {T.StringType: pa.string(), T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
@@ -44,7 +44,11 @@ def read_arrow(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 
 def write_arrow(df: DataFrame, root: str) -> DataFrame:
-    """One Arrow file per task, written batch by batch; returns (path, rows). A retried task writes its file again."""
+    """One Arrow file per task, written batch by batch; returns (path, rows). A retried task writes its file again.
+
+    A folder that already has a listing is refused.
+    """
+    refuse_used(df.sparkSession, f"{root}/_listing")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)

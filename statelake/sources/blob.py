@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statelake import schemas
 from statelake.functions import name_index
-from statelake.operators.sizing import fits
-from statelake.sources.files import list_files, open_for_read, replacing
+from statelake.sources.files import list_files, open_for_read, refuse_used, replacing
 
 # fixed values of the file format; all numbers are big-endian
 MAGIC = b"ZKBL"
@@ -33,8 +32,9 @@ RECORD = np.dtype([
 
 CHUNK_ROWS = 200_000
 GLOB = "*.blob.gz"
-# compressed files up to this size travel as one value; larger ones are streamed from storage in the task
-INLINE_BYTES = 256 << 20
+# with mode PERMISSIVE the rows of a file are held until its end is known to be good; files that decode to more are
+# decompressed twice instead, with the same result
+HELD_BYTES = 128 << 20
 
 ARROW_STATE = pa.schema([
     ("type", pa.string()), ("address", pa.binary()), ("key", pa.binary()), ("value", pa.binary()),
@@ -127,12 +127,29 @@ def _each_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Buff
             yield path, None if contents is None else contents[i].as_buffer()
 
 
+def _decode_good(path: str, content: pa.Buffer | None, chunk: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a file without fault, or none."""
+    held, size = [], 0
+    try:
+        for batch in _decode_file(path, content, chunk):
+            held.append(batch)
+            size += batch.nbytes
+            if size > HELD_BYTES:
+                break
+        else:
+            yield from held
+            return
+    except BlobFormatError:
+        return
+    held.clear()
+    if _check_file(path, content, chunk)[1] is None:
+        yield from _decode_file(path, content, chunk)
+
+
 def _decoder(chunk: int, skip_bad: bool) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in _each_file(batches):
-            if skip_bad and _check_file(path, content, chunk)[1]:
-                continue
-            yield from _decode_file(path, content, chunk)
+            yield from (_decode_good if skip_bad else _decode_file)(path, content, chunk)
 
     return decode
 
@@ -150,11 +167,8 @@ def _reporter(chunk: int) -> Callable:
     return report
 
 
-def _over_files(files: DataFrame, step: Callable, schema) -> DataFrame:
-    """One pass over small files by content and over large ones by path."""
-    inline = files.filter(F.col("length") <= INLINE_BYTES).select("path", "content")
-    streamed = files.filter(F.col("length") > INLINE_BYTES).select("path")
-    return inline.mapInArrow(step, schema).unionAll(streamed.mapInArrow(step, schema))
+def _over_files(files: DataFrame, step: Callable, schema, by_path: bool) -> DataFrame:
+    return files.select("path", *[] if by_path else ["content"]).mapInArrow(step, schema)
 
 
 def read_blobs(
@@ -164,17 +178,20 @@ def read_blobs(
     chunk: int = CHUNK_ROWS,
     min_index: int | None = None,
     max_index: int | None = None,
+    by_path: bool = False,
 ) -> DataFrame:
     """All records of all blob files below `path`, one task per file (gzip cannot be split).
 
     mode FAILFAST stops at a bad file; PERMISSIVE leaves bad files out whole, see `blob_report` for them.
     min_index / max_index pick files by the number in their name (S4), inclusive.
+    Spark's reader brings every file to its task as one value (2 GB at most, else it fails and names the file); with
+    `by_path` tasks stream every file from its path themselves, see `sources.files` for the stores they can open.
     """
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"mode {mode!r} is not FAILFAST or PERMISSIVE")
     files = list_files(spark, path, GLOB, required=True)
     files = select_by_name_index(files, min_index, max_index)
-    return _over_files(files, _decoder(chunk, mode == "PERMISSIVE"), schemas.STATE)
+    return _over_files(files, _decoder(chunk, mode == "PERMISSIVE"), schemas.STATE, by_path)
 
 
 def decode_files(files: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -182,9 +199,11 @@ def decode_files(files: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     return files.mapInArrow(_decoder(chunk, False), schemas.STATE)
 
 
-def blob_report(spark: SparkSession, path: str | list[str], chunk: int = CHUNK_ROWS) -> DataFrame:
+def blob_report(
+    spark: SparkSession, path: str | list[str], chunk: int = CHUNK_ROWS, by_path: bool = False
+) -> DataFrame:
     """D11 and the error side of S2: one row per file with outcome, rows and seconds."""
-    return _over_files(list_files(spark, path, GLOB, required=True), _reporter(chunk), schemas.BLOB_REPORT)
+    return _over_files(list_files(spark, path, GLOB, required=True), _reporter(chunk), schemas.BLOB_REPORT, by_path)
 
 
 def check_report(report: DataFrame) -> None:
@@ -195,8 +214,12 @@ def check_report(report: DataFrame) -> None:
 
 
 def select_by_name_index(files: DataFrame, min_index: int | None = None, max_index: int | None = None) -> DataFrame:
-    """Files whose name carries an index inside the bounds (inclusive); without bounds all files."""
-    number = name_index(F.col("path"))
+    """Files whose name carries an index inside the bounds (inclusive); without bounds all files.
+
+    With a bound, a file without a number in its name is an error that names it.
+    """
+    unknown = F.raise_error(F.concat(F.lit("no index in the name of "), F.col("path"))).cast("long")
+    number = F.coalesce(name_index(F.col("path")), unknown)
     if min_index is not None:
         files = files.filter(number >= min_index)
     if max_index is not None:
@@ -256,11 +279,12 @@ def write_blobs(state: DataFrame, root: str, rows_per_file: int = 500_000) -> Da
 
     A file has one timestamp, one blob index (also in its name) and at most `rows_per_file` rows. A blob of more rows
     is counted first and spread by a hash of its content, so a hot blob is shared by many tasks; the full order inside
-    a task makes a retried task write the same files again.
+    a task makes a retried task write the same files again. A folder that already has a listing is refused.
     """
     spark = state.sparkSession
+    refuse_used(spark, f"{root}/_listing")
     slices = state.groupBy("blob_index").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_slices"))
-    sized = state.join(F.broadcast(slices) if fits(slices) else slices, "blob_index", "left")
+    sized = state.join(slices, "blob_index", "left")
     spread = F.pmod(F.xxhash64("tx_hash", "position", "value"), F.col("_slices"))
     ready = sized.withColumn("_slice", spread).repartition("blob_index", "_slice").sortWithinPartitions(
         "timestamp", "blob_index", "position", "tx_hash", "value", "key", "address", "type"

@@ -28,6 +28,13 @@ def list_files(
     return files
 
 
+def refuse_used(spark: SparkSession, path: str) -> None:
+    """An error if `path` exists: what an earlier writer left there would be read with the new files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        raise FileExistsError(f"{path} exists: write into a folder of its own")
+
+
 def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
     local = re.sub("^file:/+", "/", path)
     if local.startswith("/"):

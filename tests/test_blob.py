@@ -1,4 +1,4 @@
-"""Blob files: format, bad files, selection by name, sizes beyond the inline limit."""
+"""Blob files: format, bad files, selection by name, content and path as ways to the bytes."""
 
 import gzip
 import random
@@ -27,18 +27,19 @@ def put(folder, name, content):
     (folder / name).write_bytes(content)
 
 
-@pytest.fixture(params=["inline", "streamed"])
+@pytest.fixture(params=["content", "path", "path, decoded twice"])
 def how(request, monkeypatch):
-    if request.param == "streamed":
-        monkeypatch.setattr(blob, "INLINE_BYTES", 0)
-    return request.param
+    if "twice" in request.param:
+        monkeypatch.setattr(blob, "HELD_BYTES", 0)
+    return {"by_path": request.param != "content"}
 
 
 def test_decode(spark, tmp_path, how):
     put(tmp_path, "blob_000001.blob.gz", blob_bytes([record(b"k", 1, i, code=2 if i % 2 else 1) for i in range(500)]))
     put(tmp_path, "blob_000002.blob.gz", blob_bytes([record(b"k", 4_294_967_295, 4_294_967_295)], timestamp=5))
     put(tmp_path, "ignored.bin", b"x")
-    df = blob.read_blobs(spark, str(tmp_path), chunk=128)
+    df = blob.read_blobs(spark, str(tmp_path), chunk=128, **how)
+    assert blob.read_blobs(spark, str(tmp_path), mode="PERMISSIVE", chunk=128, **how).exceptAll(df).count() == 0
     assert df.columns[:5] == ["type", "address", "key", "value", "tx_hash"]
     assert df.schema == schemas.STATE
     assert df.count() == 501
@@ -66,9 +67,9 @@ def test_bad_files(spark, tmp_path, how, name):
     put(tmp_path, "blob_000001.blob.gz", blob_bytes([record(b"k", 1, 1)] * 3))
     put(tmp_path, "blob_000002.blob.gz", BAD[name])
     with pytest.raises(PythonException, match="blob_000002"):
-        blob.read_blobs(spark, str(tmp_path)).collect()
-    assert blob.read_blobs(spark, str(tmp_path), mode="PERMISSIVE").count() == 3
-    report = blob.blob_report(spark, str(tmp_path))
+        blob.read_blobs(spark, str(tmp_path), **how).collect()
+    assert blob.read_blobs(spark, str(tmp_path), mode="PERMISSIVE", **how).count() == 3
+    report = blob.blob_report(spark, str(tmp_path), **how)
     assert report.filter("ok").select("rows").collect() == [(3,)]
     with pytest.raises(blob.BlobFormatError, match="blob_000002"):
         blob.check_report(report)
@@ -92,6 +93,10 @@ def test_selection_by_name(spark, tmp_path):
     assert indexes(max_index=2) == [1, 2]
     assert indexes(min_index=3) == [3]
     assert indexes() == [1, 2, 3]
+    put(tmp_path, "extra.blob.gz", blob_bytes([record(b"k", 9, 0)]))
+    assert indexes() == [1, 2, 3, 9]
+    with pytest.raises(Exception, match="no index in the name of .*extra"):
+        indexes(min_index=0)
 
 
 def test_generate_encode_decode(spark, tmp_path):
@@ -101,8 +106,10 @@ def test_generate_encode_decode(spark, tmp_path):
     files = written.count()
     decoded = blob.read_blobs(spark, str(tmp_path))
     assert decoded.exceptAll(state).count() == 0 and decoded.count() == 2100
-    again = blob.write_blobs(state, str(tmp_path), rows_per_file=100)
-    assert again.count() == files and blob.read_blobs(spark, str(tmp_path)).count() == 2100
+    with pytest.raises(FileExistsError):
+        blob.write_blobs(state, str(tmp_path), rows_per_file=100)
+    again = blob.write_blobs(state, str(tmp_path / "more"), rows_per_file=100)
+    assert again.count() == files and blob.read_blobs(spark, str(tmp_path / "more")).count() == 2100
 
 
 def test_generator_is_seeded_and_hot(spark):

@@ -160,15 +160,15 @@ def test_wallet_overlay(spark):
 
 def test_sql(spark):
     spark.createDataFrame([(1, b"\x01"), (2, None)], "a int, b binary").createOrReplaceTempView("sql_t")
-    result = q.run_sql(spark, "  select * from sql_t order by a ; ")
+    result = q.run_sql(spark, "  select * from sql_t order by a ; ", None)
     assert (result.columns, result.rows, result.row_count, result.complete) == (["a", "b"], [[1, "0x01"], [2, None]], 2, True)
     cut = q.run_sql(spark, "select * from sql_t order by a", limit=1)
     assert (cut.rows, cut.complete) == ([[1, "0x01"]], False)
     for text in ("", " ; ", None):
         with pytest.raises(q.QueryError, match="empty"):
-            q.run_sql(spark, text)
+            q.run_sql(spark, text, None)
     for text in ("selec 1", "select * from no_such_table", "select 1/0"):
         with pytest.raises(q.QueryError, match="failed"):
-            q.run_sql(spark, text)
-    q.run_sql(spark, "create or replace temp view v as select 1 as one")
-    assert q.run_sql(spark, "with x as (select * from v) select one from x").rows == [[1]]
+            q.run_sql(spark, text, None)
+    q.run_sql(spark, "create or replace temp view v as select 1 as one", None)
+    assert q.run_sql(spark, "with x as (select * from v) select one from x", None).rows == [[1]]

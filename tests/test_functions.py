@@ -35,7 +35,12 @@ def test_hex_rendering(spark):
 
 def test_wide_integers(spark):
     edge = 2 ** 127
-    assert apply(spark, canonical_int, ["0012", "0", "000", "", None, str(2 ** 250)]) == ["12", "0", "0", "", None, str(2 ** 250)]
+    assert apply(spark, canonical_int, ["0012", "0", "000", None, str(2 ** 250), "-05", "+7", " 3 ", "-0"]) == [
+        "12", "0", "0", None, str(2 ** 250), "-5", "7", "3", "0"]
+    for bad in ("0x10", "abc", "1e3", "", "1 2", "+"):
+        with pytest.raises(Exception, match="not an integer"):
+            apply(spark, canonical_int, [bad])
+    assert apply(spark, is_surrogate, [str(2 ** 127), str(2 ** 127 - 1), "-" + str(2 ** 130)]) == [True, False, False]
     assert apply(spark, is_surrogate, [str(edge - 1), str(edge), str(2 ** 250), "9", None]) == [False, True, True, False, None]
 
 

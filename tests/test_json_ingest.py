@@ -87,7 +87,7 @@ def test_hot_surrogate(spark, monkeypatch, bound):
 
 
 def test_bad_pair_stops_the_job(spark):
-    for pair in ("5", "null"):
+    for pair in ("5", "null", "[1]", "[]", "[1, 2, 3]"):
         text = '{"contracts": [{"storage": [%s]}]}' % pair
         df = dj.documents_in(spark.createDataFrame([("f", text)], "src string, text string"), schemas.CONTRACTS_DOCUMENT)
         with pytest.raises(Exception, match="not a storage pair"):

@@ -19,14 +19,19 @@ def test_complete_sets(spark, monkeypatch, size):
     complete = sets.complete_sets(spark.createDataFrame(rows, ITEM).repartition(5))
     found = sorted(tuple(r) for r in complete.collect())
     assert found == sorted(r for r in rows if r[1] in ("whole", "one", "large"))
-    entries = sets.manifest_entries(complete).collect()
+    entries = sets.manifest_entries(complete).orderBy("position").collect()
     joined = {}
-    for e in sorted(entries, key=lambda e: e["slice"]):
-        assert len(e["paths"]) <= size
-        joined.setdefault(e["tx_hash"], []).extend(e["paths"])
+    for e in entries:
+        joined.setdefault(e["tx_hash"], []).append(e["path"])
     assert joined["large"] == [f"large-{i}" for i in range(50)] and joined["whole"] == [f"whole-{i}" for i in range(3)]
 
 
+def test_a_set_of_ten_thousand(spark):
+    items = spark.range(10_000).selectExpr("1L as eth_block", "'a' as tx_hash", "id as idx", "concat('p', id) as path")
+    entries = sets.manifest_entries(sets.complete_sets(items)).orderBy("position").collect()
+    assert [(e.position, e.path) for e in entries] == [(k, f"p{k}") for k in range(10_000)]
+
+
 def test_doubles_collapse_before_the_join(spark):
     text = sets.complete_sets(spark.createDataFrame([(1, "a", 0, "p")], ITEM))._jdf.queryExecution().executedPlan().toString()
     left = text[text.index("Join"):]
