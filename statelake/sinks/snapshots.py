@@ -1,41 +1,38 @@
 """Versioned key-bucketed snapshots (K3, L8) with base and delta parts.
 
-Layout below the root: data/v=<n>/ holds rows (a base below bucket=<b>/), versions/v=<n>/ one small file that lists
-which data folders make up version n. A version exists once its list is written, so readers never see half of one, old versions stay
-readable, and no folder that may be in use is overwritten. One writer at a time: a second one fails on the list.
+Layout below the root: data/<id>/ holds rows (a base below bucket=<b>/), versions/v=<n>.json lists which data folders make
+up version n, in the order they were added. Every attempt to write has a data folder of its own, so nothing that is
+published is ever overwritten, and the list is created only where there is none: of two writers that start from the same
+version the second fails and leaves all versions as they are. Old versions stay readable until `expire`.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from statelake import schemas
 from statelake.operators.lww import KEYS, ORDER, TIES, live_view, lww
 from statelake.sinks.tables import write_table
 
-# one row per version: the folders that make it up, and the last batch merged from every named source
-_MANIFEST = T.StructType([
-    T.StructField("parts", T.ArrayType(T.StructType([
-        T.StructField("kind", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.LongType()),
-    ]))),
-    T.StructField("sources", T.MapType(T.StringType(), T.LongType())),
-])
-
 
 @dataclass(frozen=True)
 class _Version:
+    """Folders in the order they were added, and the last batch merged from every named source."""
+
     number: int = 0
-    parts: tuple[tuple[str, int | None, int], ...] = ()
+    parts: tuple[tuple[str, int | None, str], ...] = ()
     sources: dict[str, int] = field(default_factory=dict)
 
     def folders(self, kind: str, buckets: set[int] | None = None) -> list[str]:
         chosen = [p for p in self.parts if p[0] == kind and (buckets is None or p[1] in buckets)]
-        return [f"v={data}" if bucket is None else f"v={data}/bucket={bucket}" for _, bucket, data in chosen]
+        return [data if bucket is None else f"{data}/bucket={bucket}" for _, bucket, data in chosen]
 
     def has(self, source: str | None, batch: int | None) -> bool:
         return source is not None and batch <= self.sources.get(source, -1)
@@ -57,35 +54,70 @@ class SnapshotStore:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.keys, self.order, self.ties, self.buckets = tuple(keys), tuple(order), tuple(ties), buckets
 
+    def _files(self, *names: str):
+        """Spark's file system of the store, and a path in it."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *names)))
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), place
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the published versions, from the names of their lists alone."""
+        return sorted({int(n) for n in re.findall(r"/v=(\d+)\.json", self._names("versions", "v=*.json"))})
+
+    def _names(self, *pattern: str) -> str:
+        """The files and folders that match, in one text; there are as many as versions are kept, or buckets."""
+        system, place = self._files(*pattern)
+        return " ".join(status.getPath().toString() for status in system.globStatus(place) or ())
+
     def _version(self, number: int | None = None) -> _Version:
         """A published version, by default the newest."""
-        schema = T.StructType([*_MANIFEST.fields, T.StructField("v", T.LongType())])
+        if number is None:
+            number = max(self._numbers(), default=None)
+            if number is None:
+                return _Version()
+        system, place = self._files("versions", f"v={number}.json")
+        if not system.exists(place):
+            raise ValueError(f"there is no version {number}")
+        stream = system.open(place)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
         try:
-            versions = self.spark.read.schema(schema).parquet(f"{self.root}/versions")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            versions = self.spark.createDataFrame([], schema)
-        if number is not None:
-            versions = versions.filter(F.col("v") == number)
-        found = versions.agg(F.max_by(F.struct("v", "parts", "sources"), "v").alias("m")).first()["m"]
-        if found is None:
-            if number is not None:
-                raise ValueError(f"there is no version {number}")
-            return _Version()
-        return _Version(found["v"], tuple(tuple(p) for p in found["parts"]), found["sources"])
+            held = json.loads(text)
+        except ValueError as cause:
+            raise ValueError(f"{place} is not whole: its writer is at work, or died; then remove it") from cause
+        return _Version(number, tuple(tuple(p) for p in held["parts"]), held["sources"])
 
     def version(self) -> int | None:
         """Number of the newest published version."""
-        return self._version().number or None
+        return max(self._numbers(), default=None)
 
-    def _publish(self, before: _Version, parts: list[tuple[str, int, int]], source: str | None, batch: int | None) -> int:
+    def _publish(self, before: _Version, parts: list[tuple[str, int | None, str]], source: str | None, batch: int | None) -> int:
         number = before.number + 1
         sources = before.sources if source is None else {**before.sources, source: batch}
-        row = self.spark.createDataFrame([(parts, sources)], _MANIFEST)
-        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/versions/v={number}")
+        system, place = self._files("versions", f"v={number}.json")
+        try:
+            stream = system.create(place, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName() or system.exists(place):
+                raise FileExistsError(f"another writer has published version {number}") from error
+            raise
+        stream.write(bytearray(json.dumps({"parts": parts, "sources": sources}).encode()))
+        stream.close()
         return number
 
+    def expire(self, keep: int) -> None:
+        """Remove all but the newest `keep` versions, and the data folders that only removed versions list."""
+        numbers = self._numbers()
+        old, stay = numbers[:-keep] if keep else numbers, numbers[-keep:] if keep else []
+        if not stay:
+            raise ValueError("at least one version has to stay")
+        used = {part[2] for number in stay for part in self._version(number).parts}
+        free = {part[2] for number in old for part in self._version(number).parts} - used
+        for names in [("versions", f"v={number}.json") for number in old] + [("data", data) for data in sorted(free)]:
+            system, place = self._files(*names)
+            system.delete(place, True)
+
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets)))
 
@@ -99,13 +131,13 @@ class SnapshotStore:
         partitions = int(initial or self.spark.conf.get("spark.sql.shuffle.partitions"))
         return partitions % self.buckets == 0 or self.buckets % partitions == 0
 
-    def _write_base(self, df: DataFrame, number: int) -> list[tuple[str, int, int]]:
-        """Write rows as data folder `number` and list its buckets. A leftover of a failed writer is replaced."""
-        where = f"{self.root}/data/v={number}"
-        write_table(self._bucketed(df), where, ("bucket",), mode="overwrite", rebalance=not self._aligned())
-        written = self.spark.read.schema(self.schema).option("pathGlobFilter", "*.parquet").parquet(where).inputFiles()
-        buckets = {int(found.group(1)) for name in written if (found := re.search(r"/bucket=(\d+)/", name))}
-        return [("base", bucket, number) for bucket in sorted(buckets)]
+    def _write_base(self, df: DataFrame) -> list[tuple[str, int | None, str]]:
+        """Write rows into a data folder of their own and list its buckets."""
+        data = uuid.uuid4().hex
+        where = f"{self.root}/data/{data}"
+        write_table(self._bucketed(df), where, ("bucket",), mode="errorifexists", rebalance=not self._aligned())
+        found = re.findall(r"/bucket=(\d+)", self._names("data", data, "bucket=*"))
+        return [("base", bucket, data) for bucket in sorted({int(b) for b in found})]
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -116,23 +148,24 @@ class SnapshotStore:
         """Compact `rows` and publish them as a whole new base."""
         before = self._version()
         base = lww(rows.select(*self.schema.names), self.keys, self.order, self.ties)
-        return self._publish(before, self._write_base(base, before.number + 1), source, batch)
+        return self._publish(before, self._write_base(base), source, batch)
 
     def upsert(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
         """Merge rows into the base and rewrite only the buckets they touch; the older row stays on a tie.
 
-        With a source and a batch number, a batch that is not newer than the last of its source has no effect.
+        Deltas take part in the buckets that are rewritten. Their rows can stay in the list: none of them beats a base
+        that has met them. With a source and a batch number, a batch not newer than the last of its source has no effect.
         """
         before = self._version()
         if before.has(source, batch):
             return before.number
         touched = self._bucketed(rows.select(*self.keys)).select("bucket").distinct()
         buckets = {row["bucket"] for row in touched.collect()}  # at most one number per bucket
-        base = self._read(before.folders("base", buckets)).withColumn("_base", F.lit(1))
-        both = base.unionByName(rows.select(*self.schema.names).withColumn("_base", F.lit(0)))
+        held = self._live(before, buckets).withColumn("_base", F.lit(1))
+        both = held.unionByName(rows.select(*self.schema.names).withColumn("_base", F.lit(0)))
         merged = lww(both, self.keys, self.order, ("_base", *self.ties)).drop("_base")
         kept = [part for part in before.parts if part[0] == "delta" or part[1] not in buckets]
-        return self._publish(before, kept + self._write_base(merged, before.number + 1), source, batch)
+        return self._publish(before, kept + self._write_base(merged), source, batch)
 
     def append_delta(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
         """Add rows without touching the base; readers merge them. The cost grows with the batch alone."""
@@ -140,18 +173,38 @@ class SnapshotStore:
         if before.has(source, batch):
             return before.number
         winners = lww(rows.select(*self.schema.names), self.keys, self.order, self.ties)
-        number = before.number + 1
-        write_table(winners, f"{self.root}/data/v={number}", mode="overwrite")
-        return self._publish(before, [*before.parts, ("delta", None, number)], source, batch)
+        data = uuid.uuid4().hex
+        write_table(winners, f"{self.root}/data/{data}", mode="errorifexists")
+        return self._publish(before, [*before.parts, ("delta", None, data)], source, batch)
 
     def compact(self) -> int:
-        """Fold all deltas into the base."""
+        """Fold all deltas into the base; buckets that no delta touches are kept as they are."""
         before = self._version()
-        return self._publish(before, self._write_base(self._live(before), before.number + 1), None, None)
-
-    def _live(self, version: _Version) -> DataFrame:
-        base, deltas = self._read(version.folders("base")), version.folders("delta")
-        return live_view(base, self._read(deltas), self.keys, self.order, self.ties) if deltas else base
+        deltas = self._deltas(before)
+        if deltas is None:
+            return self._publish(before, list(before.parts), None, None)
+        touched = self._bucketed(deltas.select(*self.keys)).select("bucket").distinct()
+        buckets = {row["bucket"] for row in touched.collect()}  # at most one number per bucket
+        kept = [part for part in before.parts if part[0] == "base" and part[1] not in buckets]
+        return self._publish(before, kept + self._write_base(self._live(before, buckets)), None, None)
+
+    def _deltas(self, version: _Version) -> DataFrame | None:
+        """Rows of all deltas with `_older`, which is greater the earlier a delta was added."""
+        rows = None
+        for age, folder in enumerate(version.folders("delta")):
+            part = self._read([folder]).withColumn("_older", F.lit(-age))
+            rows = part if rows is None else rows.unionByName(part)
+        return rows
+
+    def _live(self, version: _Version, buckets: set[int] | None = None) -> DataFrame:
+        """One row per key of a version, or of some of its buckets; of rows that tie the older one stays."""
+        base, deltas = self._read(version.folders("base", buckets)), self._deltas(version)
+        if deltas is None:
+            return base
+        if buckets is not None:
+            deltas = self._bucketed(deltas).filter(F.col("bucket").isin(sorted(buckets))).drop("bucket")
+        newest = lww(deltas, self.keys, self.order, ("_older", *self.ties)).drop("_older")
+        return live_view(base, newest, self.keys, self.order, self.ties)
 
     def read(self, version: int | None = None) -> DataFrame:
         """One row per key of a version, by default the newest."""

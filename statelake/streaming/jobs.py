@@ -74,8 +74,8 @@ def read_updates(spark: SparkSession, out: str, keys: Sequence[str] = KEYS) -> D
     return lww(emitted, keys, ("batch",), ()).drop("batch")
 
 
-def upsert_into(state: DataFrame, store: SnapshotStore, checkpoint: str, name: str, as_delta: bool = False) -> StreamingQuery:
-    """Every batch becomes a snapshot version, rewritten buckets or (as_delta) an appended delta.
+def upsert_into(state: DataFrame, store: SnapshotStore, checkpoint: str, name: str, as_delta: bool = True) -> StreamingQuery:
+    """Every batch becomes a snapshot version, an appended delta or (as_delta=False) rewritten buckets.
 
     Snapshots remember the last batch of every stream, so a batch that is repeated after a failure changes nothing.
     """

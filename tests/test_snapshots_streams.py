@@ -4,7 +4,6 @@ import json
 import random
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from statelake import schemas
@@ -31,9 +30,11 @@ def test_batches(spark, tmp_path, merge):
         expected = overlay(expected, batch)
         rows.append(sorted(expected.values()))
         assert collected(store.read()) == rows[-1]
-    assert [collected(store.read(v)) for v in (1, 2, 3)] == (rows if merge == "upsert" else rows)
+    assert [collected(store.read(v)) for v in (1, 2, 3)] == rows
     store.compact()
     assert collected(store.read()) == rows[-1] and L.duplicate_keys(store.read()).count() == 0
+    store.expire(2)
+    assert store._numbers() == [3, 4] and [collected(store.read(v)) for v in (3, 4)] == [rows[-1]] * 2
     with pytest.raises(ValueError):
         store.read(99)
 
@@ -44,8 +45,8 @@ def test_upsert_keeps_older_on_tie_and_untouched_buckets(spark, tmp_path):
     store.replace(spark.createDataFrame(rows, TEXT))
     store.upsert(spark.createDataFrame([("tx", "a", "k1", "tie", "zzz", 1, 1, 1)], TEXT))
     assert {r["value"] for r in store.read().collect()} == {"old"}
-    folders = {part[2] for part in store._version().parts}
-    assert folders == {1, 2} and len([p for p in store._version().parts if p[2] == 2]) == 1
+    first = {part[2] for part in store._version(1).parts}
+    assert len(first) == 1 and len([p for p in store._version().parts if p[2] not in first]) == 1
     store.upsert(spark.createDataFrame([("tx", "a", "k1", "new", "t", 1, 2, 1)], TEXT))
     assert store.read().filter("value = 'new'").count() == 1 and store.read().count() == 40
     assert store.read(1).filter("value = 'new'").count() == 0
@@ -57,8 +58,8 @@ def test_repeated_batch_and_leftovers(spark, tmp_path):
     two = spark.createDataFrame([("tx", "a", "k", "2", "t", 1, 1, 2), ("tx", "a", "j", "2", "t", 1, 1, 2)], TEXT)
     assert store.upsert(one, "s", 0) == 1
     assert store.upsert(two, "s", 0) == 1 and store.append_delta(two, "s", 0) == 1
-    # a writer died after its data and before its list: the next one replaces the data
-    store._write_base(two.withColumn("value", F.lit("dead")), 2)
+    # a writer died after its data and before its list: nobody reads the data
+    store._write_base(two.withColumn("value", F.lit("dead")))
     assert store.read().count() == 1
     assert store.upsert(two, "other", 0) == 2
     assert {r["value"] for r in store.read().collect()} == {"2"}
@@ -79,10 +80,48 @@ def test_buckets_follow_the_shuffle(spark, tmp_path, buckets, files):
 
 def test_second_writer_fails(spark, tmp_path):
     store = store_of(spark, tmp_path)
-    before = store._version()
-    store._publish(before, [], None, None)
-    with pytest.raises(AnalysisException):
-        store._publish(before, [], None, None)
+    rows = [("tx", "a", f"k{i}", "first", "t", 1, i, 1) for i in range(30)]
+    store.replace(spark.createDataFrame(rows, TEXT))
+    before, held = store._version(), collected(store.read())
+    late = store_of(spark, tmp_path)
+    late._version = lambda number=None: before if number is None else SnapshotStore._version(late, number)
+    winner = [("tx", "a", "k1", "winner", "t", 1, 99, 9)]
+    loser = [("tx", "a", "k1", "loser", "t", 1, 98, 8), ("tx", "a", "new", "loser", "t", 1, 98, 8)]
+    assert store.upsert(spark.createDataFrame(winner, TEXT)) == 2
+    after = collected(store.read())
+    for step in (late.upsert, late.append_delta, late.replace):
+        with pytest.raises(FileExistsError):
+            step(spark.createDataFrame(loser, TEXT))
+    assert collected(store.read(1)) == held and collected(store.read(2)) == collected(store.read()) == after
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deltas_and_upserts_agree_on_ties(spark, tmp_path, seed):
+    """Few keys and orders, so that most rows tie; every way of merging keeps the row that came first."""
+    rng, expected = random.Random(seed), {}
+    stores = {way: store_of(spark, tmp_path / way) for way in ("upsert", "delta", "mixed")}
+    for batch in range(4):
+        rows = [("tx", "a", f"k{rng.randrange(6)}", f"b{batch}", rng.choice("tuv"), 1, rng.randrange(2), 1) for _ in range(5)]
+        df = spark.createDataFrame(rows, TEXT)
+        expected = overlay(expected, rows)
+        stores["upsert"].upsert(df)
+        stores["delta"].append_delta(df)
+        (stores["mixed"].upsert if batch % 2 else stores["mixed"].append_delta)(df)
+        for store in stores.values():
+            assert collected(store.read()) == sorted(expected.values())
+    stores["delta"].compact()
+    assert collected(stores["delta"].read()) == sorted(expected.values())
+
+
+def test_few_delta_keys_leave_the_base_where_it_is(spark, tmp_path):
+    store = store_of(spark, tmp_path)
+    store.replace(spark.createDataFrame([("tx", "a", f"k{i}", "v", "t", 1, 1, 1) for i in range(200)], TEXT))
+    store.append_delta(spark.createDataFrame([("tx", "a", "k7", "w", "t", 1, 2, 2)], TEXT))
+    df = store.read()
+    assert df.filter("value = 'w'").count() == 1 and df.count() == 200
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    kept = plan[plan.index("BroadcastHashJoin"):plan.index("FileScan")]
+    assert "LeftAnti" in kept and "Exchange" not in kept
 
 
 def test_empty_batches(spark, tmp_path):
@@ -117,7 +156,7 @@ def test_stream_into_snapshots_and_restart(spark, tmp_path, as_delta):
         jobs.upsert_into(stream, store, str(tmp_path / "cp"), "s", as_delta).awaitTermination()
 
     run()
-    assert collected(store.read()) == sorted(overlay({}, rows).values()) or as_delta
+    assert collected(store.read()) == sorted(overlay({}, rows).values())
     assert {k[2]: k[7:] for k in collected(store.read())} == {k[2]: k[7:] for k in newest(rows).values()}
     version = store.version()
     run()
