@@ -9,11 +9,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """The small test tables are one row group each, so one task; costly work per row is shared out first."""
-    return df.repartition(column)
-
-
 def state_events(spark: SparkSession, root: str) -> DataFrame:
     """One write per event: key per user, blob per day, four blobs share a timestamp."""
     events = table(spark, root, "events").selectExpr(

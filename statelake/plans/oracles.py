@@ -72,7 +72,7 @@ SELECT kind, path, min(ord) AS ord FROM (
   UNION ALL
   SELECT r.kind, path, ord + coalesce(high, 0) AS ord FROM {CATALOG} r LEFT JOIN (
     SELECT kind, max(ord) + 1 AS high FROM {CATALOG} WHERE page_id % 3 <> 0 GROUP BY kind) m ON m.kind = r.kind
-  WHERE page_id % 2 = 0) GROUP BY kind, path)"""
+  WHERE page_id % 2 = 0 OR page_id % 3 = 0) GROUP BY kind, path)"""
 SEGMENTS = """(
 SELECT *, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS side,
   coalesce(nullif(file, ''), nullif(path, ''), nullif(url, '')) AS k FROM (
@@ -80,6 +80,10 @@ SELECT *, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS side,
     CASE page_id % 4 WHEN 0 THEN 'f' || (page_id // 16) WHEN 1 THEN '' END AS file,
     CASE page_id % 4 WHEN 1 THEN 'f' || (page_id // 16) END AS path,
     CASE page_id % 4 WHEN 2 THEN 'u' || (page_id // 8) END AS url FROM pages))"""
+MERGED_SEGMENTS = f"""(
+SELECT file, path, url, CAST(first.side AS INTEGER) AS side, first.ord AS ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY coalesce(k, 'own ' || page_id) ORDER BY side DESC, ord DESC) AS rn,
+    min({{'side': side, 'ord': ord}}) OVER (PARTITION BY coalesce(k, 'own ' || page_id)) AS first FROM {SEGMENTS}) WHERE rn = 1)"""
 OVERLAY = """(
 SELECT c_custkey AS ord, c_custkey % 11 <> 0 AS prefixed, '0x' || sha256(c_mktsegment || (c_nationkey % 3)) AS class_hash,
   CASE WHEN c_custkey % 4 >= 2 THEN 'W' || c_custkey END AS wallet FROM customer)"""
@@ -124,6 +128,9 @@ SELECT CAST(167001 AS BIGINT) AS chain_id, CAST(timestamp // 86400 AS INTEGER) A
 FROM {EVENTS} GROUP BY ALL""",
     "partitioned_write_read": f"""
 SELECT {COLUMNS}, CAST(5 AS BIGINT) AS chain_id, CAST(timestamp // 86400 AS INTEGER) AS date, type AS topic
+FROM {ORDERS}""",
+    "partitioned_pruned_read": f"""
+SELECT {COLUMNS}, CAST(5 AS BIGINT) AS chain_id, CAST(timestamp // 86400 AS INTEGER) AS date, type AS topic
 FROM {ORDERS} WHERE timestamp // 86400 >= 9140""",
     "state_union": f"SELECT blob_index, count(*) AS rows, max(key) AS key FROM {ORDERS} GROUP BY blob_index",
     "norm_hex_parts": """
@@ -219,19 +226,42 @@ FROM conversations GROUP BY conv_id""",
     "catalog_delta": f"""
 SELECT k AS kind, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS BIGINT) AS added
 FROM (VALUES ('arrow'), ('parquet'), ('files'), ('segments')) AS t(k)
-LEFT JOIN (SELECT kind, count(*) AS n FROM {MERGED} GROUP BY kind) a ON a.kind = k
-LEFT JOIN (SELECT kind, count(*) AS n FROM {CATALOG} WHERE page_id % 3 <> 0 GROUP BY kind) b ON b.kind = k""",
-    "catalog_segments": f"""
-SELECT file, path, url, CAST(first.side AS INTEGER) AS side, first.ord AS ord FROM (
-  SELECT *, row_number() OVER (PARTITION BY coalesce(k, 'own ' || page_id) ORDER BY side DESC, ord DESC) AS rn,
-    min({{'side': side, 'ord': ord}}) OVER (PARTITION BY coalesce(k, 'own ' || page_id)) AS first FROM {SEGMENTS}) WHERE rn = 1""",
+LEFT JOIN (SELECT kind, count(*) AS n FROM {MERGED} GROUP BY kind UNION ALL SELECT 'segments', count(*) FROM {MERGED_SEGMENTS}) a
+  ON a.kind = k
+LEFT JOIN (SELECT kind, count(*) AS n FROM {CATALOG} WHERE page_id % 3 <> 0 GROUP BY kind
+  UNION ALL SELECT 'segments', count(*) FROM pages WHERE page_id % 3 = 0) b ON b.kind = k""",
+    "catalog_segments": f"SELECT * FROM {MERGED_SEGMENTS}",
     "catalog_absolute": """
-SELECT 'files' AS kind, path, min(page_id) AS ord, 'https://lake.example/data' AS base FROM (
-  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://lake.example/data/' || (page_id // 4) END AS path FROM pages)
-GROUP BY path""",
+SELECT kind, path, min(page_id) AS ord, 'https://lake.example/data' AS base FROM (
+  SELECT page_id, ['arrow', 'parquet', 'files', 'urls'][page_id % 4 + 1] AS kind,
+    CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://lake.example/data/' || (page_id // 4) END AS path FROM pages)
+GROUP BY kind, path""",
     "catalog_remap": """
-SELECT 'files' AS kind, CASE WHEN (p.page_id // 2) % 3 = 0 THEN 'objects/' || (p.page_id // 2) ELSE 'p' || (p.page_id // 2) END AS path,
+SELECT ['arrow', 'parquet', 'files', 'urls'][p.page_id % 4 + 1] AS kind,
+  CASE WHEN (p.page_id // 2) % 3 = 0 AND p.page_id % 4 <> 3 THEN 'objects/' || (p.page_id // 2) ELSE 'p' || (p.page_id // 2) END AS path,
   p.page_id AS ord FROM pages p""",
+    "segments_absolute_remap": f"""
+SELECT CASE WHEN page_id % 4 = 0 THEN CASE WHEN (page_id // 16) % 3 = 0 THEN 'objects/' || (page_id // 16)
+    ELSE 'https://lake.example/data/f' || (page_id // 16) END
+  WHEN page_id % 4 = 1 THEN 'https://lake.example/data/' END AS file, path, url, ord FROM {SEGMENTS} WHERE page_id % 3 <> 0""",
+    "manifest_write_read": f"""
+SELECT kind, path, row_number() OVER (PARTITION BY kind ORDER BY ord, path) - 1 AS ord, 'https://lake.example/data' AS base FROM {MERGED}
+UNION ALL
+SELECT 'segments', coalesce('file:' || file, 'path:' || path, 'url:' || url), row_number() OVER (ORDER BY side, ord) - 1,
+  'https://lake.example/data' FROM {MERGED_SEGMENTS}""",
+    "catalog_to_views": f"""
+SELECT address AS name, count(*) AS n FROM {DIFFS} GROUP BY address
+UNION ALL SELECT contract_address, count(*) FROM {NONCES} GROUP BY contract_address""",
+    "preferred_files": f"""
+SELECT blob_index, count(*) AS rows, max(key) AS key FROM (
+  SELECT blob_index, key FROM {ORDERS} UNION ALL SELECT blob_index, key FROM {EVENTS}) GROUP BY blob_index""",
+    "empty_table": f"SELECT {COLUMNS} FROM {ORDERS}",
+    "result_envelope": f"""
+SELECT blob_index, key, CAST(count(*) OVER () AS BIGINT) AS row_count, true AS complete
+FROM (SELECT blob_index, max(key) AS key FROM {EVENTS} GROUP BY blob_index)""",
+    "bad_blobs_left_out": f"""
+SELECT blob_index, count(*) AS rows, max(position) AS last, true AS ok FROM {EVENTS} GROUP BY blob_index
+UNION ALL SELECT blob_index, NULL, NULL, false FROM {EVENTS} WHERE blob_index % 3 = 0 GROUP BY blob_index""",
     "catalog_fallback": f"SELECT 'storage_diffs' AS kind, path, ord FROM {CATALOG} WHERE page_id % 3 <> 0 AND kind = 'parquet'",
     "catalog_build": "SELECT DISTINCT 'parquet' AS kind, lang FROM documents",
     "registered_tables": """

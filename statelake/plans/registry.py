@@ -18,6 +18,7 @@ from statelake.sinks import tables as out
 from statelake.sinks.diff_store import DiffStore
 from statelake.sinks.snapshots import SnapshotStore
 from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, words
+from statelake.sources.files import replacing
 from statelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +173,14 @@ def _event_blobs(spark: SparkSession, root: str) -> str:
     return where
 
 
+def _cut_short(batches):
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            with replacing(path) as sink:
+                sink.write(content[:-30])
+        yield batch.select(["path"])
+
+
 @query
 def blob_decode_roundtrip(spark, root):
     return render_binary(blob.read_blobs(spark, _event_blobs(spark, root), mode="PERMISSIVE"))
@@ -191,10 +200,27 @@ def blob_file_report(spark, root):
     )
 
 
+@query
+def bad_blobs_left_out(spark, root):
+    """Files cut short lie beside the good ones: their rows are left out whole, and the report names them."""
+    where = _event_blobs(spark, root)
+    blob.list_files(spark, where, blob.GLOB).select(
+        F.concat(F.lit(where + "/cut_"), name_index(F.col("path")), F.lit(".blob.gz")).alias("path"), "content"
+    ).filter(name_index(F.col("path")) % 3 == 0).mapInArrow(_cut_short, "path string").write.format("noop").mode("overwrite").save()
+    good = blob.read_blobs(spark, where, mode="PERMISSIVE").groupBy("blob_index").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("position").alias("last"), F.lit(True).alias("ok")
+    )
+    bad = blob.blob_report(spark, where).filter("not ok").select(
+        name_index(F.col("path")).alias("blob_index"), F.lit(None).cast("long").alias("rows"),
+        F.lit(None).cast("long").alias("last"), "ok",
+    )
+    return good.unionAll(bad)
+
+
 @query
 def blob_words(spark, root):
     """A blob per supplier, made of 4,096 hashes; words of both byte orders."""
-    blobs = X.spread(X.table(spark, root, "supplier"), "s_suppkey").selectExpr(
+    blobs = X.table(spark, root, "supplier").selectExpr(
         "concat('s', s_suppkey) as path",
         "unhex(array_join(transform(sequence(0, 4095), i -> sha2(concat(s_suppkey, '-', i), 256)), '')) as content",
     )
@@ -206,7 +232,7 @@ def blob_words(spark, root):
 @query
 def word_state_last(spark, root):
     """The toy state of the words of all suppliers' blobs, and its one last row."""
-    blobs = X.spread(X.table(spark, root, "supplier"), "s_suppkey").selectExpr(
+    blobs = X.table(spark, root, "supplier").selectExpr(
         "cast(s_suppkey as string) as path",
         "unhex(array_join(transform(sequence(0, 4095), i -> sha2(concat(s_suppkey, '-', i), 256)), '')) as content",
     )
@@ -232,6 +258,14 @@ def partition_columns(spark, root):
 
 @query
 def partitioned_write_read(spark, root):
+    where = scratch_path(spark, "lake")
+    out.write_state(X.binary_state(X.state_orders(spark, root)), where, 5, max_records_per_file=5000)
+    return render_binary(spark.read.schema(schemas.STATE_PARTITIONED).parquet(where))
+
+
+@query
+def partitioned_pruned_read(spark, root):
+    """Whole folders are skipped by day and topic."""
     where = scratch_path(spark, "lake")
     out.write_state(X.binary_state(X.state_orders(spark, root)), where, 5, max_records_per_file=5000)
     lake = spark.read.schema(schemas.STATE_PARTITIONED).parquet(where)
@@ -303,7 +337,7 @@ def path_functions(spark, root):
 
 def _diff_texts(spark: SparkSession, root: str) -> DataFrame:
     """A document per line item: two storage entries, none for line 7, with raw hex in mixed case."""
-    return X.spread(X.table(spark, root, "lineitem"), "l_orderkey").selectExpr(
+    return X.table(spark, root, "lineitem").selectExpr(
         "'lineitem' as src",
         "to_json(named_struct('storage_diffs', array(named_struct('address', concat('0x00', hex(l_suppkey)), "
         "'storage_entries', if(l_linenumber = 7, null, array("
@@ -349,7 +383,7 @@ def flatten_deployed(spark, root):
 
 @query
 def flatten_contracts(spark, root):
-    texts = X.spread(X.table(spark, root, "orders"), "o_orderkey").selectExpr(
+    texts = X.table(spark, root, "orders").selectExpr(
         "'orders' as src",
         "concat('{\"contracts\": [{\"address\": ', o_custkey, if(o_orderkey % 2 = 0, ', \"nonce\": 7', ''), "
         "if(o_orderkey % 3 = 0, concat(', \"class_hash\": \"00', o_orderkey, '\"'), ''), "
@@ -530,7 +564,17 @@ def _two_catalogs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         "concat('data/', page_id div 8, '.bin') as path", "page_id as ord",
     )
     names = ["kind", "path", "ord"]
-    return pages.filter("page_id % 3 <> 0").select(names), pages.filter("page_id % 2 = 0").select(names)
+    return pages.filter("page_id % 3 <> 0").select(names), pages.filter("page_id % 2 = 0 or page_id % 3 = 0").select(names)
+
+
+def _two_segments(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    segments = X.table(spark, root, "pages").selectExpr(
+        "page_id", "if(page_id % 4 = 0, concat('f', page_id div 16), if(page_id % 4 = 1, '', null)) as file",
+        "if(page_id % 4 = 1, concat('f', page_id div 16), null) as path",
+        "if(page_id % 4 = 2, concat('u', page_id div 8), null) as url", "page_id as ord",
+    )
+    names = ["file", "path", "url", "ord"]
+    return segments.filter("page_id % 3 = 0").select(names), segments.filter("page_id % 3 <> 0").select(names)
 
 
 @query
@@ -540,25 +584,19 @@ def catalog_merge(spark, root):
 
 @query
 def catalog_delta(spark, root):
-    local, remote = _two_catalogs(spark, root)
-    return cat.delta_counts(local, cat.merge_catalogs(local, remote))
+    (local, remote), (few, more) = _two_catalogs(spark, root), _two_segments(spark, root)
+    return cat.delta_counts(local, cat.merge_catalogs(local, remote), few, cat.merge_segments(few, more))
 
 
 @query
 def catalog_segments(spark, root):
-    segments = X.table(spark, root, "pages").selectExpr(
-        "page_id", "if(page_id % 4 = 0, concat('f', page_id div 16), if(page_id % 4 = 1, '', null)) as file",
-        "if(page_id % 4 = 1, concat('f', page_id div 16), null) as path",
-        "if(page_id % 4 = 2, concat('u', page_id div 8), null) as url", "page_id as ord",
-    )
-    names = ["file", "path", "url", "ord"]
-    return cat.merge_segments(segments.filter("page_id % 3 = 0").select(names), segments.filter("page_id % 3 <> 0").select(names))
+    return cat.merge_segments(*_two_segments(spark, root))
 
 
 @query
 def catalog_absolute(spark, root):
     catalog = X.table(spark, root, "pages").selectExpr(
-        "'files' as kind", "if(page_id % 2 = 0, url, concat(if(page_id % 3 = 0, './', '/'), page_id div 4)) as path", "page_id as ord"
+        "element_at(array('arrow', 'parquet', 'files', 'urls'), cast(page_id % 4 + 1 as int)) as kind", "if(page_id % 2 = 0, url, concat(if(page_id % 3 = 0, './', '/'), page_id div 4)) as path", "page_id as ord"
     )
     return cat.make_absolute(catalog, "https://lake.example/data")
 
@@ -566,11 +604,23 @@ def catalog_absolute(spark, root):
 @query
 def catalog_remap(spark, root):
     pages = X.table(spark, root, "pages")
-    catalog = pages.selectExpr("'files' as kind", "concat('p', page_id div 2) as path", "page_id as ord")
+    kind = "element_at(array('arrow', 'parquet', 'files', 'urls'), cast(page_id % 4 + 1 as int)) as kind"
+    catalog = pages.selectExpr(kind, "concat('p', page_id div 2) as path", "page_id as ord")
     mapping = pages.filter("page_id % 3 = 0").selectExpr("concat('p', page_id) as old", "concat('objects/', page_id) as new")
     return cat.remap_paths(catalog, mapping)
 
 
+@query
+def segments_absolute_remap(spark, root):
+    """Files of segments made absolute and then moved; entries without a file stay."""
+    pages = X.table(spark, root, "pages")
+    segments = cat.absolute_segments(_two_segments(spark, root)[1], "https://lake.example/data")
+    mapping = pages.filter("page_id % 3 = 0").selectExpr(
+        "concat('https://lake.example/data/f', page_id) as old", "concat('objects/', page_id) as new"
+    )
+    return cat.remap_segments(segments, mapping)
+
+
 @query
 def catalog_fallback(spark, root):
     catalog = _two_catalogs(spark, root)[0]
@@ -586,6 +636,70 @@ def catalog_build(spark, root):
     return built.select("kind", F.regexp_extract("path", "^lang=([^/]*)/[^/]*$", 1).alias("lang")).distinct()
 
 
+@query
+def manifest_write_read(spark, root):
+    """A merged catalogue and its segments written as one manifest and read back."""
+    where = f"{scratch_path(spark, 'manifest')}/manifest.json"
+    catalog = cat.merge_catalogs(*_two_catalogs(spark, root))
+    cat.write_manifest(catalog, cat.merge_segments(*_two_segments(spark, root)), where, base="https://lake.example/data")
+    paths, segments = cat.read_manifest(spark, where)
+    base = F.lit(cat.manifest_base(spark, where))
+    named = F.coalesce(*[F.concat(F.lit(c + ":"), c) for c in ("file", "path", "url")])
+    return paths.select("kind", "path", "ord", base.alias("base")).unionAll(
+        segments.select(F.lit("segments").alias("kind"), named.alias("path"), "ord", base.alias("base"))
+    )
+
+
+@query
+def catalog_to_views(spark, root):
+    """Tables written to files, found by a listing, written as a table catalogue, read back and registered."""
+    where = scratch_path(spark, "listed")
+    out.write_table(X.storage_diffs(spark, root), f"{where}/storage_diffs")
+    out.write_table(X.nonces(spark, root), f"{where}/nonces")
+    built = cat.build_catalog(spark, where, include_parquet=True)
+    tables = built.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("kind"), F.concat(F.lit("data/"), "path").alias("path"))
+    cat.write_table_catalog(tables, f"{where}/_tables.json")
+    found = cat.absolute_tables(tab.read_table_catalog(spark, [where]), where)
+    tab.register_tables(spark, found)
+    return sql(
+        spark,
+        "select address as name, count(*) as n from storage_diffs group by address union all "
+        "select contract_address, count(*) from nonces group by contract_address union all "
+        "select class_hash, count(*) from declared_classes group by class_hash",
+    )
+
+
+@query
+def preferred_files(spark, root):
+    """Orders from Parquet although Arrow files are there as well, events from Arrow files, there being no others."""
+    orders, events = (X.binary_state(s(spark, root)) for s in (X.state_orders, X.state_events))
+    parquet, arrow, other = (scratch_path(spark, f"preferred-{k}") for k in ("parquet", "arrow", "other"))
+    out.write_table(orders, parquet)
+    arrow_ipc.write_arrow(events, arrow)
+    arrow_ipc.write_arrow(orders.limit(0), other)
+    chosen = tab.prefer_parquet(spark, [parquet], [other]).unionAll(tab.prefer_parquet(spark, [], [arrow]))
+    return chosen.groupBy("blob_index").agg(F.count(F.lit(1)).alias("rows"), F.max(to_hex(F.col("key"))).alias("key"))
+
+
+@query
+def empty_table(spark, root):
+    """K4: a typed table without rows, and the rows of a full one that it does not hold."""
+    where = scratch_path(spark, "empty")
+    state = X.binary_state(X.state_orders(spark, root))
+    out.write_empty(spark, schemas.STATE, where)
+    empty = spark.read.parquet(where)
+    return render_binary(state.join(empty.select("key"), "key", "left_anti").select(*empty.columns))
+
+
+@query
+def result_envelope(spark, root):
+    """K9: the rows of a report by day as they reach the driver, binary cells as hex, and their number."""
+    report = X.binary_state(X.state_events(spark, root)).groupBy("blob_index").agg(F.max("key").alias("key"))
+    held = out.result_of(report, None)
+    schema = "blob_index long, key string, row_count long, complete boolean"
+    return spark.createDataFrame([(*row, held.row_count, held.complete) for row in held.rows], schema)
+
+
 @query
 def registered_tables(spark, root):
     """Two tables written to files, registered through a catalogue and queried as views; two have no files."""

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statelake import schemas
 from statelake.functions import numeric_max_hex
-from statelake.operators.sizing import fits
 
 # fixed values: the wallets that are known without an external map
 SEED_WALLETS = (
@@ -53,8 +52,7 @@ def overlay_wallets(seed: DataFrame, external: DataFrame) -> DataFrame:
 def wallet_share(deployed: DataFrame, wallets: DataFrame, k: int = 12) -> DataFrame:
     """Deployments per known wallet. Counted per class before the join, so a popular class is one row there."""
     classes = count_by(deployed, "class_hash", "n")
-    known = F.broadcast(wallets) if fits(wallets) else wallets
-    shares = classes.join(known, "class_hash").groupBy("wallet").agg(F.sum("n").alias("cnt"))
+    shares = classes.join(wallets, "class_hash").groupBy("wallet").agg(F.sum("n").alias("cnt"))
     return top(shares, "cnt", "wallet", k)
 
 
@@ -65,10 +63,10 @@ def top_writers(diffs: DataFrame, k: int = 20) -> DataFrame:
 
 
 def share_of_shown(shown: DataFrame, value: str) -> DataFrame:
-    """Percent of the total of the shown rows. `shown` is a report of k rows, which one task may hold."""
-    total = F.sum(value).over(Window.partitionBy())
-    share = F.col(value).cast("double") * 100 / F.when(total == 0, 1).otherwise(total)
-    return shown.withColumn("pct", share)
+    """Percent of the total of the shown rows; the total is one row, summed in every task first."""
+    total = F.broadcast(shown.agg(F.sum(value).alias("_total")))
+    share = F.col(value).cast("double") * 100 / F.when(F.col("_total") == 0, 1).otherwise(F.col("_total"))
+    return shown.join(total).withColumn("pct", share).drop("_total")
 
 
 def latest_nonce_text(nonces: DataFrame, k: int = 50) -> DataFrame:

@@ -69,7 +69,8 @@ def register_tables(spark: SparkSession, catalog: DataFrame, base: str = "") ->
     """
     counts = {}
     for name, schema in schemas.DIFF_TABLES.items():
-        rows = catalog.filter(F.col("kind") == name).orderBy("ord").select("path").toLocalIterator()
+        order = [c for c in ("ord", "path") if c in catalog.columns]
+        rows = catalog.filter(F.col("kind") == name).orderBy(*order).select("path").toLocalIterator()
         paths = [base + row["path"] for row in rows]
         df = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
         df.createOrReplaceTempView(name)

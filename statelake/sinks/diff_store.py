@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from statelake import schemas
 from statelake.operators.flatten import FLATTENERS
 from statelake.operators.increments import file_digests, new_files
-from statelake.operators.sizing import fits
 from statelake.sinks.tables import write_table
 from statelake.sources.decoded_json import GLOB, read_documents
 from statelake.sources.files import list_files
@@ -87,13 +86,13 @@ class DiffStore:
         if replace_by_src:
             newest = self.ledger().groupBy("name").agg(F.max("batch").alias("newest"))
             old = self.ledger().join(newest, "name").filter("batch < newest").select(F.col("name").alias("src"), "batch")
-            rows = rows.join(F.broadcast(old) if fits(old) else old, ["src", "batch"], "left_anti")
+            rows = rows.join(old, ["src", "batch"], "left_anti")
         return rows.select(*schemas.DIFF_TABLES[table].names)
 
     def catalog(self) -> DataFrame:
-        """(kind, path): the files of every table, from a listing alone."""
+        """(kind, path, ord): the files of every table, from a listing alone; their order is that of the paths."""
         published = [f"batch={number}" for number in self._published()]
         files = list_files(self.spark, f"{self.root}/tables", "*.parquet", recursive=True)
         places = files.select("path", F.regexp_extract("path", "/tables/([^/]+)/(batch=[0-9]+)/", 1).alias("kind"),
                               F.regexp_extract("path", "/tables/([^/]+)/(batch=[0-9]+)/", 2).alias("folder"))
-        return places.filter(F.col("folder").isin(published)).select("kind", "path")
+        return places.filter(F.col("folder").isin(published)).select("kind", "path", F.lit(0).cast("long").alias("ord"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -71,6 +72,25 @@ def exists(path: str) -> bool:
     return system.get_file_info(name).type == pafs.FileType.File
 
 
+def write_text(spark: SparkSession, path: str, pieces: Iterator[str]) -> None:
+    """One UTF-8 text file by Spark's file system: written aside, then put in its place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    stream, held, size = system.create(part, False), [], 0
+    for piece in pieces:
+        held.append(piece.encode())
+        size += len(held[-1])
+        if size > 1 << 20:
+            stream.write(bytearray(b"".join(held)))
+            held, size = [], 0
+    stream.write(bytearray(b"".join(held)))
+    stream.close()
+    system.delete(place, False)
+    if not system.rename(part, place):
+        raise OSError(f"{path} was not written")
+
+
 def _whole_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():

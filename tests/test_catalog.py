@@ -60,6 +60,30 @@ def test_absolute_and_remap(spark):
     assert {r["base"] for r in moved.collect()} == {BASE + "/"}
     mapping = spark.createDataFrame([(BASE + "/a", "objects/1.arrow")], "old string, new string")
     assert listed(cat.remap_paths(moved, mapping), "arrow") == ["objects/1.arrow", "http://o/b"]
+    urls = make(spark, urls=[BASE + "/a"], files=[BASE + "/a"])
+    assert listed(cat.remap_paths(urls, mapping), "urls") == [BASE + "/a"]
+    assert listed(cat.remap_paths(urls, mapping), "files") == ["objects/1.arrow"]
+    segments = spark.createDataFrame([("a", "p", 0), (None, "q", 1)], "file string, path string, ord long")
+    there = cat.remap_segments(cat.absolute_segments(segments, BASE), mapping)
+    assert [r[:2] for r in sorted(map(tuple, there.collect()), key=lambda r: r[2])] == [("objects/1.arrow", "p"), (None, "q")]
+    tables = spark.createDataFrame([("nonces", "data/n/1"), ("nonces", "https://o/2"), ("nonces", "./n/3")], "kind string, path string")
+    assert sorted(r["path"] for r in cat.absolute_tables(tables, BASE).collect()) == [BASE + "/n/1", BASE + "/n/3", "https://o/2"]
+
+
+def test_catalogues_fit_together(spark, tmp_path):
+    """What is built, merged and written is read again, without numbers added by hand."""
+    for name in ("b.arrow", "a.arrow"):
+        (tmp_path / name).write_text("x")
+    built = cat.build_catalog(spark, str(tmp_path))
+    merged = cat.merge_catalogs(built, built.drop("ord").unionAll(spark.createDataFrame([("arrow", "0.arrow")], "kind string, path string")))
+    cat.write_manifest(merged, None, str(tmp_path / "manifest.json"), cat.merged_base("here", "there"))
+    cat.write_manifest(merged, None, str(tmp_path / "manifest.json"), cat.merged_base("here", None))
+    catalog, segments = cat.read_manifest(spark, str(tmp_path / "manifest.json"))
+    assert listed(catalog, "arrow") == ["a.arrow", "b.arrow", "0.arrow"] and segments.count() == 0
+    assert cat.manifest_base(spark, str(tmp_path / "manifest.json")) == "here"
+    spark.createDataFrame([("0x1", "0x2", "f")], schemas.NONCES).write.parquet(str(tmp_path / "n"))
+    cat.write_table_catalog(spark.createDataFrame([("nonces", str(tmp_path / "n"))], "kind string, path string"), str(tmp_path / "_tables.json"))
+    assert tab.register_tables(spark, tab.read_table_catalog(spark, [str(tmp_path)]).drop("ord"))["nonces"] == 1
 
 
 def test_fallback(spark):
@@ -76,9 +100,9 @@ def test_build(spark, tmp_path):
     def built(**options):
         return sorted(tuple(r) for r in cat.build_catalog(spark, str(tmp_path / "data"), **options).collect())
 
-    arrow = [("arrow", "a.arrow"), ("arrow", "sub/B.IPC"), ("arrow", "sub/deep/c.feather")]
+    arrow = [("arrow", "a.arrow", 0), ("arrow", "sub/B.IPC", 0), ("arrow", "sub/deep/c.feather", 0)]
     assert built() == arrow
-    assert built(include_parquet=True) == [*arrow, ("parquet", "p.parquet")]
+    assert built(include_parquet=True) == [*arrow, ("parquet", "p.parquet", 0)]
 
 
 def test_table_catalog_of_first_root(spark, tmp_path):

@@ -115,7 +115,7 @@ def test_store(spark, tmp_path):
 
     names = store.catalog()
     assert {r["kind"] for r in names.collect()} >= {"storage_diffs", "nonces"}
-    counts = register_tables(spark, names.withColumn("ord", F.lit(0)))
+    counts = register_tables(spark, names)
     assert counts["storage_diffs"] >= 2
     assert spark.table("storage_diffs").count() == store.read("storage_diffs").count()
 
