@@ -35,19 +35,32 @@ def write_table(
     mode: str = "append",
     max_records_per_file: int = 0,
     rebalance: bool = True,
+    order: tuple[str, ...] = (),
+    row_group_bytes: int | None = None,
 ) -> None:
     """K5/K6: append (or overwrite) as zstd Parquet, optionally with a row limit per file.
 
-    `rebalance=False` saves a shuffle where the rows of a task already belong to few partitions.
+    `rebalance=False` saves a shuffle where the rows of a task already belong to few partitions. With `order` rows are
+    sorted inside files, so that readers skip row groups (of `row_group_bytes`) by their bounds.
     """
     ready = rebalanced(df, *partitions) if partitions and rebalance else df
+    if order:
+        ready = ready.sortWithinPartitions(*partitions, *order)
     writer = ready.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", max_records_per_file)
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def write_state(state: DataFrame, path: str, chain_id: int, mode: str = "append", max_records_per_file: int = 0) -> None:
-    """K1: state rows below chain_id=/date=/topic=."""
-    write_table(with_partition_columns(state, chain_id), path, PARTITIONS, mode, max_records_per_file)
+def write_state(
+    state: DataFrame, path: str, chain_id: int, mode: str = "append", max_records_per_file: int = 0,
+    row_group_bytes: int | None = None,
+) -> None:
+    """K1: state rows below chain_id=/date=/topic=, by blob and position inside files."""
+    write_table(
+        with_partition_columns(state, chain_id), path, PARTITIONS, mode, max_records_per_file,
+        order=("blob_index", "position"), row_group_bytes=row_group_bytes,
+    )
 
 
 def write_empty(spark: SparkSession, schema: T.StructType, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,10 @@ def test_sinks(spark, tmp_path):
     assert back.select("chain_id", "date", "topic").distinct().collect() == [(167001, 20310, "state_diff")]
     assert back.count() == 200 and (tmp_path / "lake/chain_id=167001/date=20310/topic=state_diff").is_dir()
     assert len(back.inputFiles()) >= 7
+    out.write_state(state.repartition(7), str(tmp_path / "ordered"), 1, row_group_bytes=4096)
+    for name in (tmp_path / "ordered").rglob("*.parquet"):
+        rows = pq.read_table(name, columns=["blob_index", "position"]).to_pylist()
+        assert rows == sorted(rows, key=lambda r: (r["blob_index"], r["position"]))
     out.write_table(state, str(tmp_path / "t"))
     out.write_table(state, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 400
