@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from statelake.session import scratch_path
 
@@ -55,3 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_with(df: DataFrame, name: str, *numbers: Column) -> tuple[DataFrame, tuple]:
+    """As `stored`, and aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    labels = [f"n{k}" for k in range(len(numbers))]
+    out = stored(df.observe(seen, *[n.alias(label) for n, label in zip(numbers, labels)]), name)
+    return out, tuple(seen.get.get(label) for label in labels)

@@ -6,9 +6,10 @@ texts agree in a register with the probability Jaccard similarity of their weigh
 shingle stops as soon as its next one is later than every register of its text.
 
 Bands of registers put texts into buckets. Of a bucket the most central member (the one whose buckets are largest) is
-compared with the others, by the exact Jaccard similarity of shingle sets; then, where a bucket still holds members of
-different classes, further members take its place, four times as many in each round, until every pair of a bucket has been
-compared or is in one class. So no round emits all pairs of a group, and no bucket is capped.
+compared with the others, by the exact Jaccard similarity of shingle sets. Where a bucket still holds members of different
+classes, it is cut into cells of bounded size that compare all their members inside a task and emit only the links that
+join two classes. So every pair of a bucket has been compared or is in one class, no pairs of a group are emitted, and no
+bucket is capped.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from statelake.llm.common import fresh, named, stored, whole_text
+from statelake.llm.common import fresh, named, stored, stored_with, whole_text
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
-#: Bytes of words worked on at a time, and shingle sets remembered by a comparing task.
-CHUNK_BYTES, REMEMBERED = 1 << 21, 64
+#: Bytes of words worked on at a time, words of a piece, and shingle sets remembered by a comparing task.
+CHUNK_BYTES, PIECE_WORDS, REMEMBERED = 1 << 21, 100_000, 64
+#: Members and bytes of text in a block of a bucket; a cell holds two blocks. At most 32,768 members.
+BLOCK_MEMBERS, BLOCK_BYTES = 2048, 2 << 20
 
 WORD = re.compile(r"\w+")
 _BITS = np.uint64((1 << 48) - 1)
@@ -58,7 +61,25 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     """Owner (place in `texts`) and 48-bit hash of every shingle, in order; words are runs of letters, digits and `_`,
     lower-cased. A text of fewer words, but one or more, is one shingle; a text without words has none.
     """
-    rows = [" ".join(WORD.findall(t.lower())).encode("utf-8", "replace") for t in texts]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    part, owners, size = [], [], 0
+    for k, text in enumerate(texts):
+        found_words = WORD.findall(text.lower())
+        # a long text is taken in pieces that share the words of a shingle but one
+        for low in range(0, max(1, len(found_words) - words + 1), PIECE_WORDS):
+            part.append(" ".join(found_words[low:low + PIECE_WORDS + words - 1]).encode("utf-8", "replace"))
+            owners.append(k)
+            size += len(part[-1])
+            if size >= CHUNK_BYTES:
+                found.append(_shingles(part, np.array(owners), words))
+                part, owners, size = [], [], 0
+    if part:
+        found.append(_shingles(part, np.array(owners), words))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _shingles(rows: list[bytes], owners: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """`shingles` of rows of words with single spaces between; `owners` by row."""
     raw = np.frombuffer(b" ".join(rows) + b" ", np.uint8)
     power, inverse = _powers(1 << max(12, (len(raw)).bit_length()))
     sums = np.zeros(len(raw) + 1, np.uint64)
@@ -78,7 +99,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     at = at[begins]
     until = ends[np.minimum(at + words - 1, last[begins])]
     value = (sums[until] - sums[starts[at]]) * inverse[starts[at]]
-    return owner[begins], _mixed(value) & _BITS
+    return owners[owner[begins]], _mixed(value) & _BITS
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -187,17 +208,73 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def cell_links(members: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Links that join classes inside buckets, of `members` (b, node, class): `a`, `b`, `similarity`.
+
+    The members of a bucket are dealt into blocks by a hash, and a cell compares two blocks of a bucket (or one with
+    itself) inside its task by counts over shared shingles. It emits links that join two classes and no other pairs. Blocks
+    are as many as keep their members and their text below the bounds; a small bucket is one cell.
+    """
+    held = stored(members.join(texts, "node").select("b", "node", "class", "text"), "cell-texts")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum(F.octet_length("text")) / BLOCK_BYTES)
+    blocks = stored(held.groupBy("b").agg(F.ceil(size).cast("int").alias("n")), "blocks")
+    mine = F.pmod(F.xxhash64("node", "b"), F.col("n")).cast("int")
+    others = F.sequence(F.lit(0), F.col("n") - 1)
+    dealt = held.join(blocks, "b").withColumn("mine", mine).withColumn("other", F.explode(others)).select(
+        "b", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "class", "text"
+    )
+
+    def compare(cell: pa.Table) -> pa.Table:
+        found = _joining(cell, least)
+        columns = list(zip(*found)) or [(), (), ()]
+        return pa.table({
+            "a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary()),
+            "similarity": pa.array(columns[2], pa.float64()),
+        })
+
+    return dealt.groupBy("b", "i", "j").applyInArrow(compare, "a binary, b binary, similarity double")
+
+
+def _joining(cell: pa.Table, least: float) -> list[tuple[bytes, bytes, float]]:
+    """Links of a cell that join classes; a pair is looked at only while its classes are apart."""
+    nodes, names = cell.column("node").to_pylist(), cell.column("class").to_pylist()
+    block = cell.column("mine").to_numpy()
+    number = {c: k for k, c in enumerate(dict.fromkeys(names))}
+    group = np.array([number[c] for c in names], np.int64)
+    owner, value = shingles(cell.column("text").to_pylist())
+    keys = np.unique((owner.astype(np.uint64) << np.uint64(48)) | value)
+    owner, value = (keys >> np.uint64(48)).astype(np.int64), keys & _BITS
+    size = np.bincount(owner, minlength=len(nodes))
+    start = np.append(0, np.cumsum(size))
+    _, word, many = np.unique(value, return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(word, kind="stable")]
+    first = np.cumsum(many) - many
+    same_block = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+    found = []
+    for x in range(len(nodes)):
+        if not size[x] or (group == group[x]).all():
+            continue
+        mine = word[start[x]:start[x + 1]]
+        times = many[mine]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[mine], times)
+        shared = np.bincount(holders[at], minlength=len(nodes))
+        near = (shared > 0) & (shared >= least * (size[x] + size - shared) - 1e-9)
+        for y in np.flatnonzero(near):
+            if group[y] != group[x] and (same_block or block[y] != block[x]):
+                found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), shared[y] / (size[x] + size[y] - shared[y])))
+                group[group == group[y]] = group[x]
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """`node`, `class` (least node) of every node of `links` (a, b): large-star and small-star steps until nothing moves.
 
     Minima are aggregated in every task first, and stored before they are joined, so that AQE can split a hot node.
     """
-    edges = stored(
-        links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "links"
-    )
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, stored, and a mark of them: their number and the sum of their hashes."""
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        return stored_with(e.filter("u <> v").distinct(), "links", F.count(F.lit(1)), total)
 
     def large(edges: DataFrame) -> DataFrame:
         """Larger neighbours of u go to the least of u's neighbourhood."""
@@ -211,11 +288,11 @@ def components(links: DataFrame) -> DataFrame:
         moved = edges.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v"))
         return moved.unionAll(least.select(F.col("m").alias("u"), "v"))
 
-    marks = [mark(edges)]
+    edges, mark = kept(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    marks = [mark]
     while not (len(marks) > 2 and marks[-1] == marks[-2] == marks[-3]):
-        step = large if len(marks) % 2 else small
-        edges = stored(step(edges).filter("u <> v").distinct(), "links")
-        marks.append(mark(edges))
+        edges, mark = kept((large if len(marks) % 2 else small)(edges))
+        marks.append(mark)
     return edges.select(F.col("v").alias("node"), F.col("u").alias("class")).unionAll(
         edges.select(F.col("u").alias("node"), F.col("u").alias("class"))
     ).distinct()
@@ -227,43 +304,36 @@ def linked(nodes: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFra
     Links are as many as the components need: members of a bucket that already are in one class are not compared again.
     """
     spark = nodes.sparkSession
-    bands = stored(band_rows(nodes), "bands")
     # copies of a text have the same bands
-    bands = stored(bands.groupBy("node").agg(F.first("bands").alias("bands")), "bands")
+    bands = stored(band_rows(nodes).groupBy("node").agg(F.first("bands").alias("bands")), "bands")
     members = bands.select("node", F.explode("bands").alias("b"))
     sizes = stored(members.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = stored(members.join(sizes, "b"), "members")
     weight = stored(members.groupBy("node").agg(F.sum("n").alias("w")), "centrality")
-    members = stored(members.join(weight, "node").select("b", "node", "w", F.col("node").alias("class")), "members")
+    members, (many,) = stored_with(
+        members.join(weight, "node").select("b", "node", "w", F.col("node").alias("class")), "members", F.count(F.lit(1))
+    )
     texts = stored(
         nodes.select("node", "text").join(weight.select("node"), "node", "left_semi").groupBy("node").agg(
             F.first("text").alias("text")
         ), "near-texts",
     )
-    links = spark.createDataFrame([], "a binary, b binary, similarity double")
-    classes = spark.createDataFrame([], "node binary, class binary")
-    heads_per_bucket = 1
-    while not members.isEmpty():
-        salt = F.pmod(F.xxhash64(F.lit(heads_per_bucket), "node"), F.lit(heads_per_bucket))
-        best = members.groupBy("b", salt.alias("s")).agg(F.max(F.struct("w", "node", "class")).alias("x"))
-        heads = stored(best.select("b", F.col("x.node").alias("head"), F.col("x.class").alias("head_class")), "heads")
-        pairs = members.join(heads, "b").filter("node <> head and class <> head_class").select(
-            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")
-        ).distinct()
-        found = stored(similar_pairs(pairs, texts, least), "links")
-        # all pairs of a head are compared now, so it leaves its buckets
-        left = members.join(heads.select("b", F.col("head").alias("node")), ["b", "node"], "left_anti")
-        if not found.isEmpty():
-            links = stored(links.unionAll(found), "all-links")
-            classes = stored(components(links), "classes")
-            left = left.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        left = stored(left.select("b", "node", "w", "class"), "members")
-        mixed = stored(
-            left.groupBy("b").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-            .select("b"), "mixed",
-        )
-        members = stored(left.join(mixed, "b"), "members")
-        heads_per_bucket *= 4
+    # every member against the most central one of its bucket
+    best = members.groupBy("b").agg(F.max(F.struct("w", "node")).alias("x"))
+    heads = stored(best.select("b", F.col("x.node").alias("head")), "heads")
+    pairs = members.join(heads, "b").filter("node <> head").select(
+        F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")
+    ).distinct()
+    links, (many,) = stored_with(similar_pairs(pairs, texts, least), "links", F.count(F.lit(1)))
+    classes = components(links) if many else spark.createDataFrame([], "node binary, class binary")
+    # where a bucket holds several classes, all of its members, in cells of bounded size
+    known = members.select("b", "node").join(stored(classes, "classes"), "node", "left")
+    known = stored(known.select("b", "node", F.coalesce("class", "node").alias("class")), "members")
+    mixed = known.groupBy("b").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    left, (many,) = stored_with(known.join(mixed.select("b"), "b"), "mixed", F.count(F.lit(1)))
+    if many:
+        links, (more,) = stored_with(links.unionAll(cell_links(left, texts, least)), "links", F.count(F.lit(1)))
+        classes = components(links)
     return links, classes
 
 
