@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +33,8 @@ REGISTERS = BANDS * ROWS
 CHUNK_BYTES, PIECE_WORDS, REMEMBERED = 1 << 21, 100_000, 64
 #: Members and bytes of text in a block of a bucket; a cell holds two blocks. At most 32,768 members.
 BLOCK_MEMBERS, BLOCK_BYTES = 2048, 2 << 20
+#: Bits of the bitmap that keeps texts without a partner in any bucket out of a shuffle (8 MB).
+FILTER_BITS = 26
 
 WORD = re.compile(r"\w+")
 _BITS = np.uint64((1 << 48) - 1)
@@ -298,6 +301,31 @@ def components(links: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _maybe_among(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `nodes` whose node may be one of `wanted`: by a bitmap of hashes, of fixed size whatever the input.
+
+    It keeps the text of most other nodes out of the shuffle of the join that follows and decides.
+    """
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+    width = 1 << 15  # bits of one bitmap of Spark
+    maps = wanted.select(place.alias("h")).groupBy(F.floor(F.col("h") / width).alias("k")).agg(
+        F.bitmap_construct_agg(F.col("h") % width).alias("bits")
+    ).collect()
+    table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in maps:
+        table[row["k"] * width // 8:(row["k"] + 1) * width // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    shared = nodes.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for part in parts:
+            at = part.to_numpy(np.int64)
+            yield pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return nodes.filter(held(place))
+
+
 def linked(nodes: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between different texts of `nodes` (node, text), and their components.
 
@@ -313,8 +341,9 @@ def linked(nodes: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFra
     members, (many,) = stored_with(
         members.join(weight, "node").select("b", "node", "w", F.col("node").alias("class")), "members", F.count(F.lit(1))
     )
+    few = _maybe_among(nodes.select("node", "text"), weight)
     texts = stored(
-        nodes.select("node", "text").join(weight.select("node"), "node", "left_semi").groupBy("node").agg(
+        few.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(
             F.first("text").alias("text")
         ), "near-texts",
     )
