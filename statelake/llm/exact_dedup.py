@@ -78,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = recipes(docs, id_col, text_col, **options).withColumn("r", F.xxhash64("recipe"))
     # counted in every task first; only recipes of several rows take part in the join, which AQE splits if one is hot
     groups = rows.groupBy("r", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.filter("group_size > 1")
+    several = stored(groups.filter("group_size > 1"), "recipe-groups")
     joined = rows.join(several, ["r", "recipe"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
