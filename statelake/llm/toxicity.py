@@ -178,7 +178,7 @@ def terms(text: str) -> set[str]:
 def learn_lexicon(sample: DataFrame, texts: dict[int, int]) -> Lexicon:
     """Terms that toxic texts have `exp(LEAST_ODDS)` times as often or more; counted in tasks, summed by Spark.
 
-    A beginning stands for the words below it, so a word counts by itself only if it weighs more.
+    Of a beginning and a longer term that occur in equally many texts of either kind only the longer one is taken.
     """
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -196,6 +196,12 @@ def learn_lexicon(sample: DataFrame, texts: dict[int, int]) -> Lexicon:
     ).filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(
         (F.col("odds") * F.sqrt("toxic")).desc(), "term"
     ).limit(LEXICON_TERMS).collect()
+    # a beginning that stands in the same texts as a longer term says less than that one
+    same = {
+        (r["term"][:k], r["toxic"], r["clean"]) for r in found for k in range(BEGINNINGS.start, len(r["term"].rstrip()) + 1)
+        if k < len(r["term"])
+    }
+    found = [r for r in found if (r["term"], r["toxic"], r["clean"]) not in same]
     words = {r["term"][:-1]: r["odds"] for r in found if r["term"].endswith(" ")}
     begins = {r["term"]: r["odds"] for r in found if not r["term"].endswith(" ")}
     return Lexicon(words, begins)
