@@ -101,4 +101,5 @@ def op10_chat_format(spark, root):
     turns = spark.read.parquet(f"{root}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(
         spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     )
-    return chat_format.digests(chat_format.format_blocks(turns, public_tokenizers.path("byte_bpe_50k.json")))
+    rows = chat_format.digests(chat_format.format_blocks(turns, public_tokenizers.path("byte_bpe_50k.json")))
+    return rows.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
