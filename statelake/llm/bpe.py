@@ -24,7 +24,9 @@ NONE = np.int32(2**31 - 1)
 #: Pieces longer than this are merged with a heap: a matrix row takes time with the square of its length.
 ROW_BYTES = 1024
 #: Characters of text whose pieces are held at a time, and pieces remembered between blocks.
-BLOCK_CHARS, REMEMBERED = 1 << 21, 400_000
+BLOCK_CHARS, REMEMBERED = 1 << 20, 200_000
+#: Rows of a batch that go out together.
+ROWS_OUT = 500
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512, ROW_BYTES)
 WIDTH_OF = [next(w for w in WIDTHS if w >= n) for n in range(ROW_BYTES + 1)]
 
@@ -39,6 +41,7 @@ class Ranks:
         for token, number in self.id_of.items():
             self.bytes_of[number] = token
         self.text_of = [str(k) for k in range(size)]
+        self.numbers = list(range(size))
         self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)], np.int32)
         self.base = np.int64(size)
         pairs = {}
@@ -188,8 +191,9 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        same = self.ranks.numbers.__getitem__  # one int object for each id, however often it is remembered
         for piece, ids in zip(new, self.ranks.encode_pieces([p.encode("utf-8") for p in new])):
-            self.known[piece] = ids
+            self.known[piece] = tuple(map(same, ids))
 
     def blocks(self, text: str) -> Iterator[list[int]]:
         """Ids of `text`, some ten thousand pieces at a time."""
@@ -251,7 +255,7 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(file.value, pattern)
         word = codec.ranks.text_of
-        for batch in batches:
+        for batch in (b.slice(low, ROWS_OUT) for b in batches for low in range(0, b.num_rows, ROWS_OUT)):
             count, told, back, kept = [], [], [], []
             for blocks in codec.encode(batch.column(1).to_pylist()):
                 n, told_hash, back_hash, all_ids = 0, hashlib.sha256(), hashlib.sha256(), []

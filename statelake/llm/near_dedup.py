@@ -30,7 +30,7 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 #: Bytes of words worked on at a time, words of a piece, and shingle sets remembered by a comparing task.
-CHUNK_BYTES, PIECE_WORDS, REMEMBERED = 1 << 21, 100_000, 64
+CHUNK_BYTES, PIECE_WORDS, REMEMBERED = 1 << 20, 50_000, 64
 #: Members and bytes of text in a block of a bucket; a cell holds two blocks. At most 32,768 members.
 BLOCK_MEMBERS, BLOCK_BYTES = 2048, 2 << 20
 #: Bits of the bitmap that keeps texts without a partner in any bucket out of a shuffle (8 MB).
@@ -48,7 +48,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2^64, and their inverses."""
     inverse = pow(_BASE, -1, 1 << 64)
