@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A text is a weighted set: its shingles of five words, each with its count. Every shingle is a Poisson process whose rate
-is its weight; each arrival falls into one of the registers, and a register keeps the shingle of its first arrival. Two
-texts agree in a register with the probability Jaccard similarity of their weights. Arrivals of a shingle ascend, so a
-shingle stops as soon as its next one is later than every register of its text.
+A text is the set of its shingles of five words, for the bands and for the links alike: how often it repeats one does not
+count. Every shingle is a Poisson process of rate 1 (its count, where `signatures` is given repeats); each arrival falls
+into one of the registers, and a register keeps the shingle of its first arrival. Two texts agree in a register with the
+Jaccard similarity of their sets. Arrivals of a shingle ascend, so a shingle stops as soon as its next one is later than
+every register of its text.
 
 Bands of registers put texts into buckets. Of a bucket the most central member (the one whose buckets are largest) is
 compared with the others, by the exact Jaccard similarity of shingle sets. Where a bucket still holds members of different
@@ -105,10 +106,17 @@ def _shingles(rows: list[bytes], owners: np.ndarray, words: int) -> tuple[np.nda
     return owners[owner[begins]], _mixed(value) & _BITS
 
 
+def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """`shingles` without repeats, by owner and value; at most 65,536 texts at a time."""
+    owner, value = shingles(texts, words)
+    keys = np.unique((owner.astype(np.uint64) << np.uint64(48)) | value)
+    return (keys >> np.uint64(48)).astype(np.int64), keys & _BITS
+
+
 def signatures(owner: np.ndarray, shingle: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
     """ProbMinHash registers by text: the shingle of the first arrival; all ones for texts without shingles.
 
-    At most 65,536 texts at a time.
+    Repeats of a shingle are its weight. At most 65,536 texts at a time.
     """
     keys, weight = np.unique((owner.astype(np.uint64) << np.uint64(48)) | shingle, return_counts=True)
     owner, shingle = (keys >> np.uint64(48)).astype(np.int64), keys & _BITS
@@ -163,7 +171,7 @@ def band_rows(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for low, high in _chunks(texts):
-                owner, shingle = shingles(texts[low:high])
+                owner, shingle = shingle_sets(texts[low:high])
                 keys = band_keys(signatures(owner, shingle, high - low))
                 has = np.bincount(owner, minlength=high - low) > 0
                 lists = pa.ListArray.from_arrays(
@@ -185,7 +193,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
 
         def of(node: bytes, text: str) -> np.ndarray:
             if node not in known:
-                known[node] = np.unique(shingles([text])[1])
+                known[node] = shingle_sets([text])[1]
                 if len(known) > REMEMBERED:
                     known.popitem(last=False)
             known.move_to_end(node)
@@ -244,9 +252,7 @@ def _joining(cell: pa.Table, least: float) -> list[tuple[bytes, bytes, float]]:
     block = cell.column("mine").to_numpy()
     number = {c: k for k, c in enumerate(dict.fromkeys(names))}
     group = np.array([number[c] for c in names], np.int64)
-    owner, value = shingles(cell.column("text").to_pylist())
-    keys = np.unique((owner.astype(np.uint64) << np.uint64(48)) | value)
-    owner, value = (keys >> np.uint64(48)).astype(np.int64), keys & _BITS
+    owner, value = shingle_sets(cell.column("text").to_pylist())
     size = np.bincount(owner, minlength=len(nodes))
     start = np.append(0, np.cumsum(size))
     _, word, many = np.unique(value, return_inverse=True, return_counts=True)

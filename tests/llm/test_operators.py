@@ -319,6 +319,35 @@ def test_a_large_group_around_one_text(spark):
     assert all(r.class_id == r.doc_id for r in out if r.doc_id >= 2000)
 
 
+def test_passages_repeated_unevenly(spark):
+    """Links are of shingle sets, so how often a passage stands in a text does not matter."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(12):
+        common = [f"c{k}_{rng.randrange(900)}" for _ in range(300)]
+        line = [f"l{k}_{j}" for j in range(12)]
+        texts += [" ".join(common + line * n) for n in (2, 20, 50, 200)]
+        texts += [" ".join(common[:at] + [f"n{k}"] + common[at:] + line * n) for at, n in ((100, 3), (200, 120))]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i:i + 5]) for i in range(len(w) - 4)})
+    least = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(rows).collect()} == dict(enumerate(least))
+    owner, value = near_dedup.shingle_sets(texts)
+    registers = near_dedup.signatures(owner, value, len(texts))
+    for a in range(len(texts)):
+        for b in range(a):
+            true = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert abs((registers[a] == registers[b]).mean() - true) < 0.15
+
+
 def test_components_of_a_chain(spark):
     chain = [(bytes([k]), bytes([k + 1]), 1.0) for k in range(0, 60)] + [(bytes([100]), bytes([90]), 1.0)]
     links = spark.createDataFrame(chain, "a binary, b binary, similarity double")
