@@ -2,8 +2,9 @@
 
 Beside the patterns, long strings that stand close behind a sensitive word are candidates. A candidate's novelty is what
 it adds to a zstandard frame of its surroundings, when the compressor already knows common identifiers and the code around
-the candidate: a name, a path or a repeated value adds a few bytes, a random value nearly its full entropy. Strings whose
-added bytes per character reach `NOVEL` are reported.
+the candidate: a name or a path adds a few bytes, a random value nearly its full entropy. Copies of a candidate are taken out of its
+surroundings first. Strings whose added bytes per character reach `NOVEL` are reported, and so are their copies in
+sensitive places.
 """
 
 from __future__ import annotations
@@ -78,8 +79,12 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def novel_spans(text: str, novelty: Novelty, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Strings behind a sensitive word that the surroundings do not explain and that no span of `taken` meets."""
-    out: list[tuple[int, str, int]] = []
+    """Strings behind a sensitive word that the surroundings do not explain and that no span of `taken` meets.
+
+    Every copy counts as novel where one is, by the text around it without any copy.
+    """
+    found: list[tuple[int, int, str]] = []
+    novel: set[str] = set()
     done = 0
     spans = sorted((s, e) for s, _, e in taken)
     at = 0
@@ -95,18 +100,45 @@ def novel_spans(text: str, novelty: Novelty, taken: list[tuple[int, str, int]])
                 at += 1
             if any(s < m.end() for s, _ in spans[at:at + 1]):
                 continue
-            before, after = text[max(0, m.start() - AROUND):m.start()], text[m.end():m.end() + AROUND]
-            if novelty.added(before, value, after) >= NOVEL * len(value):
-                out.append((m.start(), "novel", m.end()))
-    return out
+            core = _core(value)
+            found.append((m.start(), m.end(), core))
+            if core not in novel and novelty.added(*_around(text, m, core)) >= NOVEL * len(value):
+                novel.add(core)
+    return [(start, "novel", end) for start, end, core in found if core in novel]
 
 
-def spans_of(text: str, novelty: Novelty) -> list[tuple[int, str, int]]:
+def _core(value: str) -> str:
+    """What copies of a value have in common: `=X` behind a word and `X` are the same."""
+    return value.strip("=_~-") or value
+
+
+def _around(text: str, m: re.Match, core: str) -> tuple[str, str, str]:
+    """Text before the candidate, the candidate, and text behind it, without copies of `core`, those at the rims too."""
+    copy = re.compile(re.escape(core), re.I | re.A)
+    wide = AROUND + len(core)
+    before = copy.sub(" ", text[max(0, m.start() - wide):m.start()])
+    return before[-AROUND:], m.group(), copy.sub(" ", text[m.end():m.end() + wide])[:AROUND]
+
+
+def every_span(text: str, novelty: Novelty) -> list[tuple[int, str, int]]:
     """All spans by start, then kind in the order of `KINDS`; code points, end exclusive."""
     base = base_spans(text)
     return sorted(base + novel_spans(text, novelty, base), key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
+def spans_of(text: str, novelty: Novelty) -> list[tuple[int, str, int]]:
+    """`every_span` with each novel value once, where it stands first."""
+    seen: set[str] = set()
+    out = []
+    for start, kind, end in every_span(text, novelty):
+        core = _core(text[start:end])
+        if kind != "novel" or core not in seen:
+            out.append((start, kind, end))
+        if kind == "novel":
+            seen.add(core)
+    return out
+
+
 def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
@@ -122,7 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             digests, told = [], []
             for text in batch.column(1).to_pylist():
-                spans = spans_of(text, novelty)
+                spans = every_span(text, novelty)
                 for kind in KINDS:
                     counts[kind].append(sum(s[1] == kind for s in spans))
                 base = joined([s for s in spans if s[1] != "novel"])

@@ -257,6 +257,23 @@ def test_secret_spans():
     assert len(secret_scan.spans_of(twice, novelty)) < 2  # the second is known from the first
 
 
+def test_every_copy_of_a_secret(spark):
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts, wanted = [], []
+    for n in (20, 32, 40, 64):
+        for gap in (0, 200, 200 + n // 2, 600):
+            for _ in range(5):
+                value = "".join(rng.choice(alphabet) for _ in range(n - 1)) + "7"
+                line = f"curl -H 'Authorization: Bearer {value}' https://api.example.com/v1/"
+                texts.append(f"{line}\n{'so it is said ' * (gap // 14)}\n{line}")
+                wanted.append([k for k in range(len(texts[-1])) if texts[-1].startswith(value, k)])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(rows).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("novel")]
+        assert [int(s[1]) for s in spans] == wanted[r.doc_id] and r.n_novel == 2
+
+
 # -- near duplicates -------------------------------------------------------------------------------------------------
 
 
