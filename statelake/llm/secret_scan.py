@@ -3,14 +3,19 @@
 Beside the patterns, long strings that stand close behind a sensitive word are candidates. A candidate's novelty is what
 it adds to a zstandard frame of its surroundings, when the compressor already knows common identifiers and the code around
 the candidate: a name or a path adds a few bytes, a random value nearly its full entropy. Copies of a candidate are taken out of its
-surroundings first. Strings whose added bytes per character reach `NOVEL` are reported, and so are their copies in
-sensitive places.
+surroundings first. Candidates are measured in windows of at most 40 characters, in which Huffman coding does not pay, so
+that one bound serves all alphabets and lengths. Strings whose added bytes per character reach `NOVEL` are reported, and
+so are their copies in sensitive places. A compressor does not know words it has not met: strings without digits must also
+be explained no better by the letter pairs around them than by chance. Lines that follow a candidate are candidates too,
+in a PEM block all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +37,15 @@ KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authoriz|bearer|signature", re.I | re.A)
 REACH, AROUND = 48, 256
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
-NOVEL = 0.68
+NOVEL, WINDOW = 0.68, 40
+#: What may stand between the lines of one value, the rest of a PEM label, and its last line, which may be short.
+BETWEEN = re.compile(r"""(?:\\[nr]|[\s"'`,;|>#*+\\]){1,16}""")
+PEM, PEM_END = re.compile(r"[A-Z ]*-----"), "-----END"
+SHORT_LINE = re.compile(r"(?:\\[nr]|[\s\"'`,;|>#*+])+([A-Za-z0-9+/=]{1,15})(?=(?:\\[nr]|[\s\"'`,;|>#*+])*-----END)")
+#: Pieces that look like words, which the compressor knows in lower case.
+WORDLIKE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+#: Bits of a letter by chance.
+LETTER_BITS = math.log2(26)
 #: Identifiers and code the compressor knows beforehand, besides the surroundings of a candidate.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 xxxxxxxxxxxxxxxxxxxxxxxx "
@@ -54,6 +67,30 @@ class Novelty:
     def __init__(self, identifiers: str = IDENTIFIERS):
         # level 19 parses exhaustively, so that sizes of short frames tell literals from matches
         self.base = identifiers.encode()
+        self.pairs = self._pairs(identifiers)
+
+    @staticmethod
+    def _pairs(text: str) -> Counter[str]:
+        return Counter(w[k:k + 2] for w in re.findall(r"[a-z]{2,}", text.lower()) for k in range(len(w) - 1))
+
+    def letter_bits(self, before: str, candidate: str, after: str) -> float:
+        """Bits of a letter of the candidate by the letter pairs of identifiers and surroundings."""
+        pairs = self.pairs + self._pairs(before + " " + after)
+        firsts: Counter[str] = Counter()
+        for p, n in pairs.items():
+            firsts[p[0]] += n
+        mine = self._pairs(candidate)
+        bits = sum(-n * math.log2((pairs[p] + 0.25) / (firsts[p[0]] + 6.5)) for p, n in mine.items())
+        return bits / mine.total() if mine else LETTER_BITS
+
+    def novel(self, before: str, candidate: str, after: str) -> bool:
+        """Whether the surroundings do not explain the candidate, by windows over its whole length."""
+        count = -(-len(candidate) // WINDOW)
+        cuts = [len(candidate) * k // count for k in range(count + 1)]
+        added = sum(self.added(before, candidate[a:b], after) for a, b in zip(cuts, cuts[1:]))
+        if added < NOVEL * len(candidate):
+            return False
+        return any(c.isdigit() for c in candidate) or self.letter_bits(before, candidate, after) >= LETTER_BITS
 
     def added(self, before: str, candidate: str, after: str) -> int:
         known = zstandard.ZstdCompressionDict(
@@ -64,7 +101,8 @@ class Novelty:
         tail = before[-32:].encode("utf-8", "replace")
         alone = len(packer.compress(tail))
         # words joined in CamelCase are known by their lower-case forms
-        return min(len(packer.compress(tail + c.encode())) for c in (candidate, candidate.lower())) - alone
+        plain = WORDLIKE.sub(lambda w: w.group().lower(), candidate)
+        return min(len(packer.compress(tail + c.encode())) for c in (candidate, plain)) - alone
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -89,21 +127,27 @@ def novel_spans(text: str, novelty: Novelty, taken: list[tuple[int, str, int]])
     spans = sorted((s, e) for s, _, e in taken)
     at = 0
     for word in SENSITIVE.finditer(text):
+        reach = word.end() + REACH
+        if PEM.match(text, word.end()) and (ends := text.find(PEM_END, word.end())) >= 0:
+            reach = max(reach, ends)
         for m in CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() > word.end() + REACH:
+            # lines that follow the last candidate are near as well
+            if m.start() > reach and not (done > word.end() and BETWEEN.fullmatch(text, done, m.start())):
                 break
             done = m.end()
             value = m.group()
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
             while at < len(spans) and spans[at][1] <= m.start():
                 at += 1
             if any(s < m.end() for s, _ in spans[at:at + 1]):
                 continue
             core = _core(value)
             found.append((m.start(), m.end(), core))
-            if core not in novel and novelty.added(*_around(text, m, core)) >= NOVEL * len(value):
+            if core not in novel and novelty.novel(*_around(text, m, core)):
                 novel.add(core)
+            short = SHORT_LINE.match(text, done)
+            if short and core in novel:
+                done = short.end()
+                found.append((short.start(1), short.end(1), core))
     return [(start, "novel", end) for start, end, core in found if core in novel]
 
 

@@ -274,6 +274,23 @@ def test_every_copy_of_a_secret(spark):
         assert [int(s[1]) for s in spans] == wanted[r.doc_id] and r.n_novel == 2
 
 
+def test_random_values_of_any_alphabet_and_length():
+    rng = random.Random(22)
+    novelty = secret_scan.Novelty()
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    alphabets = ("0123456789ABCDEF", upper + "234567", upper + lower + "0123456789-_", upper + lower)
+    for alphabet in alphabets:
+        for n in (24, 64, 100, 256, 768, 2048, 4096):
+            text = "the bearer " + "".join(rng.choice(alphabet) for _ in range(n)) + " then"
+            assert secret_scan.every_span(text, novelty) == [(11, "novel", 11 + n)]
+    assert secret_scan.every_span("the bearer 8291047365518204 then", novelty) == [(11, "novel", 27)]
+    lines = ["".join(rng.choice(alphabets[2][:-2] + "+/") for _ in range(n)) for n in (64,) * 20 + (9,)]
+    text = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+    assert [text[a:b] for a, _, b in secret_scan.every_span(text, novelty)] == lines
+    for plain in ("internationalization", "getAuthorizationTokenFromRequest", "AuthenticationManagerBuilder", "-" * 40):
+        assert secret_scan.every_span(f"the bearer {plain} then", novelty) == []
+
+
 # -- near duplicates -------------------------------------------------------------------------------------------------
 
 
