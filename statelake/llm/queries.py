@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statelake.llm import (
-    bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, quality, secret_scan, sharding, toxicity,
+    alignment, bpe, chat_format, clustering, decontaminate, exact_dedup, line_dedup, near_dedup, packing, quality,
+    secret_scan, sharding, toxicity,
 )
 from statelake.llm.common import documents
 from statelake.llm.fitting import fold
@@ -103,3 +104,34 @@ def op10_chat_format(spark, root):
     )
     rows = chat_format.digests(chat_format.format_blocks(turns, public_tokenizers.path("byte_bpe_50k.json")))
     return rows.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query
+def op11_token_alignment(spark, root):
+    import public_tokenizers
+
+    aligned = alignment.alignments(
+        documents(spark, root), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    digest = F.when(F.col("groups") == "", "").when(F.col("groups") != "", F.sha2("groups", 256))
+    return alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query
+def op12_centroids(spark, root):
+    rows, centroids = clustering.cluster(spark.read.parquet(f"{root}/embeddings.parquet"))
+    return clustering.with_inertia(rows, centroids).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query
+def op13_packing(spark, root):
+    import public_tokenizers
+
+    pieces = packing.pack(documents(spark, root), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

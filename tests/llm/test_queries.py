@@ -11,7 +11,7 @@ from statelake.llm.oracles import ORACLES
 from statelake.llm.queries import QUERIES
 
 ROOT = "/root/testdata/sf0.001"
-TABLES = "documents benchmark labels conversations".split()
+TABLES = "documents benchmark labels conversations embeddings".split()
 
 
 @pytest.fixture(scope="module")
