@@ -18,28 +18,28 @@ _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 def _centroids(k: int = 40, rounds: int = 5, salt: str = "2:") -> str:
     """Rounds of exact assignment and floored means over long rows (vector, component), written out one by one."""
     steps = [f"""
-        WITH kept AS (SELECT row_number() OVER () AS row, vec_id,
-            list_transform(embedding, x -> floor(x::DOUBLE * 256)::BIGINT) AS q
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS num, vec_id,
+            list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q
           FROM embeddings WHERE len(embedding) = 64
-            AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
-        v AS (SELECT row, vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS at FROM kept),
-        start AS (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), q) - 1 AS c, q FROM kept
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+        v AS MATERIALIZED (SELECT num, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM kept),
+        start AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), q) - 1 AS c, q FROM kept
           WHERE vec_id IS NOT NULL ORDER BY c LIMIT {k}),
-        c0 AS (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS at FROM start)"""]
+        c0 AS (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM start)"""]
     for r in range(rounds + 1):
         steps.append(f"""
-        f{r} AS (SELECT row, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN c{r} m USING (at) GROUP BY row, c),
-        a{r} AS (SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM f{r} GROUP BY row)""")
+        f{r} AS (SELECT num, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN c{r} m USING (pos) GROUP BY num, c),
+        a{r} AS MATERIALIZED (SELECT num, arg_min(c, (d, c)) AS c, min(d) AS d FROM f{r} GROUP BY num)""")
         if r < rounds:
             steps.append(f"""
-        s{r} AS (SELECT c, at, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} USING (row) GROUP BY c, at),
-        c{r + 1} AS (SELECT m.c, m.at, CASE WHEN n IS NULL THEN m.x ELSE (s - ((s % n) + n) % n) // n END AS x
-          FROM c{r} m LEFT JOIN s{r} USING (c, at))""")
+        s{r} AS (SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} USING (num) GROUP BY c, pos),
+        c{r + 1} AS MATERIALIZED (SELECT m.c, m.pos, CASE WHEN n IS NULL THEN m.x ELSE (s - ((s % n) + n) % n) // n END AS x
+          FROM c{r} m LEFT JOIN s{r} USING (c, pos))""")
     return ",".join(steps) + f""",
-        digest AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY at)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        digest AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
         SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
           (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
-        FROM kept JOIN a{rounds} USING (row) JOIN digest USING (c)"""
+        FROM kept JOIN a{rounds} USING (num) JOIN digest USING (c)"""
 
 
 ORACLES: dict[str, str] = {
