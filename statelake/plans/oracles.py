@@ -34,6 +34,13 @@ COMPLETE = f"""(
 SELECT eth_block, tx_hash, idx, path FROM {ITEMS} WHERE (eth_block, tx_hash) IN (
   SELECT (eth_block, tx_hash) FROM {ITEMS} GROUP BY eth_block, tx_hash
   HAVING count(*) = max(idx) + 1 AND count(DISTINCT idx) = count(*) AND min(idx) = 0))"""
+USER_EVENTS = """(
+SELECT event_id, event_type, value, CASE WHEN user_id % 50 = 7 THEN NULL WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k,
+  CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS BIGINT) AS t FROM events)"""
+OPEN_ORDERS = """(
+SELECT CASE WHEN o_custkey % 40 = 3 THEN NULL ELSE o_custkey END AS k, o_orderkey AS o,
+  date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s,
+  CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + pow(o_orderkey % 7, 3) - 1 AS BIGINT) AS e FROM orders)"""
 COLUMNS = "type, address, key, value, tx_hash, blob_index, position, timestamp"
 LATEST = "timestamp DESC, blob_index DESC, position DESC, tx_hash DESC, value DESC"
 
@@ -268,6 +275,25 @@ UNION ALL SELECT blob_index, NULL, NULL, false FROM {EVENTS} WHERE blob_index %
 SELECT 'storage_diffs' AS name, count(*) AS n, count(*) AS with_src FROM lineitem UNION ALL
 SELECT 'nonces', count(*), count(*) FROM conversations UNION ALL
 SELECT 'declared_classes', 0, 0 UNION ALL SELECT 'deployed_or_replaced', 0, 0""",
+    "asof_join_events": f"""
+SELECT l.event_id, l.k, l.t, r.seen_t, r.seen_id, r.seen_value FROM (SELECT * FROM {USER_EVENTS} WHERE event_type = 'purchase') l
+ASOF LEFT JOIN (SELECT k, t AS seen_t, max(event_id) AS seen_id, arg_max(value, event_id) AS seen_value FROM {USER_EVENTS}
+  WHERE event_type IN ('view', 'click') GROUP BY k, t) r ON l.k = r.k AND l.t >= r.seen_t""",
+    "asof_join_next_error": f"""
+SELECT l.event_id, l.k, l.t, CASE WHEN r.error_t - l.t <= 48 THEN r.error_t END AS error_t,
+  CASE WHEN r.error_t - l.t <= 48 THEN r.error_id END AS error_id
+FROM (SELECT * FROM {USER_EVENTS} WHERE event_type = 'signup') l
+ASOF LEFT JOIN (SELECT k, t AS error_t, min(event_id) AS error_id FROM {USER_EVENTS} WHERE event_type = 'error' GROUP BY k, t) r
+  ON l.k = r.k AND l.t < r.error_t""",
+    "overlapping_orders": f"""
+SELECT l.k, l.o AS a, l.s AS a_start, l.e AS a_end, r.o AS b, r.s AS b_start, r.e AS b_end
+FROM {OPEN_ORDERS} l JOIN {OPEN_ORDERS} r ON l.k = r.k AND l.o < r.o AND l.s <= r.e AND r.s <= l.e
+WHERE l.s <= l.e AND r.s <= r.e""",
+    "events_in_windows": """
+SELECT event_id, s_suppkey AS window FROM events JOIN (SELECT s_suppkey,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(s_suppkey * 7 % 720 AS INTEGER)) AS lo,
+    CASE WHEN s_suppkey % 500 = 0 THEN 43200 ELSE CAST(pow(s_suppkey % 5, 4) AS INTEGER) END AS minutes FROM supplier)
+  ON ts BETWEEN lo AND lo + to_minutes(minutes)""",
     "stream_lww_events": _lww(EVENTS),
     "stream_late_data": _lww(EVENTS),
     "stream_catch_up": f"SELECT {COLUMNS}, CAST(7 AS BIGINT) AS chain_id, CAST(timestamp // 86400 AS INTEGER) AS date FROM {EVENTS}",

@@ -10,6 +10,8 @@ from statelake import fixtures as X, schemas
 from statelake.functions import (
     absolute_path, date_text, day_number, extension, iso_seconds, name_index, norm_hex, render_binary, short_hex, to_hex,
 )
+from statelake.operators.asof import asof_join
+from statelake.operators.intervals import overlap_join
 from statelake.operators import flatten as fl, increments as inc, lww as lw, sets
 from statelake.plans import catalog as cat, reports as rep, tables as tab
 from statelake.plans.sql import sql
@@ -164,6 +166,59 @@ def snapshot_version_read(spark, root):
     return store.read(first)
 
 
+# -- joins by time --------------------------------------------------------------------------------------------------
+
+
+def _user_events(spark: SparkSession, root: str) -> DataFrame:
+    """Events by hour; a third of all users share one key, some have none."""
+    return X.table(spark, root, "events").selectExpr(
+        "event_id", "event_type", "value", "case when user_id % 50 = 7 then null when user_id % 3 = 0 then 0 else user_id end as k",
+        "cast(datediff(cast(ts as date), date'2024-01-01') as bigint) * 24 + hour(ts) as t",
+    )
+
+
+@query
+def asof_join_events(spark, root):
+    """What a user had looked at last when they bought something."""
+    events = _user_events(spark, root)
+    seen = events.filter("event_type in ('view', 'click')").selectExpr("k", "t as seen_t", "event_id as seen_id", "value as seen_value")
+    bought = events.filter("event_type = 'purchase'").select("event_id", "k", "t")
+    return asof_join(bought, seen, ["k"], "t", "seen_t", ["seen_id"])
+
+
+@query
+def asof_join_next_error(spark, root):
+    """The first error of a user later than a sign-up, within two days."""
+    events = _user_events(spark, root)
+    errors = events.filter("event_type = 'error'").selectExpr("k", "t as error_t", "event_id as error_id")
+    joined = events.filter("event_type = 'signup'").select("event_id", "k", "t")
+    return asof_join(joined, errors, ["k"], "t", "error_t", ["error_id"], "forward", strict=True, tolerance=48)
+
+
+@query
+def overlapping_orders(spark, root):
+    """Pairs of orders of one customer that were open at the same time."""
+    spans = X.table(spark, root, "orders").selectExpr(
+        "case when o_custkey % 40 = 3 then null else o_custkey end as k", "o_orderkey as a",
+        "cast(datediff(cast(o_orderdate as date), date'1990-01-01') as bigint) as a_start",
+        "cast(datediff(cast(o_orderdate as date), date'1990-01-01') + pow(o_orderkey % 7, 3) - 1 as bigint) as a_end",
+    )
+    others = spans.selectExpr("k", "a as b", "a_start as b_start", "a_end as b_end")
+    return overlap_join(spans, others, ("a_start", "a_end"), ("b_start", "b_end"), ["k"]).filter("a < b")
+
+
+@query
+def events_in_windows(spark, root):
+    """Events inside windows of very different lengths, up to a month."""
+    windows = X.table(spark, root, "supplier").selectExpr(
+        "s_suppkey as window", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(s_suppkey * 7 % 720 as int)) as lo",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(s_suppkey * 7 % 720 as int), "
+        "cast(if(s_suppkey % 500 = 0, 43200, pow(s_suppkey % 5, 4)) as int)) as hi",
+    )
+    events = X.table(spark, root, "events").select("event_id", "ts")
+    return overlap_join(events, windows, ("ts", "ts"), ("lo", "hi")).select("event_id", "window")
+
+
 # -- blobs ----------------------------------------------------------------------------------------------------------
 
 
