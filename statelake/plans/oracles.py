@@ -296,6 +296,19 @@ SELECT event_id, s_suppkey AS window FROM events JOIN (SELECT s_suppkey,
   ON ts BETWEEN lo AND lo + to_minutes(minutes)""",
     "stream_lww_events": _lww(EVENTS),
     "stream_late_data": _lww(EVENTS),
+    "stream_keyed_changes": f"SELECT * FROM ({_lww(EVENTS)}) WHERE blob_index > 5",
+    "snapshot_key_sketches": f"""
+SELECT v.version, CASE v.version WHEN 1 THEN (SELECT count(DISTINCT key) FROM {ORDERS} WHERE blob_index <= 30)
+  ELSE (SELECT count(DISTINCT key) FROM {ORDERS}) END AS keys, v.version <> 2 AS exact, true AS near, true AS middle_in_range
+FROM (VALUES (1), (2), (3)) AS v(version)""",
+    "snapshot_changes": f"""
+WITH a AS ({_lww(ORDERS, "blob_index <= 40 AND position % 5 <> 0")}),
+b AS ({_lww(ORDERS, "blob_index <= 60 OR position % 5 = 0")})
+SELECT CASE WHEN a.key IS NULL THEN 'insert' ELSE 'update' END AS change, b.key, a.value AS old_value, b.value AS new_value
+FROM b LEFT JOIN a ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value""",
+    "history_as_of": _lww(EVENTS, "blob_index <= 12"),
+    "history_intervals": f"""
+SELECT key, position, blob_index, lead(blob_index) OVER (PARTITION BY key ORDER BY blob_index, position) AS valid_to FROM {EVENTS}""",
     "stream_catch_up": f"SELECT {COLUMNS}, CAST(7 AS BIGINT) AS chain_id, CAST(timestamp // 86400 AS INTEGER) AS date FROM {EVENTS}",
     **{name: text.replace("left semi join", "semi join") for name, text in PASSTHROUGH.items()},
 }

@@ -18,10 +18,11 @@ from statelake.plans.sql import sql
 from statelake.session import scratch_path
 from statelake.sinks import tables as out
 from statelake.sinks.diff_store import DiffStore
+from statelake.sinks.history import HistoryStore
 from statelake.sinks.snapshots import SnapshotStore
 from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, words
 from statelake.sources.files import replacing
-from statelake.streaming import jobs
+from statelake.streaming import jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,6 +167,58 @@ def snapshot_version_read(spark, root):
     return store.read(first)
 
 
+@query
+def snapshot_key_sketches(spark, root):
+    """Keys of every version by sketches, without its rows, beside what a scan counts; and the median of the times."""
+    orders = X.state_orders(spark, root)
+    store = SnapshotStore(
+        spark, scratch_path(spark, "sketches"), schema=orders.schema, buckets=8, sketches=["timestamp"],
+    )
+    versions = [store.replace(orders.filter("blob_index <= 30")), store.append_delta(orders.filter("blob_index > 30")), store.compact()]
+    parts = []
+    for version in versions:
+        middle = store.quantiles("timestamp", [0.5], version).select(F.col("value").alias("middle"))
+        estimate = store.key_estimate(version).select(F.col("keys").alias("estimate"), "exact")
+        counted = store.read(version).agg(F.count(F.lit(1)).alias("keys"))
+        parts.append(counted.crossJoin(estimate).crossJoin(middle).select(  # one row each
+            F.lit(version).alias("version"), "keys", "exact", (F.abs(F.col("estimate") / F.col("keys") - 1) < 0.08).alias("near"),
+            F.col("middle").between(788918400, 788918400 + 86400 * 90).alias("middle_in_range"),
+        ))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query
+def snapshot_changes(spark, root):
+    """What an upsert and a delta change: rows that are new and rows that win."""
+    orders, store = _order_store(spark, root, "changes")
+    first = store.replace(orders.filter("blob_index <= 40 and position % 5 <> 0"))
+    store.upsert(orders.filter("blob_index between 41 and 60"))
+    last = store.append_delta(orders.filter("position % 5 = 0"))
+    changes = store.changes(first, last)
+    return changes.select("change", "after.key", F.col("before.value").alias("old_value"), F.col("after.value").alias("new_value"))
+
+
+def _event_history(spark: SparkSession, root: str) -> HistoryStore:
+    """Events by blob in three batches; rows of the last come late and split intervals."""
+    events = X.state_events(spark, root)
+    store = HistoryStore(spark, scratch_path(spark, "history"), events.schema, order=("blob_index", "position"), buckets=8)
+    store.merge(events.filter("blob_index <= 10 and position % 10 <> 0"))
+    store.merge(events.filter("blob_index between 11 and 20"))
+    store.merge(events.filter("blob_index > 20 or position % 10 = 0"))
+    return store
+
+
+@query
+def history_as_of(spark, root):
+    """The state as it was at a blob, as a filter of intervals."""
+    return _event_history(spark, root).as_of(12)
+
+
+@query
+def history_intervals(spark, root):
+    return _event_history(spark, root).read().select("key", "position", "blob_index", "valid_to")
+
+
 # -- joins by time --------------------------------------------------------------------------------------------------
 
 
@@ -794,6 +847,16 @@ def stream_lww_events(spark, root):
     return jobs.read_updates(spark, updates)
 
 
+@query
+def stream_keyed_changes(spark, root):
+    """A stream that starts from a snapshot and emits only what changes it."""
+    events = X.state_events(spark, root)
+    start = lw.as_of(events, blob_index=5)
+    updates, checkpoint = scratch_path(spark, "updates"), scratch_path(spark, "checkpoint")
+    jobs.updates_to(keyed.changed_values(_event_stream(spark, root), start), updates, checkpoint).awaitTermination()
+    return jobs.read_updates(spark, updates)
+
+
 @query
 def stream_late_data(spark, root):
     """Upserts by batch into snapshots, where late rows must lose."""
