@@ -296,6 +296,11 @@ SELECT event_id, s_suppkey AS window FROM events JOIN (SELECT s_suppkey,
   ON ts BETWEEN lo AND lo + to_minutes(minutes)""",
     "stream_lww_events": _lww(EVENTS),
     "stream_late_data": _lww(EVENTS),
+    "stream_blob_source": _lww(EVENTS),
+    "blob_source_sql": f"""
+SELECT blob_index, count(*) AS rows, max(position) AS last, max(key) AS key FROM {EVENTS}
+WHERE blob_index BETWEEN 3 AND 20 AND timestamp >= 1704067200 + 345600 AND type = 'state_diff' GROUP BY blob_index""",
+    "arrow_source_sql": f"SELECT {COLUMNS} FROM {ORDERS} WHERE blob_index > 40 AND position % 3 = 0",
     "stream_keyed_changes": f"SELECT * FROM ({_lww(EVENTS)}) WHERE blob_index > 5",
     "snapshot_key_sketches": f"""
 SELECT v.version, CASE v.version WHEN 1 THEN (SELECT count(DISTINCT key) FROM {ORDERS} WHERE blob_index <= 30)

@@ -20,7 +20,7 @@ from statelake.sinks import tables as out
 from statelake.sinks.diff_store import DiffStore
 from statelake.sinks.history import HistoryStore
 from statelake.sinks.snapshots import SnapshotStore
-from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, words
+from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, formats, words
 from statelake.sources.files import replacing
 from statelake.streaming import jobs, keyed
 
@@ -357,6 +357,26 @@ def arrow_scan(spark, root):
     return render_binary(arrow_ipc.read_arrow(spark, where))
 
 
+@query
+def blob_source_sql(spark, root):
+    """Blob files named in SQL, with bounds that reach the files."""
+    formats.register(spark)
+    spark.sql(f"create or replace temporary view blob_source using zkbl options (path '{_event_blobs(spark, root)}')")
+    return spark.sql(
+        "select blob_index, count(*) as rows, max(position) as last, concat('0x', lower(hex(max(key)))) as key from blob_source "
+        "where blob_index between 3 and 20 and timestamp >= 1704067200 + 345600 and type = 'state_diff' group by blob_index"
+    )
+
+
+@query
+def arrow_source_sql(spark, root):
+    formats.register(spark)
+    where = scratch_path(spark, "arrow")
+    arrow_ipc.write_arrow(X.binary_state(X.state_orders(spark, root)), where)
+    spark.sql(f"create or replace temporary view arrow_source using arrowfile options (path '{where}')")
+    return render_binary(spark.sql("select * from arrow_source where blob_index > 40 and position % 3 = 0"))
+
+
 @query
 def partition_columns(spark, root):
     return out.with_partition_columns(X.state_events(spark, root), 167001).groupBy("chain_id", "date", "topic").agg(
@@ -866,6 +886,16 @@ def stream_late_data(spark, root):
     return store.read()
 
 
+@query
+def stream_blob_source(spark, root):
+    """Blob files by the format's own stream, compacted from what it wrote."""
+    formats.register(spark)
+    found, checkpoint = scratch_path(spark, "found"), scratch_path(spark, "checkpoint")
+    stream = spark.readStream.format("zkbl").option("settleSeconds", "0").load(_event_blobs(spark, root))
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found).awaitTermination()
+    return render_binary(lw.lww(spark.read.schema(schemas.STATE).parquet(found)))
+
+
 @query
 def stream_catch_up(spark, root):
     """Blob files decoded once by a stream into the partitioned table."""

@@ -13,7 +13,7 @@ from statelake import schemas
 from statelake.sources.files import list_files, open_random, refuse_used, replacing
 
 SLICE_ROWS = 65_536
-_ARROW = {T.StringType: pa.string(), T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
+ARROW_TYPES = {T.StringType: pa.string(), T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
 
 
 def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +29,7 @@ def read_arrow(spark: SparkSession, path: str | list[str], schema: T.StructType
 
     Footers are read first; then every record batch is its own piece of work, so a large file is shared by tasks.
     """
-    target = pa.schema([(f.name, _ARROW[type(f.dataType)]) for f in schema.fields])
+    target = pa.schema([(f.name, ARROW_TYPES[type(f.dataType)]) for f in schema.fields])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -108,6 +108,20 @@ def _decode_file(path: str, content: pa.Buffer | None, chunk: int) -> Iterator[p
         raise BlobFormatError(f"{path}: {cause}") from cause
 
 
+def file_timestamp(path: str) -> int:
+    """The timestamp in the header of a file, which all its rows have."""
+    try:
+        with _open(path, None) as stream:
+            return _read_header(stream)[0]
+    except (BlobFormatError, EOFError, gzip.BadGzipFile, zlib.error) as cause:
+        raise BlobFormatError(f"{path}: {cause}") from cause
+
+
+def decode_path(path: str, skip_bad: bool = False, chunk: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of one file, opened by its path inside a task; with `skip_bad` a file with a fault has none."""
+    return (_decode_good if skip_bad else _decode_file)(path, None, chunk)
+
+
 def _check_file(path: str, content: pa.Buffer | None, chunk: int) -> tuple[int, str | None]:
     rows = 0
     try:

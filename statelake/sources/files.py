@@ -36,7 +36,8 @@ def refuse_used(spark: SparkSession, path: str) -> None:
         raise FileExistsError(f"{path} exists: write into a folder of its own")
 
 
-def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
+def resolve(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that tasks open a path with, and the path in it."""
     local = re.sub("^file:/+", "/", path)
     if local.startswith("/"):
         return pafs.LocalFileSystem(), local
@@ -45,20 +46,20 @@ def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
 
 def open_for_read(path: str):
     """Sequential byte stream, opened inside a task."""
-    system, name = _resolve(path)
+    system, name = resolve(path)
     return system.open_input_stream(name, compression=None)
 
 
 def open_random(path: str):
     """Random-access byte source, opened inside a task."""
-    system, name = _resolve(path)
+    system, name = resolve(path)
     return system.open_input_file(name)
 
 
 @contextmanager
 def replacing(path: str):
     """Byte sink of a task attempt that becomes `path` when it is complete, so no reader or other attempt sees a part."""
-    system, name = _resolve(path)
+    system, name = resolve(path)
     folder, base = name.rsplit("/", 1)
     system.create_dir(folder, recursive=True)
     part = f"{folder}/.{base}.{TaskContext.get().taskAttemptId()}"
@@ -68,7 +69,7 @@ def replacing(path: str):
 
 
 def exists(path: str) -> bool:
-    system, name = _resolve(path)
+    system, name = resolve(path)
     return system.get_file_info(name).type == pafs.FileType.File
 
 
