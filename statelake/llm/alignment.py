@@ -51,8 +51,9 @@ class ByteLevelSide:
         self.encode_one = encoder(file, plain_specials=True)
         self.bytes_of = vocabulary_bytes(self.encode_one.spec)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encode_one(" " + t) for t in texts]
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        arrays = [self.encode_one(" " + t).astype(np.int64) for t in texts]
+        return [(a.tolist(), a) for a in arrays]
 
 
 class PieceSide:
@@ -70,8 +71,8 @@ class PieceSide:
             byte = self._BYTE.fullmatch(piece)
             self.bytes_of.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, "<u4") for ids in self.made.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        return [(ids, np.array(ids, np.int64)) for ids in self.made.encode(texts, num_threads=1)]
 
 
 _sides: dict[tuple[type, bytes], object] = {}
@@ -82,34 +83,55 @@ def side(kind: type, file: bytes):
     if key not in _sides:
         made = kind(file)
         made.size_of = np.fromiter(map(len, made.bytes_of), np.int64, len(made.bytes_of))
-        made.strings = [[f"{i}{end}" for end in ",|;"] for i in range(len(made.bytes_of))]
         _sides[key] = made
     return _sides[key]
 
 
-# -- links -----------------------------------------------------------------------------------------------------------
+_numbers: list[str] = []
 
 
-def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (index of the left and of the right token) and the shared ends, of ascending ends over the same bytes.
+def numbers(size: int) -> list[str]:
+    """Texts of ids with what may follow them: of id i at 3 i, 3 i + 1 and 3 i + 2."""
+    _numbers.extend(f"{i}{end}" for i in range(len(_numbers) // 3, size) for end in ",|;")
+    return _numbers
 
-    Between two neighbouring ends of either side exactly one token of each side reaches, and two tokens that overlap do so
-    in one such stretch, so the ends of both sides taken together are the links.
-    """
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends)
+
+# -- links -----------------------------------------------------------------------------------------------------------
 
 
-def group_text(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, shared: np.ndarray, left, right) -> str:
-    """Groups as `a1,a2|b1;a3|b2`: ids of the left, ids of the right, group by group."""
-    a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
-    a_at = np.arange(len(a)) + np.searchsorted(b_group, a_group)
-    b_at = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
-    a_last, b_last = a_ends == shared[a_group], b_ends == shared[b_group]
-    out = np.empty(len(a) + len(b), object)
-    out[a_at] = [left[i][end] for i, end in zip(a.tolist(), a_last.tolist())]
-    out[b_at] = [right[i][2 * end] for i, end in zip(b.tolist(), b_last.tolist())]
-    return "".join(out.tolist())[:-1]
+class Ends:
+    """Where the tokens of two sides end over the same bytes, as masks by byte, and what follows from them."""
+
+    def __init__(self, a_ends: np.ndarray, b_ends: np.ndarray):
+        size = int(a_ends[-1]) + 1
+        self.a_ends, self.b_ends = a_ends, b_ends
+        in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+        in_a[a_ends], in_b[b_ends] = True, True
+        self.a_count, self.b_count = np.cumsum(in_a, dtype=np.int32), np.cumsum(in_b, dtype=np.int32)
+        self.in_both = in_a & in_b
+        self.shared, self.either = np.flatnonzero(self.in_both), np.flatnonzero(in_a | in_b)
+        self.in_a, self.in_b = in_a, in_b
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the left and of the right token of every link.
+
+        Between two neighbouring ends of either side exactly one token of each side reaches, and two tokens that overlap
+        do so in one such stretch, so the ends of both sides taken together are the links.
+        """
+        at = self.either
+        return self.a_count[at] - self.in_a[at], self.b_count[at] - self.in_b[at]
+
+    def text(self, a: np.ndarray, b: np.ndarray, strings: list[str]) -> str:
+        """Groups as `a1,a2|b1;a3|b2`: ids of the left, ids of the right, group by group."""
+        group = np.cumsum(self.in_both, dtype=np.int32)
+        a_last, b_last = self.in_both[self.a_ends], self.in_both[self.b_ends]
+        a_group, b_group = group[self.a_ends] - a_last, group[self.b_ends] - b_last
+        b_before = np.r_[0, self.b_count[self.shared]]  # right tokens of earlier groups
+        a_until = self.a_count[self.shared]  # left tokens up to the end of a group
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + b_before[a_group]] = 3 * a + a_last
+        out[np.arange(len(b)) + a_until[b_group]] = 3 * b + 2 * b_last
+        return "".join([strings[i] for i in out.tolist()])[:-1]
 
 
 # -- bitmaps ---------------------------------------------------------------------------------------------------------
@@ -150,7 +172,7 @@ def alignments(
     """Rows of documents (`pair` is null) and postings (`pair` is not), one pass over the texts.
 
     Documents: `chunk` and `place` (their number), `doc_id`, `n_a`, `n_b`, `n_groups`, `n_links`, `groups` (see
-    `group_text`). Texts that are null or empty, or whose tokens of one side do not spell a blank and the text, have no
+    `Ends.text`). Texts that are null or empty, or whose tokens of one side do not spell a blank and the text, have no
     tokens: zeros and an empty string. Each row is a document of its own, also where ids repeat; null ids stay null.
     Postings: `chunk`, `pair` (left id * 2^32 + right id), `plane` (-1: the documents of the pair; p: those in which bit p
     of its links - 1 is set), `bitmap`. A task holds the postings of one chunk and the tokens of one block of texts or one
@@ -173,9 +195,9 @@ def alignments(
                 held.append(postings)
                 place, n_held = place + len(texts), n_held + len(postings[0])
                 if n_held >= CHUNK_POSTINGS or place > CHUNK_DOCS - _MOST_ROWS:
-                    yield from _postings(chunk, held)
+                    yield from _postings(chunk, held, len(right.bytes_of))
                     chunk, place, held, n_held = chunk + 1, 0, [], 0
-        yield from _postings(chunk, held)
+        yield from _postings(chunk, held, len(right.bytes_of))
 
     source = docs.select(named(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return source.mapInArrow(run, _SCHEMA)
@@ -196,53 +218,51 @@ def _text_blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(low)
 
 
-def _block(texts: list[str], left, right, first: int) -> tuple[dict, tuple[np.ndarray, ...]]:
-    """Columns of the documents of a block, and its postings: pair, place, number of links."""
-    n = len(texts)
+def _block(texts: list[str], left, right, first: int) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
+    """Columns of the documents of a block, and its postings: (left id * ids of the right + right id) * 2^16 + place,
+    ascending, and the number of links of each."""
+    n, many = len(texts), len(right.bytes_of)
     out = {c: [0] * n for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups": [""] * n}
     full = [k for k in range(n) if texts[k]]
     some = [texts[k] for k in full]
-    pairs, places = [], []
-    for k, text, a, b in zip(full, some, left.encode(some), right.encode(some)):
+    strings = numbers(max(len(left.bytes_of), many))
+    of_a, of_b = left.bytes_of.__getitem__, right.bytes_of.__getitem__
+    keys = []
+    for k, text, (a_ids, a), (b_ids, b) in zip(full, some, left.encode(some), right.encode(some)):
         raw = b" " + text.encode()
-        if b"".join([left.bytes_of[i] for i in a.tolist()]) != raw or b"".join([right.bytes_of[i] for i in b.tolist()]) != raw:
+        if b"".join(map(of_b, b_ids)) != raw or b"".join(map(of_a, a_ids)) != raw:
             continue
-        a_ends, b_ends = np.cumsum(left.size_of[a]), np.cumsum(right.size_of[b])
-        at_a, at_b, shared = links(a_ends, b_ends)
-        out["n_a"][k], out["n_b"][k], out["n_groups"][k], out["n_links"][k] = len(a), len(b), len(shared), len(at_a)
-        out["groups"][k] = group_text(a, b, a_ends, b_ends, shared, left.strings, right.strings)
-        pairs.append((a[at_a].astype(np.int64) << 32) | b[at_b])
-        places.append(np.full(len(at_a), first + k))
-    if not pairs:
-        return out, (np.empty(0, np.int64),) * 3
-    pair, place = np.concatenate(pairs), np.concatenate(places)
-    order = np.lexsort((place, pair))
-    pair, place = pair[order], place[order]
-    start = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])])
-    return out, (pair[start], place[start], np.diff(np.r_[start, len(pair)]))
-
-
-def _postings(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ends = Ends(np.cumsum(left.size_of[a]), np.cumsum(right.size_of[b]))
+        at_a, at_b = ends.links()
+        out["n_a"][k], out["n_b"][k], out["n_groups"][k], out["n_links"][k] = len(a), len(b), len(ends.shared), len(at_a)
+        out["groups"][k] = ends.text(a, b, strings)
+        keys.append(((a[at_a] * many + b[at_b]) << 16) | (first + k))
+    key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return out, (key[start], np.diff(np.r_[start, len(key)]))
+
+
+def _postings(chunk: int, held: list[tuple[np.ndarray, np.ndarray]], many: int) -> Iterator[pa.RecordBatch]:
     """The bitmaps of a chunk: of every pair, its documents and the planes of its further links.
 
-    Blocks follow each other, so ORing the bitmaps of a pair from block to block is appending its places.
+    Blocks hold different places, so ORing the bitmaps of a pair from block to block is putting its places together.
     """
     if not held:
         return
-    pair, place, times = (np.concatenate(column) for column in zip(*held))
-    order = np.argsort(pair, kind="stable")
-    pair, place, more = pair[order], place[order], times[order] - 1
+    key, times = (np.concatenate(column) for column in zip(*held))
+    order = np.argsort(key)
+    key, more = key[order], times[order] - 1
+    pair, place = key >> 16, key & 0xFFFF
     for plane in range(-1, int(more.max(initial=0)).bit_length()):
         inside = slice(None) if plane < 0 else ((more >> plane) & 1).astype(bool)
         p, at = pair[inside], place[inside]
         if len(p):
             start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            made = bitmaps(at, start)
+            made, own = bitmaps(at, start), p[start]
+            own = ((own // many) << 32) | (own % many)
             for low in range(0, len(start), 1 << 16):
                 part = made[low:low + (1 << 16)]
-                yield _rows(
-                    chunk=[chunk] * len(part), pair=p[start[low:low + (1 << 16)]], plane=[plane] * len(part), bitmap=part
-                )
+                yield _rows(chunk=[chunk] * len(part), pair=own[low:low + (1 << 16)], plane=[plane] * len(part), bitmap=part)
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -267,7 +287,7 @@ def pair_counts(postings: DataFrame) -> DataFrame:
     counts = stored(own.groupBy("pair").agg(F.sum("n").alias("n_docs")), "pair-counts")
     left = F.shiftrightunsigned("pair", 32)
     most = counts.groupBy(left.alias("a")).agg(F.max("n_docs").alias("most"))
-    return counts.join(most, left == F.col("a")).select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
+    return counts.join(most.hint("merge"), left == F.col("a")).select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
 
 def scores(postings: DataFrame, counts: DataFrame) -> DataFrame:
@@ -304,7 +324,8 @@ def scores(postings: DataFrame, counts: DataFrame) -> DataFrame:
         if current is not None:
             yield close()
 
-    scored = postings.join(counts, "pair").select("chunk", "plane", "bitmap", "n_docs", "best")
+    # the same joins at every size: a broadcast of small counts would make small inputs look cheaper than they are
+    scored = postings.join(counts.hint("merge"), "pair").select("chunk", "plane", "bitmap", "n_docs", "best")
     return scored.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(
         run, "chunk long, place int, n_best long, count_sum long"
     )
