@@ -53,8 +53,12 @@ FLATTENERS = {
 
 def flatten_contracts(documents: DataFrame) -> DataFrame:
     """(addr, key, value, class_hash, nonce) as decimal text; a pair is {key, value} or [key, value]."""
-    contracts = documents.select(F.explode("doc.contracts").alias("c")).filter("c is not null")
-    pairs = contracts.select("c.address", "c.class_hash", "c.nonce", F.explode("c.storage").alias("json"))
+    contracts = documents.select(F.explode("doc.contracts").alias("c")).filter("c is not null and size(c.storage) > 0")
+    # what a contract says once is made canonical before its pairs are taken apart
+    pairs = contracts.select(
+        canonical_int(F.coalesce("c.address", F.lit("0"))).alias("addr"), canonical_int(F.col("c.class_hash")).alias("class_hash"),
+        canonical_int(F.col("c.nonce")).alias("nonce"), F.explode("c.storage").alias("json"),
+    )
 
     def as_list(pair: Column) -> Column:
         # each form is parsed once and then taken apart
@@ -64,13 +68,10 @@ def flatten_contracts(documents: DataFrame) -> DataFrame:
         two = F.when(F.size(listed) == 2, listed).otherwise(bad)
         return F.when(pair.startswith("["), two).when(pair.startswith("{"), named[0]).otherwise(bad)
 
-    split = pairs.select("address", "class_hash", "nonce", F.explode(F.array(as_list(F.col("json")))).alias("pair"))
+    split = pairs.select("addr", "class_hash", "nonce", F.explode(F.array(as_list(F.col("json")))).alias("pair"))
     return split.select(
-        canonical_int(F.coalesce("address", F.lit("0"))).alias("addr"),
-        canonical_int(F.get("pair", F.lit(0))).alias("key"),
-        canonical_int(F.get("pair", F.lit(1))).alias("value"),
-        canonical_int(F.col("class_hash")).alias("class_hash"),
-        canonical_int(F.col("nonce")).alias("nonce"),
+        "addr", canonical_int(F.get("pair", F.lit(0))).alias("key"), canonical_int(F.get("pair", F.lit(1))).alias("value"),
+        "class_hash", "nonce",
     )
 
 
