@@ -32,6 +32,8 @@ BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 #: Bytes of words worked on at a time, words of a piece, and shingle sets remembered by a comparing task.
 CHUNK_BYTES, PIECE_WORDS, REMEMBERED = 1 << 20, 50_000, 64
+#: Digests of texts that a task remembers to leave out copies.
+NODES_MET = 200_000
 #: Members and bytes of text in a block of a bucket; a cell holds two blocks. At most 32,768 members.
 BLOCK_MEMBERS, BLOCK_BYTES = 2048, 2 << 20
 #: Bits of the bitmap that keeps texts without a partner in any bucket out of a shuffle (8 MB).
@@ -166,9 +168,19 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """`node`, `bands` of rows (node, text); texts without words have no bands."""
+    """`node`, `bands` of rows (node, text); texts without words have no bands. Of the copies of a text that a task meets
+    one is worked on, as long as not too many others stand between them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
+            if len(met) > NODES_MET:
+                met.clear()
+            new = []
+            for k, node in enumerate(batch.column(0).to_pylist()):
+                if node not in met:
+                    met.add(node)
+                    new.append(k)
+            batch = batch.take(pa.array(new, pa.int64()))
             texts = batch.column(1).to_pylist()
             for low, high in _chunks(texts):
                 owner, shingle = shingle_sets(texts[low:high])
@@ -348,10 +360,9 @@ def linked(nodes: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFra
         members.join(weight, "node").select("b", "node", "w", F.col("node").alias("class")), "members", F.count(F.lit(1))
     )
     few = _maybe_among(nodes.select("node", "text"), weight)
+    # one copy per task leaves for the shuffle, before the join decides
     texts = stored(
-        few.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(
-            F.first("text").alias("text")
-        ), "near-texts",
+        few.groupBy("node").agg(F.first("text").alias("text")).join(weight.select("node"), "node", "left_semi"), "near-texts"
     )
     # every member against the most central one of its bucket
     best = members.groupBy("b").agg(F.max(F.struct("w", "node")).alias("x"))

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statelake.llm.fitting import Logistic, labelled_sample
 
-#: Bounds of the sample: texts per label for the dictionaries (of each its first bytes) and for the calibration.
-DICTIONARY_TEXTS, DICTIONARY_TEXT_BYTES, CALIBRATION_TEXTS = 1000, 16_384, 2000
+#: Bounds of the sample: texts per label for the dictionaries and for the calibration; the texts for the dictionaries are
+#: cut into pieces over their whole length, and so many pieces per label are trained on, drawn by a hash.
+DICTIONARY_TEXTS, CALIBRATION_TEXTS = 1000, 2000
+PIECE_BYTES, DICTIONARY_PIECES = 4096, 3000
 DICTIONARY_BYTES, LEVEL = 112 << 10, 3
 
 
@@ -83,11 +85,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     )
     sample = sample.persist()
     try:
-        texts = sample.filter("role = 'dictionary'").select(
-            "id", "label", F.substring(F.encode("text", "UTF-8"), 1, DICTIONARY_TEXT_BYTES).alias("raw")
-        ).collect()
-        texts.sort(key=lambda r: r["id"])
-        good, bad = (dictionary([bytes(r["raw"]) for r in texts if r["label"] == v]) for v in (1, 0))
+        raw = F.col("text").cast("binary")
+        cuts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE_BYTES).cast("int"))
+        pieces = sample.filter("role = 'dictionary' and text <> ''").select("id", "label", raw.alias("raw"), F.explode(cuts).alias("k")).select(
+            "id", "label", "k", F.expr(f"substring(raw, k * {PIECE_BYTES} + 1, {PIECE_BYTES})").alias("piece")
+        )
+        drawn = F.xxhash64(F.lit(13), "id", "k")
+        good, bad = (
+            dictionary([bytes(r["piece"]) for r in sorted(
+                pieces.filter(F.col("label") == v).orderBy(drawn, "id", "k").limit(DICTIONARY_PIECES).collect(),
+                key=lambda r: (r["id"], r["k"]),
+            )]) for v in (1, 0)
+        )
 
         @F.pandas_udf("array<double>")
         def features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

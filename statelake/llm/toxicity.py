@@ -21,10 +21,12 @@ from statelake.llm.fitting import Logistic, labelled_sample
 
 #: Bounds of the sample by label (texts for the lexicon, for the fit), and of the lexicon.
 LEXICON_TEXTS, FIT_TEXTS = {0: 4000, 1: 3000}, {0: 3000, 1: 2000}
-LEXICON_TERMS, LEAST_ODDS, BEGINNINGS = 1000, 1.2, range(4, 10)
-#: Edits allowed in a whole word by its length: below the first bound none, from the second two.
-ONE_EDIT, TWO_EDITS = 5, 9
-WINDOW, REMEMBERED = 6, 200_000
+LEXICON_WORDS, LEXICON_BEGINNINGS, LEAST_ODDS, BEGINNINGS = 1500, 1000, 1.2, range(4, 10)
+#: Edits allowed in a whole word by its length: below the first bound none, from the second two. Words of the length of the
+#: first bound get their edit only if no common clean word is one edit away.
+ONE_EDIT, TWO_EDITS, COMMON = 4, 9, 0.002
+#: Words on either side of a hit; tokens and automaton states remembered.
+WINDOW, REMEMBERED, MOST_STATES = 6, 200_000, 20_000
 
 TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!](?=[^\W_]))*")
 #: Words that report or mention speech, and quotation marks that open and close.
@@ -39,15 +41,16 @@ FEATURES = 8
 class Lexicon:
     """A trie of terms with a Levenshtein automaton over it; `match` gives the best term of a token."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
-        self.words, self.beginnings = words, beginnings
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], exact: frozenset[str] = frozenset()):
+        """`exact`: whole words that are met without edits."""
+        self.words, self.beginnings, self.exact = words, beginnings, exact
         self.child: list[dict[str, int]] = [{}]
         self.word_at: list[float] = [0.0]
         self.begin_at: list[float] = [0.0]
         self.edits_at: list[int] = [0]
         self.own: dict[int, int] = {}
         for term, weight in words.items():
-            allowed = (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
+            allowed = 0 if term in exact else (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
             for node in self._path(term):
                 self.edits_at[node] = max(self.edits_at[node], allowed)
             self.word_at[node] = weight
@@ -55,13 +58,17 @@ class Lexicon:
         for term, weight in beginnings.items():
             *_, node = self._path(term)
             self.begin_at[node] = weight
+        self.known: dict[str, tuple[float, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The automaton as it is before any token: its start alone."""
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.results: list[tuple[float, int]] = []
         self.begun: list[float] = []
         self.start = self._state(self._closed({(0, 0)}))
-        self.known: dict[str, tuple[float, int] | None] = {}
 
     def _path(self, term: str) -> Iterator[int]:
         node = 0
@@ -111,6 +118,8 @@ class Lexicon:
         """Weight and kind of the best term: 0 whole word, 1 misspelled word, 2 beginning. None without a term."""
         if token in self.known:
             return self.known[token]
+        if len(self.members) > MOST_STATES:
+            self._forget()
         state, begun = self.start, 0.0
         for c in token:
             state = self.moves[state][c] if c in self.moves[state] else self._move(state, c)
@@ -125,7 +134,7 @@ class Lexicon:
         return found
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.beginnings)
+        return Lexicon, (self.words, self.beginnings, self.exact)
 
 
 def quoted(text: str, tokens: list[re.Match], k: int) -> bool:
@@ -191,20 +200,44 @@ def learn_lexicon(sample: DataFrame, texts: dict[int, int]) -> Lexicon:
     toxic, clean = max(1, texts.get(1, 0)), max(1, texts.get(0, 0))
     least = max(3, round(0.004 * toxic))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = sample.select("label", "text").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(
+    counted = sample.select("label", "text").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    ).filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(
-        (F.col("odds") * F.sqrt("toxic")).desc(), "term"
-    ).limit(LEXICON_TERMS).collect()
-    # a beginning that stands in the same texts as a longer term says less than that one
-    same = {
-        (r["term"][:k], r["toxic"], r["clean"]) for r in found for k in range(BEGINNINGS.start, len(r["term"].rstrip()) + 1)
-        if k < len(r["term"])
-    }
-    found = [r for r in found if (r["term"], r["toxic"], r["clean"]) not in same]
-    words = {r["term"][:-1]: r["odds"] for r in found if r["term"].endswith(" ")}
-    begins = {r["term"]: r["odds"] for r in found if not r["term"].endswith(" ")}
-    return Lexicon(words, begins)
+    ).persist()
+    try:
+        found = counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+        # a beginning that stands in the same texts as a longer term says less than that one
+        bare = F.rtrim("term")
+        lengths = F.sequence(F.lit(BEGINNINGS.start), F.greatest(F.length(bare), F.lit(BEGINNINGS.start)))
+        longer = found.select(bare.alias("bare"), F.length("term").alias("n"), "toxic", "clean", F.explode(lengths).alias("k"))
+        said = longer.filter("k < n and k <= length(bare)").select(F.expr("left(bare, k)").alias("term"), "toxic", "clean").distinct()
+        own = found.join(said, ["term", "toxic", "clean"], "left_anti")
+        best = [(F.col("odds") * F.sqrt("toxic")).desc(), F.col("term")]
+        words = {r["term"][:-1]: r["odds"] for r in own.filter(F.col("term").endswith(" ")).orderBy(*best).limit(LEXICON_WORDS).collect()}
+        begins = {r["term"]: r["odds"] for r in own.filter(~F.col("term").endswith(" ")).orderBy(*best).limit(LEXICON_BEGINNINGS).collect()}
+        common = counted.filter(F.col("term").endswith(" ") & (F.col("clean") >= max(3, round(COMMON * clean)))).select(bare.alias("word"))
+        exact = _close_to_common([w for w in words if len(w) == ONE_EDIT], common)
+    finally:
+        counted.unpersist()
+    return Lexicon(words, begins, exact)
+
+
+def _close_to_common(terms: list[str], common: DataFrame) -> frozenset[str]:
+    """The terms with a common word one edit away. Two such words share one of themselves or of what is left of them
+    without one character, so they meet in an equal join."""
+    if not terms:
+        return frozenset()
+    def variants(word: Column) -> Column:
+        without = F.transform(
+            F.sequence(F.lit(1), F.length(word)),
+            lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))),
+        )
+        return F.explode(F.array_distinct(F.array_append(without, word)))
+
+    short = common.filter(F.length("word").between(ONE_EDIT - 1, ONE_EDIT + 1))
+    own = common.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    met = own.select("term", variants(F.col("term")).alias("v")).join(short.select("word", variants(F.col("word")).alias("v")), "v")
+    near = met.filter((F.levenshtein("term", "word") == 1)).select("term").distinct()
+    return frozenset(r["term"] for r in near.collect())  # no more than the terms given
 
 
 class ToxicityModel:
