@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from statelake.functions import file_name, stem
-from statelake.sources.files import list_files
+from statelake.sources.files import list_files, open_for_read
+
+
+#: Files up to this size come to their task as one value and are hashed by Spark; larger ones are read in pieces.
+WHOLE_BYTES, PIECE_BYTES = 256 << 20, 8 << 20
+
+
+def _digest_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha1()
+            with open_for_read(path) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+            yield pa.record_batch([pa.array([path]), pa.array([digest.hexdigest()])], names=["path", "sha1"])
+
 
+def file_digests(
+    spark: SparkSession, path: str | list[str], glob: str | None = None, whole_bytes: int = WHOLE_BYTES, recursive: bool = False
+) -> DataFrame:
+    """(path, name, sha1) of files of any size; the contents are hashed where they are read and go no further. Spark's file
+    sources leave out empty files, and so does this.
 
-def file_digests(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path, name, sha1) of files; the contents are hashed where they are read and go no further."""
-    return list_files(spark, path, glob).select(
-        "path", file_name(F.col("path")).alias("name"), F.sha1("content").alias("sha1")
-    )
+    Files above `whole_bytes` are streamed from their path by a task, see `sources.files` for the stores that can be opened.
+    """
+    files = list_files(spark, path, glob, recursive)
+    whole = files.filter(F.col("length") <= whole_bytes).select("path", F.sha1("content").alias("sha1"))
+    large = files.filter(F.col("length") > whole_bytes).select("path").mapInArrow(_digest_in_pieces, "path string, sha1 string")
+    return whole.unionAll(large).select("path", file_name(F.col("path")).alias("name"), "sha1")
 
 
 def new_files(files: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:

@@ -197,6 +197,15 @@ SELECT CASE WHEN turn = 0 THEN '0x0' ELSE '0x' || lower(to_hex(turn)) END, count
         SELECT eth_block, tx_hash, row_number() OVER (PARTITION BY eth_block, tx_hash ORDER BY idx) - 1 AS position, path
         FROM {COMPLETE}""",
     "incremental_new_files": "SELECT 'd' || doc_id || '.json' AS name, sha1(text) AS sha1 FROM documents WHERE doc_id % 3 <> 2",
+    "file_content_digests": """
+SELECT c_nationkey AS nation, sha1(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha1 FROM customer GROUP BY c_nationkey""",
+    "generated_hot_keys": """
+WITH share AS (SELECT 20 AS hot, CAST(floor(20.0 * 20 / (20.0 * 20 + 380) * 1000000) AS BIGINT) AS of_million),
+n AS (SELECT event_id AS id, CASE WHEN ('0x' || substr(md5('side3-' || event_id), 1, 15))::BIGINT % 1000000 < of_million
+    THEN ('0x' || substr(md5('hot3-' || event_id), 1, 15))::BIGINT % hot
+    ELSE hot + ('0x' || substr(md5('cold3-' || event_id), 1, 15))::BIGINT % 380 END AS k FROM events, share)
+SELECT '0x' || sha256('K' || k) AS key, '0x' || sha1('A' || k) AS address, count(*) AS rows, max(id // 1000 + 1) AS last_blob,
+  arg_max('0x' || sha256('V3-' || id), id) AS value FROM n GROUP BY k""",
     "files_without_output": "SELECT 'raw/blob_' || page_id || '.blob.gz' AS path FROM pages WHERE page_id % 2 <> 0",
     "blob_item_rows": f"SELECT * FROM {ITEM_FIELDS}",
     "blob_page": f"""
@@ -306,6 +315,7 @@ WHERE blob_index BETWEEN 3 AND 20 AND timestamp >= 1704067200 + 345600 AND type
 SELECT v.version, CASE v.version WHEN 1 THEN (SELECT count(DISTINCT key) FROM {ORDERS} WHERE blob_index <= 30)
   ELSE (SELECT count(DISTINCT key) FROM {ORDERS}) END AS keys, v.version <> 2 AS exact, true AS near, true AS middle_in_range
 FROM (VALUES (1), (2), (3)) AS v(version)""",
+    "snapshot_live_count": f"SELECT count(DISTINCT key) AS keys FROM {ORDERS}",
     "snapshot_changes": f"""
 WITH a AS ({_lww(ORDERS, "blob_index <= 40 AND position % 5 <> 0")}),
 b AS ({_lww(ORDERS, "blob_index <= 60 OR position % 5 = 0")})

@@ -20,7 +20,7 @@ from statelake.sinks import tables as out
 from statelake.sinks.diff_store import DiffStore
 from statelake.sinks.history import HistoryStore
 from statelake.sinks.snapshots import SnapshotStore
-from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, formats, words
+from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, formats, generator, words
 from statelake.sources.files import replacing
 from statelake.streaming import jobs, keyed
 
@@ -187,6 +187,15 @@ def snapshot_key_sketches(spark, root):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+@query
+def snapshot_live_count(spark, root):
+    """Keys of a base and of later rows together, opening only buckets that may hold one of the later keys."""
+    orders = X.state_orders(spark, root)
+    store = SnapshotStore(spark, scratch_path(spark, "members"), schema=orders.schema, buckets=8, sketches=[])
+    store.replace(orders.filter("blob_index <= 30"))
+    return store.live_count(orders.filter("blob_index > 30"))
+
+
 @query
 def snapshot_changes(spark, root):
     """What an upsert and a delta change: rows that are new and rows that win."""
@@ -582,6 +591,28 @@ def incremental_new_files(spark, root):
     return inc.new_files(files.select("name", "sha1"), ledger)
 
 
+@query
+def file_content_digests(spark, root):
+    """Digests of real files, one per nation; those above the bound are hashed in pieces."""
+    where = scratch_path(spark, "named")
+    rows = X.table(spark, root, "customer").select("c_nationkey", "c_custkey", "c_name")
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "c_name").write.partitionBy(
+        "c_nationkey"
+    ).text(where)
+    digests = inc.file_digests(spark, where, "*.txt", whole_bytes=1500, recursive=True)
+    return digests.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long").alias("nation"), "sha1")
+
+
+@query
+def generated_hot_keys(spark, root):
+    """Synthetic state drawn for the ids of the events: rows and blobs of every key, a few of which are hot."""
+    ids = X.table(spark, root, "events").select(F.col("event_id").alias("id"))
+    state = generator.state_of_ids(ids, 1000, keyspace=400, seed=3, number=generator.by_md5)
+    return render_binary(state).groupBy("key", "address").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("blob_index").alias("last_blob"), F.max_by("value", F.struct("blob_index", "position")).alias("value")
+    )
+
+
 @query
 def files_without_output(spark, root):
     pages = X.table(spark, root, "pages")
@@ -823,7 +854,7 @@ def empty_table(spark, root):
 def result_envelope(spark, root):
     """K9: the rows of a report by day as they reach the driver, binary cells as hex, and their number."""
     report = X.binary_state(X.state_events(spark, root)).groupBy("blob_index").agg(F.max("key").alias("key"))
-    held = out.result_of(report, None)
+    held = out.result_of(report, 1000)  # a day per row
     schema = "blob_index long, key string, row_count long, complete boolean"
     return spark.createDataFrame([(*row, held.row_count, held.complete) for row in held.rows], schema)
 

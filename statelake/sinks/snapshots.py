@@ -1,7 +1,7 @@
 """Versioned key-bucketed snapshots (K3, L8) with base and delta parts, sketches of them, and changes between versions.
 
 Base parts lie below bucket=<b>/ of their data folder, a delta is one folder. With `sketches`, every part has a row of
-statistics below sketches/<id>/, written with it.
+statistics below sketches/<id>/, written with it, and every bucket of a base a Bloom filter of its keys below members/<id>/.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from statelake.sinks.versions import Part, Version, VersionedStore
 
 #: Size of a sketch of keys: 2^12 registers, with a standard error of 1.04 / sqrt(2^12), 1.6 %.
 KEY_REGISTERS = 12
+#: Bloom filters: bits per key (up to a power of two), bits set by a key, least and greatest logarithm of the bits of a
+#: bucket, and bits of one bitmap of Spark. About one in 400 strange keys passes.
+BITS_PER_KEY, MARKS, LEAST_LOG, MOST_LOG, MAP_BITS = 12, 4, 15, 30, 1 << 15
 
 
 class SnapshotStore(VersionedStore):
@@ -126,6 +129,24 @@ class SnapshotStore(VersionedStore):
             *[F.kll_sketch_agg_bigint(c).alias(f"values_{i}") for i, c in enumerate(self.sketches)],
         )
         stats.withColumn("data", F.lit(data)).coalesce(1).write.parquet(f"{self.root}/sketches/{data}")
+        if bucketed:
+            counts = self.spark.read.schema("bucket int, rows long").parquet(f"{self.root}/sketches/{data}")
+            log = F.ceil(F.log2(F.col("rows") * BITS_PER_KEY)).cast("int")
+            sized = F.broadcast(counts.select("bucket", F.greatest(F.lit(LEAST_LOG), F.least(F.lit(MOST_LOG), log)).alias("log")))
+            marks = self._marked(rows.select("bucket", *self.keys).join(sized, "bucket"))
+            marks.groupBy("bucket", "log", "map").agg(F.bitmap_construct_agg("bit").alias("bits")).write.parquet(
+                f"{self.root}/members/{data}"
+            )
+
+    def _marked(self, rows: DataFrame) -> DataFrame:
+        """A row per bit of each key: `map` and `bit`, in a filter of 2^log bits."""
+        first, second = F.xxhash64(*self.keys), F.xxhash64(F.lit(1), *self.keys)
+        # both hashes are cut before they are multiplied, so nothing overflows
+        short, step = (F.pmod(h, F.lit(1 << 40)) for h in (first, second))
+        size = F.pow(F.lit(2.0), "log").cast("long")
+        place = F.explode(F.array(*[F.pmod(short + k * step, size) for k in range(MARKS)]))
+        at = rows.withColumn("_at", place)
+        return at.withColumns({"map": F.floor(F.col("_at") / MAP_BITS).cast("int"), "bit": F.col("_at") % MAP_BITS}).drop("_at")
 
     def _sketched(self, version: int | None) -> DataFrame:
         """The statistics of all parts of a version; rows and buckets of the data are not read."""
@@ -167,6 +188,49 @@ class SnapshotStore(VersionedStore):
         ]
         return merged.select(F.inline(F.array(*each)))
 
+    # -- members ----------------------------------------------------------------------------------------------------
+
+    def maybe_held(self, rows: DataFrame, version: int | None = None) -> DataFrame:
+        """The distinct keys of `rows` that the base of a version may hold, with `bucket`; the base itself is not read.
+
+        Every key it holds is among them, and about one in 400 of the others.
+        """
+        if self.sketches is None:
+            raise ValueError("this store keeps no sketches")
+        parts = [(bucket, data) for kind, bucket, data in self._version(version).parts if kind == "base"]
+        keys = rows.select(*self.keys).distinct().withColumn("bucket", self._bucket())
+        if not parts:
+            return keys.limit(0)
+        listed = F.broadcast(self.spark.createDataFrame(parts, "bucket int, data string"))  # bounded by buckets
+        folders = [f"{self.root}/members/{data}" for data in sorted({d for _, d in parts})]
+        place = F.regexp_extract(F.col("_metadata.file_path"), "/members/([0-9a-f]+)/", 1).alias("data")
+        held = self.spark.read.schema("bucket int, log int, map int, bits binary").parquet(*folders).select("*", place)
+        held = held.join(listed, ["bucket", "data"]).drop("data")
+        logs = F.broadcast(held.select("bucket", "log").distinct())
+        byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        is_set = F.call_function("getbit", byte, (F.col("bit") % 8).cast("int")) == 1
+        met = self._marked(keys.join(logs, "bucket")).join(held.drop("log"), ["bucket", "map"]).filter(is_set)
+        return met.groupBy(*self.keys, "bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == MARKS).drop("_n")
+
+    def live_count(self, recent: DataFrame, version: int | None = None) -> DataFrame:
+        """`keys`: how many keys a version and further rows have together.
+
+        The rows of the base are known from its sketches. Of the keys of deltas and `recent`, those that no filter knows are
+        new; only the buckets of the others are read.
+        """
+        held = self._version(version)
+        rows, deltas = recent.select(*self.keys), self._read(held.folders("delta")).select(*self.keys)
+        keys = rows.unionByName(deltas).distinct()
+        maybe = self.maybe_held(keys, version)
+        buckets = {r["bucket"] for r in maybe.select("bucket").distinct().collect()}  # at most one number per bucket
+        base = self._read(held.folders("base", buckets)).select(*self.keys)
+        same = F.lit(True)
+        for key in self.keys:
+            same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"b.{key}"))
+        new = keys.alias("r").join(base.alias("b"), same, "left_anti").agg(F.count(F.lit(1)).alias("new"))
+        known = self._sketched(version).filter("kind = 'base'").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+        return new.crossJoin(known).select((F.col("new") + F.col("rows")).alias("keys"))  # one row each
+
     # -- changes ----------------------------------------------------------------------------------------------------
 
     def _differing(self, old: Version, new: Version) -> set[int]:

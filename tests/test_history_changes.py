@@ -75,6 +75,30 @@ def test_sketches(spark, tmp_path, schema):
         store.quantiles("position", [0.5])
 
 
+def test_key_filters(spark, tmp_path, schema):
+    store = SnapshotStore(spark, str(tmp_path), schema=schema, buckets=8, sketches=[])
+
+    def rows(low, high):
+        return spark.range(low, high).selectExpr(
+            "'tx' as type", "'a' as address", "if(id = 5, null, concat('k', id)) as key", "'v' as value", "'t' as tx_hash",
+            "1L as blob_index", "id as position", "id as timestamp",
+        )
+
+    assert store.maybe_held(rows(0, 10)).count() == 0 and store.live_count(rows(0, 10)).first()[0] == 10
+    store.replace(rows(0, 30_000))
+    assert store.maybe_held(rows(100, 600)).count() == 500
+    assert store.maybe_held(rows(30_000, 60_000)).count() < 30_000 * 0.01
+    assert store.maybe_held(rows(5, 6)).count() == 1
+    assert store.live_count(rows(29_000, 31_000)).first()[0] == 31_000
+    one = store.live_count(rows(7, 8).unionByName(rows(40_000, 40_004)))
+    assert one.first()[0] == 30_004
+    read = {name.split("/bucket=")[1].split("/")[0] for name in one.inputFiles() if "/data/" in name}
+    assert 1 <= len(read) <= 2  # the bucket of the known key, and at most one more by chance
+    store.append_delta(rows(29_500, 30_500))
+    store.upsert(rows(30_200, 30_300))
+    assert store.live_count(rows(0, 10)).first()[0] == 30_500 == store.read().count()
+
+
 def plain_changes(old, new, keys=(2,)):
     of = [{tuple(r[k] for k in keys): tuple(r) for r in rows} for rows in (old, new)]
     out = []

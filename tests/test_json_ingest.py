@@ -150,3 +150,15 @@ def test_increments(spark, tmp_path):
     assert increments.new_files(files, ledger, force=True).count() == 2
     done = spark.createDataFrame([("/out/a.arrow",)], "path string")
     assert [r["name"] for r in increments.without_output(files, done).collect()] == ["b.json"]
+
+
+def test_digests_of_whole_and_streamed_files(spark, tmp_path):
+    import hashlib
+
+    contents = {"b.bin": b"x" * 100, "c d.bin": bytes(range(256)) * 4000}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "empty.bin").write_bytes(b"")  # Spark lists no empty files
+    for bound in (0, 100, 1 << 30):
+        found = {r["name"]: r["sha1"] for r in increments.file_digests(spark, str(tmp_path), "*.bin", whole_bytes=bound).collect()}
+        assert found == {n: hashlib.sha1(c).hexdigest() for n, c in contents.items()}
