@@ -3,10 +3,10 @@
 Beside the patterns, long strings that stand close behind a sensitive word are candidates. A candidate's novelty is what
 it adds to a zstandard frame of its surroundings, when the compressor already knows common identifiers and the code around
 the candidate: a name or a path adds a few bytes, a random value nearly its full entropy. Copies of a candidate are taken out of its
-surroundings first. Candidates are measured in windows of at most 40 characters, in which Huffman coding does not pay, so
-that one bound serves all alphabets and lengths. Strings whose added bytes per character reach `NOVEL` are reported, and
-so are their copies in sensitive places. A compressor does not know words it has not met: strings without digits must also
-be explained no better by the letter pairs around them than by chance. Lines that follow a candidate are candidates too,
+surroundings first. Candidates, of 16 characters or more, are measured in windows of at most 40, in which Huffman coding
+does not pay, so that one bound serves all alphabets. Strings whose added bytes per character reach `NOVEL` are reported,
+and so are their copies in sensitive places. A compressor does not know words it has not met: strings without digits, or mostly made
+of words, must also be explained no better by the letter pairs around them than by chance. Lines that follow a candidate are candidates too,
 in a PEM block all of them.
 """
 
@@ -16,7 +16,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -37,18 +37,21 @@ KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authoriz|bearer|signature", re.I | re.A)
 REACH, AROUND = 48, 256
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
-NOVEL, WINDOW = 0.68, 40
+#: Least added bytes per character; characters measured at a time; share of words in a string from which letter pairs decide
+#: as well. Runs of 24 and more digits are hex spans already.
+NOVEL, WINDOW, WORDED = 0.68, 40, 0.65
 #: What may stand between the lines of one value, the rest of a PEM label, and its last line, which may be short.
 BETWEEN = re.compile(r"""(?:\\[nr]|[\s"'`,;|>#*+\\]){1,16}""")
 PEM, PEM_END = re.compile(r"[A-Z ]*-----"), "-----END"
 SHORT_LINE = re.compile(r"(?:\\[nr]|[\s\"'`,;|>#*+])+([A-Za-z0-9+/=]{1,15})(?=(?:\\[nr]|[\s\"'`,;|>#*+])*-----END)")
 #: Pieces that look like words, which the compressor knows in lower case.
 WORDLIKE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
 #: Bits of a letter by chance.
 LETTER_BITS = math.log2(26)
 #: Identifiers and code the compressor knows beforehand, besides the surroundings of a candidate.
 IDENTIFIERS = (
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 xxxxxxxxxxxxxxxxxxxxxxxx "
+    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 01234567890123456789012345678901 98765432109876543210 00000000 11111111 12345678 xxxxxxxxxxxxxxxxxxxxxxxx "
     "import from return class function const static public private protected void string integer boolean float double "
     "self this null none true false default example sample placeholder changeme your_api_key_here insert_token_here "
     "username user_name password passwd passphrase secret secret_key client_secret client_id token access_token "
@@ -84,15 +87,23 @@ class Novelty:
         return bits / mine.total() if mine else LETTER_BITS
 
     def novel(self, before: str, candidate: str, after: str) -> bool:
-        """Whether the surroundings do not explain the candidate, by windows over its whole length."""
+        """Whether the surroundings do not explain the candidate, by windows over its whole length.
+
+        Where words make up most of it, letter pairs must not explain it either.
+        """
+        added = self._adder(before, after)
         count = -(-len(candidate) // WINDOW)
         cuts = [len(candidate) * k // count for k in range(count + 1)]
-        added = sum(self.added(before, candidate[a:b], after) for a, b in zip(cuts, cuts[1:]))
-        if added < NOVEL * len(candidate):
+        total = sum(added(candidate[a:b]) for a, b in zip(cuts, cuts[1:]))
+        if total < NOVEL * len(candidate):
             return False
-        return any(c.isdigit() for c in candidate) or self.letter_bits(before, candidate, after) >= LETTER_BITS
+        worded = sum(len(w) for w in WORDS.findall(candidate)) >= WORDED * len(candidate)
+        if any(c.isdigit() for c in candidate) and not worded:
+            return True
+        return self.letter_bits(before, candidate, after) >= LETTER_BITS
 
-    def added(self, before: str, candidate: str, after: str) -> int:
+    def _adder(self, before: str, after: str) -> Callable[[str], int]:
+        """A measure of pieces of one candidate: the dictionary and the compressor are made once."""
         known = zstandard.ZstdCompressionDict(
             self.base + before.encode("utf-8", "replace") + after.encode("utf-8", "replace"),
             dict_type=zstandard.DICT_TYPE_RAWCONTENT,
@@ -100,9 +111,16 @@ class Novelty:
         packer = zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_checksum=False)
         tail = before[-32:].encode("utf-8", "replace")
         alone = len(packer.compress(tail))
-        # words joined in CamelCase are known by their lower-case forms
-        plain = WORDLIKE.sub(lambda w: w.group().lower(), candidate)
-        return min(len(packer.compress(tail + c.encode())) for c in (candidate, plain)) - alone
+
+        def added(piece: str) -> int:
+            # words joined in CamelCase are known by their lower-case forms
+            plain = WORDLIKE.sub(lambda w: w.group().lower(), piece)
+            return min(len(packer.compress(tail + c.encode())) for c in {piece, plain}) - alone
+
+        return added
+
+    def added(self, before: str, candidate: str, after: str) -> int:
+        return self._adder(before, after)(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
