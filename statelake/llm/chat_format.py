@@ -159,55 +159,84 @@ def format_blocks(turns: DataFrame, tokenizer_file: str) -> DataFrame:
     )
 
 
+READ_BACK = (
+    "conv_id long, part int, b long, n_turns long, turns binary, loss binary, loss_chars long, formatted_chars long, "
+    "n_tokens long, n_loss_tokens long"
+)
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """What a block of `format_blocks` says, one row per block: `conv_id`, `part`, `b`, `n_turns`, `turns` (role, line feed,
+    text, line feed of every turn, restored, in UTF-8), `loss` (the restored text under the mask), and counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                lists = [part.column(c) for c in ("starts", "ends", "mask")]
+                cuts = [held.offsets.to_numpy() for held in lists]
+                starts, ends, masks = (held.values.to_numpy(zero_copy_only=False) for held in lists)
+                rows = []
+                for k, text in enumerate(part.column("formatted").to_pylist()):
+                    said = parse(text)
+                    turns = "".join(f"{role}\n{line}\n" for role, line in said)
+                    offsets = np.stack([starts[cuts[0][k]:cuts[0][k + 1]], ends[cuts[1][k]:cuts[1][k + 1]]], 1).astype(np.int64)
+                    mask = masks[cuts[2][k]:cuts[2][k + 1]].astype(bool)
+                    loss = masked_text(text, offsets, mask)
+                    rows.append((
+                        len(said), turns.encode("utf-8", "replace"), loss.encode("utf-8", "replace"), len(loss), len(text),
+                        len(mask), int(mask.sum()),
+                    ))
+                types = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+                columns = list(zip(*rows)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("conv_id"), part.column("part"), part.column("b"), *(pa.array(c, t) for c, t in zip(columns, types))],
+                    names=[c.split()[0] for c in READ_BACK.split(", ")],
+                )
+
+    return formatted.select("conv_id", "part", "b", "formatted", "starts", "ends", "mask").mapInArrow(run, READ_BACK)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """One row per conversation, read back from the output of `format_blocks`: `conv_id`, `n_turns`, `turns_sha256`,
     `loss_chars`, `loss_sha256`, `formatted_chars`, `n_tokens`, `n_loss_tokens`.
 
-    A digest runs over a whole conversation in order, so its blocks pass through one task one after the other; only the
-    running digest is held. Blocks are ordered by Spark's sort, which spills.
+    Blocks are read back where they are. A digest runs over a whole conversation in order, so the restored bytes of its
+    blocks pass through one task one after the other; only the running digest is held. Blocks are ordered by Spark's sort,
+    which spills.
     """
+    sums = ["n_turns", "loss_chars", "formatted_chars", "n_tokens", "n_loss_tokens"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens",
-                 "n_loss_tokens"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         current, state, done = None, None, []
 
         def close() -> None:
             if state is not None:
-                n, turns, chars, loss, size, tokens, lost = state
-                done.append((current, n, turns.hexdigest(), chars, loss.hexdigest(), size, tokens, lost))
+                counts, turns, loss = state
+                done.append((current, *counts, turns.hexdigest(), loss.hexdigest()))
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*done)) or [()] * len(names)
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            types = [pa.int64()] * (1 + len(sums)) + [pa.string()] * 2
+            columns = list(zip(*done)) or [()] * len(types)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["conv_id", *sums, "turns_sha256", "loss_sha256"]
+            )
             done.clear()
             return out
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                for row in batch.slice(low, 64).to_pylist():
-                    if state is None or row["conv_id"] != current:
-                        close()
-                        current, state = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                    text = row["formatted"]
-                    for role, said in parse(text):
-                        state[0] += 1
-                        state[1].update(f"{role}\n{said}\n".encode("utf-8", "replace"))
-                    mask = np.array(row["mask"], bool)
-                    offsets = np.stack([np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)], 1)
-                    loss = masked_text(text, offsets, mask)
-                    state[2] += len(loss)
-                    state[3].update(loss.encode("utf-8", "replace"))
-                    state[4] += len(text)
-                    state[5] += len(mask)
-                    state[6] += int(mask.sum())
+            ids, counts = batch.column("conv_id").to_pylist(), zip(*(batch.column(c).to_pylist() for c in sums))
+            for k, (conv, own) in enumerate(zip(ids, counts)):
+                if state is None or conv != current:
+                    close()
+                    current, state = conv, [[0] * len(sums), hashlib.sha256(), hashlib.sha256()]
+                state[0] = [a + b for a, b in zip(state[0], own)]
+                state[1].update(batch.column("turns")[k].as_buffer())
+                state[2].update(batch.column("loss")[k].as_buffer())
             yield batch_of()
         close()
         yield batch_of()
 
     parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = formatted.select("conv_id", "part", "b", "formatted", "starts", "ends", "mask")
-    return slim.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "part", "b").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
-             "n_tokens long, n_loss_tokens long"
+    return read_back(formatted).repartition(parts, "conv_id").sortWithinPartitions("conv_id", "part", "b").mapInArrow(
+        run, "conv_id long, " + ", ".join(f"{c} long" for c in sums) + ", turns_sha256 string, loss_sha256 string"
     )
