@@ -117,6 +117,7 @@ UNION ALL SELECT 'recent', count(*) FROM {EVENTS} WHERE blob_index > {_edge(4)}"
     "delta_versions_orders": _lww(ORDERS),
     "snapshot_version_read": _lww(ORDERS, "blob_index <= 30"),
     "blob_decode_roundtrip": f"SELECT {COLUMNS} FROM {EVENTS}",
+    "blob_members_read": f"SELECT {COLUMNS} FROM {EVENTS}",
     "blob_files_by_name": f"""
 SELECT blob_index, count(*) AS rows, max(position) AS last FROM {EVENTS}
 WHERE blob_index BETWEEN 3 AND 20 GROUP BY blob_index""",

@@ -303,6 +303,14 @@ def blob_decode_roundtrip(spark, root):
     return render_binary(blob.read_blobs(spark, _event_blobs(spark, root), mode="PERMISSIVE"))
 
 
+@query
+def blob_members_read(spark, root):
+    """Blob files of several gzip members, read member by member."""
+    where = scratch_path(spark, "members")
+    blob.write_blobs(X.binary_state(X.state_events(spark, root)), where, rows_per_member=200)
+    return render_binary(blob.read_members(spark, where))
+
+
 @query
 def blob_files_by_name(spark, root):
     decoded = blob.read_blobs(spark, _event_blobs(spark, root), min_index=3, max_index=20)

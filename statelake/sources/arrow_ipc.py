@@ -39,7 +39,9 @@ def read_arrow(spark: SparkSession, path: str | list[str], schema: T.StructType
                     yield from held.to_batches(max_chunksize=SLICE_ROWS)
 
     files = list_files(spark, path, "*.{arrow,ipc,feather}", required=True).select("path")
-    parts = files.mapInArrow(_plan, "path string, part int").repartition("path", "part")
+    # a number of partitions of its own: the few bytes of a listing would be put into one
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = files.mapInArrow(_plan, "path string, part int").repartition(tasks, "path", "part")
     return parts.mapInArrow(read, schema)
 
 

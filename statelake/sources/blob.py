@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statelake import schemas
 from statelake.functions import name_index
-from statelake.sources.files import list_files, open_for_read, refuse_used, replacing
+from statelake.sources.files import list_files, open_for_read, open_random, refuse_used, replacing
 
 # fixed values of the file format; all numbers are big-endian
 MAGIC = b"ZKBL"
@@ -31,6 +31,9 @@ RECORD = np.dtype([
 ])
 
 CHUNK_ROWS = 200_000
+#: What a written folder knows of its files: a row per gzip member.
+LISTING = "path string, rows long, start long, timestamp long, with_header boolean"
+LISTING_COLUMNS = [part.split()[0] for part in LISTING.split(", ")]
 GLOB = "*.blob.gz"
 # with mode PERMISSIVE the rows of a file are held until its end is known to be good; files that decode to more are
 # decompressed twice instead, with the same result
@@ -241,7 +244,21 @@ def select_by_name_index(files: DataFrame, min_index: int | None = None, max_ind
     return files
 
 
-def _encoder(root: str, rows_per_file: int) -> Callable:
+def _pieces(records: list[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
+    """The records in lists of `size` rows."""
+    piece, room = [], size
+    for part in records:
+        while len(part):
+            piece.append(part[:room])
+            room, part = room - len(piece[-1]), part[room:]
+            if not room:
+                yield piece
+                piece, room = [], size
+    if piece:
+        yield piece
+
+
+def _encoder(root: str, rows_per_file: int, rows_per_member: int | None) -> Callable:
     def pack(batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(batch.num_rows, RECORD)
         codes = pc.equal(batch.column("type"), "state_diff").to_numpy(zero_copy_only=False)
@@ -256,14 +273,21 @@ def _encoder(root: str, rows_per_file: int) -> Callable:
         return out
 
     def write(part: int, number: int, timestamp: int, records: list[np.ndarray]) -> pa.RecordBatch:
+        """One file; its members are gzip streams one behind the other, which readers of gzip take for one."""
         blob, rows = int(records[0]["blob_index"][0]), sum(map(len, records))
         head = np.array([(MAGIC, 1, 0, blob, timestamp, rows, RECORD_BYTES)], HEADER)
         path = f"{root}/blob_{part:05d}-{number:06d}_{blob:06d}.blob.gz"
-        with replacing(path) as raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1, mtime=0) as stream:
-            stream.write(head.tobytes())
-            for piece in records:
-                stream.write(piece.tobytes())
-        return pa.record_batch([pa.array([path]), pa.array([rows])], names=["path", "rows"])
+        members = []
+        with replacing(path) as raw:
+            for piece in _pieces(records, rows_per_member or rows):
+                members.append((path, sum(map(len, piece)), raw.tell(), timestamp, not members))
+                with gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1, mtime=0) as stream:
+                    if members[-1][-1]:
+                        stream.write(head.tobytes())
+                    for part_of in piece:
+                        stream.write(part_of.tobytes())
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*members), types)], names=LISTING_COLUMNS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, pending, current = TaskContext.get().partitionId(), 0, [], None
@@ -288,12 +312,14 @@ def _encoder(root: str, rows_per_file: int) -> Callable:
     return encode
 
 
-def write_blobs(state: DataFrame, root: str, rows_per_file: int = 500_000) -> DataFrame:
+def write_blobs(state: DataFrame, root: str, rows_per_file: int = 500_000, rows_per_member: int | None = None) -> DataFrame:
     """Write binary state rows as blob files and return (path, rows) of what was written.
 
     A file has one timestamp, one blob index (also in its name) and at most `rows_per_file` rows. A blob of more rows
     is counted first and spread by a hash of its content, so a hot blob is shared by many tasks; the full order inside
-    a task makes a retried task write the same files again. A folder that already has a listing is refused.
+    a task makes a retried task write the same files again. A folder that already has a listing is refused. With
+    `rows_per_member` a file is several gzip members, whose places the listing holds, see `read_members`; every reader of
+    blob files reads them as before.
     """
     spark = state.sparkSession
     refuse_used(spark, f"{root}/_listing")
@@ -303,6 +329,32 @@ def write_blobs(state: DataFrame, root: str, rows_per_file: int = 500_000) -> Da
     ready = sized.withColumn("_slice", spread).repartition("blob_index", "_slice").sortWithinPartitions(
         "timestamp", "blob_index", "position", "tx_hash", "value", "key", "address", "type"
     ).select(*schemas.STATE_COLUMNS)
-    listing = f"{root}/_listing"
-    ready.mapInArrow(_encoder(root, rows_per_file), "path string, rows long").write.mode("overwrite").parquet(listing)
-    return spark.read.schema("path string, rows long").parquet(listing)
+    ready.mapInArrow(_encoder(root, rows_per_file, rows_per_member), LISTING).write.mode("overwrite").parquet(f"{root}/_listing")
+    members = spark.read.schema(LISTING).parquet(f"{root}/_listing")
+    return members.select("path", "rows") if rows_per_member is None else members.groupBy("path").agg(F.sum("rows").alias("rows"))
+
+
+def read_members(spark: SparkSession, root: str, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """All records of a folder that `write_blobs` made, one piece of work per gzip member, so that a large file is shared.
+
+    Members are found by the listing of the folder, which may have been moved since; the files are opened by the tasks.
+    """
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{root.rstrip('/')}/{row['path'].rsplit('/', 1)[1]}"
+                try:
+                    with open_random(path) as source:
+                        source.seek(row["start"])
+                        with gzip.GzipFile(fileobj=source, mode="rb") as stream:
+                            if row["with_header"]:
+                                _read_header(stream)
+                            for records in _chunks(stream, row["rows"], chunk):
+                                yield _to_batch(records, row["timestamp"])
+                except (BlobFormatError, EOFError, gzip.BadGzipFile, zlib.error) as cause:
+                    raise BlobFormatError(f"{path} at {row['start']}: {cause}") from cause
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = spark.read.schema(LISTING).parquet(f"{root.rstrip('/')}/_listing")
+    # a number of partitions of its own: the few bytes of a listing would be put into one
+    return members.repartition(parts, "path", "start").mapInArrow(decode, schemas.STATE)

@@ -156,3 +156,23 @@ def test_words(spark, tmp_path):
     put(tmp_path, "short", b"x" * 100)
     with pytest.raises(Exception, match="131072"):
         words.read_words(spark, str(tmp_path)).collect()
+
+
+def test_members(spark, tmp_path):
+    state = generator.generate_state(spark, 1000, 3, keyspace=100)
+    where = str(tmp_path / "m")
+    listing = blob.write_blobs(state, where, rows_per_file=700, rows_per_member=64)
+    assert listing.agg(F.sum("rows")).first()[0] == 3000 and listing.count() == blob.blob_report(spark, where).count()
+    members = spark.read.parquet(f"{where}/_listing")
+    assert members.count() > 40 and members.filter("with_header").count() == listing.count()
+    rows = sorted(map(tuple, blob.read_members(spark, where, chunk=50).collect()))
+    assert rows == sorted(map(tuple, state.collect())) == sorted(map(tuple, blob.read_blobs(spark, where).collect()))
+    tasks = blob.read_members(spark, where).select(F.spark_partition_id()).distinct().count()
+    assert tasks > listing.count() or tasks >= 6
+    moved = tmp_path / "elsewhere"
+    (tmp_path / "m").rename(moved)
+    assert blob.read_members(spark, str(moved)).count() == 3000
+    name = sorted(p for p in moved.iterdir() if p.name.endswith(".gz"))[0]
+    name.write_bytes(name.read_bytes()[:-40])
+    with pytest.raises(PythonException, match=name.name):
+        blob.read_members(spark, str(moved)).count()
