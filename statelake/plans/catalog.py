@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from statelake.functions import absolute_path, file_name
 from statelake.operators.sizing import lookup_join
+from statelake.sinks.tables import write_json_lines
 from statelake.sources.files import list_files, manifest_text, write_text
 
 # fixed values: kinds of a catalogue, and the extensions of the arrow kind
@@ -98,6 +99,66 @@ def write_manifest(catalog: DataFrame, segments: DataFrame | None, path: str, ba
     write_text(catalog.sparkSession, path, text())
 
 
+# one row per entry: of a path (kind, ord, path), of a segment (kind "segments"), or the base (kind "base")
+ENTRIES = "kind string, ord long, file string, path string, url string"
+
+
+def numbered(entries: DataFrame, order: Sequence[str], scratch: str) -> DataFrame:
+    """`entries` with a dense `number` from 0 by kind in the given order.
+
+    They are sorted into ranges and stored below `scratch`; a range counts its entries of a kind, and what lies in front of
+    it is added to the places inside it. So no kind passes one task.
+    """
+    spark = entries.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = ["kind", *order]
+    entries.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()).write.parquet(scratch)
+    ranged = spark.read.parquet(scratch)
+    counts = ranged.groupBy("kind", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("kind", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("kind", "_part").orderBy(*order)
+    # a row per kind and range
+    placed_at = ranged.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(before), ["kind", "_part"])
+    return placed_at.withColumn("number", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def write_entries(catalog: DataFrame, segments: DataFrame | None, root: str, base: str | None = None) -> None:
+    """A manifest of any size as JSON lines, one per entry, below root/entries; tasks write them where they are.
+
+    `write_manifest` makes the one JSON file of the format of it, for catalogues that fit one.
+    """
+    spark, text = catalog.sparkSession, T.StringType()
+    rows = placed(catalog).filter(F.col("kind").isin(*KINDS) & F.col("path").isNotNull()).select(
+        "kind", F.lit(0).alias("side"), "ord", F.lit(None).cast(text).alias("file"), "path", F.lit(None).cast(text).alias("url")
+    )
+    if segments is not None:
+        side = F.col("side") if "side" in segments.columns else F.lit(0)
+        rows = rows.unionByName(segments.select(
+            F.lit("segments").alias("kind"), side.cast("int").alias("side"), "ord",
+            *[F.col(c) if c in segments.columns else F.lit(None).cast(text).alias(c) for c in ("file", "path", "url")],
+        ))
+    dense = numbered(rows, ["side", "ord", "path", "file", "url"], f"{root}/ranges").select(
+        "kind", F.col("number").alias("ord"), "file", "path", "url"
+    )
+    own = spark.createDataFrame([("base", 0, None, base, None)], ENTRIES)
+    write_json_lines(dense.unionAll(own), f"{root}/entries")
+
+
+def read_entries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What `write_entries` wrote, as catalogue (kind, path, ord) and segments (file, path, url, ord)."""
+    rows = spark.read.schema(ENTRIES).json(f"{root}/entries")
+    return (
+        rows.filter(F.col("kind").isin(*KINDS)).select("kind", "path", "ord"),
+        rows.filter("kind = 'segments'").select("file", "path", "url", "ord"),
+    )
+
+
+def entries_base(spark: SparkSession, root: str) -> str | None:
+    """The base that a manifest in entries names."""
+    return spark.read.schema(ENTRIES).json(f"{root}/entries").filter("kind = 'base'").first()["path"]
+
+
 def write_table_catalog(catalog: DataFrame, path: str) -> None:
     """The JSON catalogue {table: [file, ...]} of the rows of a table catalogue."""
     def text() -> Iterator[str]:

@@ -805,12 +805,12 @@ def catalog_build(spark, root):
 
 @query
 def manifest_write_read(spark, root):
-    """A merged catalogue and its segments written as one manifest and read back."""
-    where = f"{scratch_path(spark, 'manifest')}/manifest.json"
+    """A merged catalogue and its segments written as entries of a manifest and read back."""
+    where = scratch_path(spark, "manifest")
     catalog = cat.merge_catalogs(*_two_catalogs(spark, root))
-    cat.write_manifest(catalog, cat.merge_segments(*_two_segments(spark, root)), where, base="https://lake.example/data")
-    paths, segments = cat.read_manifest(spark, where)
-    base = F.lit(cat.manifest_base(spark, where))
+    cat.write_entries(catalog, cat.merge_segments(*_two_segments(spark, root)), where, base="https://lake.example/data")
+    paths, segments = cat.read_entries(spark, where)
+    base = F.lit(cat.entries_base(spark, where))
     named = F.coalesce(*[F.concat(F.lit(c + ":"), c) for c in ("file", "path", "url")])
     return paths.select("kind", "path", "ord", base.alias("base")).unionAll(
         segments.select(F.lit("segments").alias("kind"), named.alias("path"), "ord", base.alias("base"))

@@ -201,3 +201,17 @@ def test_sql(spark):
             q.run_sql(spark, text, None)
     q.run_sql(spark, "create or replace temp view v as select 1 as one", None)
     assert q.run_sql(spark, "with x as (select * from v) select one from x", None).rows == [[1]]
+
+
+def test_entries_are_dense_in_order(spark, tmp_path):
+    rows = [("arrow", f"p{i}", (i * 37) % 1000) for i in range(500)] + [("urls", "u", 5), ("other", "x", 1), ("files", None, 2)]
+    shuffled = spark.createDataFrame(rows, schemas.CATALOG).repartition(5)
+    some = spark.createDataFrame([(None, "b", None, 2), ("f", None, None, 1), (None, None, "u", 9)], schemas.SEGMENTS)
+    cat.write_entries(shuffled, some, str(tmp_path / "m"), base=None)
+    paths, segments = cat.read_entries(spark, str(tmp_path / "m"))
+    wanted = [(k, p, n) for n, (k, p, _) in enumerate(sorted((r for r in rows if r[0] == "arrow"), key=lambda r: (r[2], r[1])))]
+    assert sorted(map(tuple, paths.collect()), key=lambda r: (r[0], r[2])) == [*wanted, ("urls", "u", 0)]
+    assert [tuple(r) for r in segments.orderBy("ord").collect()] == [("f", None, None, 0), (None, "b", None, 1), (None, None, "u", 2)]
+    assert cat.entries_base(spark, str(tmp_path / "m")) is None
+    cat.write_entries(shuffled.limit(0), None, str(tmp_path / "n"), base="https://x")
+    assert cat.read_entries(spark, str(tmp_path / "n"))[0].count() == 0 and cat.entries_base(spark, str(tmp_path / "n")) == "https://x"
