@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statelake.plans.registry import PASSTHROUGH
+from statelake.plans.registry import CURVE_BOUNDS, PASSTHROUGH
 
 EVENTS = """(
 SELECT CASE WHEN event_type = 'purchase' THEN 'tx' ELSE 'state_diff' END AS type,
@@ -117,6 +117,10 @@ UNION ALL SELECT 'recent', count(*) FROM {EVENTS} WHERE blob_index > {_edge(4)}"
     "delta_versions_orders": _lww(ORDERS),
     "snapshot_version_read": _lww(ORDERS, "blob_index <= 30"),
     "blob_decode_roundtrip": f"SELECT {COLUMNS} FROM {EVENTS}",
+    "curve_layout_read": " UNION ALL ".join(
+        "SELECT '" + bound.replace("'", "''") + f"' AS bound, count(*) AS rows, max(key) AS key FROM {ORDERS} WHERE {bound} HAVING count(*) > 0"
+        for bound in CURVE_BOUNDS
+    ),
     "blob_members_read": f"SELECT {COLUMNS} FROM {EVENTS}",
     "blob_files_by_name": f"""
 SELECT blob_index, count(*) AS rows, max(position) AS last FROM {EVENTS}

@@ -19,6 +19,7 @@ from statelake.session import scratch_path
 from statelake.sinks import tables as out
 from statelake.sinks.diff_store import DiffStore
 from statelake.sinks.history import HistoryStore
+from statelake.sinks.layout import write_along_curve
 from statelake.sinks.snapshots import SnapshotStore
 from statelake.sources import arrow_ipc, blob, blob_items as bi, decoded_json as dj, formats, generator, words
 from statelake.sources.files import replacing
@@ -417,6 +418,19 @@ def partitioned_pruned_read(spark, root):
     return render_binary(lake.filter("date >= 9140 and topic = 'state_diff'"))
 
 
+CURVE_BOUNDS = ("blob_index between 10 and 12", "key < '0x08'", "position between 100 and 160")
+
+
+@query
+def curve_layout_read(spark, root):
+    """Orders laid out along a curve over blob, customer key and position, read with a bound on each."""
+    where = scratch_path(spark, "curve")
+    write_along_curve(X.state_orders(spark, root), where, ["blob_index", "key", "position"])
+    lake = spark.read.parquet(where)
+    parts = [lake.filter(b).groupBy(F.lit(b).alias("bound")).agg(F.count(F.lit(1)).alias("rows"), F.max("key").alias("key")) for b in CURVE_BOUNDS]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @query
 def state_union(spark, root):
     """Parquet files, Arrow files and a DataFrame as one state table."""
