@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statelake.llm.fitting import Logistic, labelled_sample
 
-#: Bounds of the sample: texts per label for the dictionaries and for the calibration; the texts for the dictionaries are
-#: cut into pieces over their whole length, and so many pieces per label are trained on, drawn by a hash.
+#: Bounds of the sample: texts per label for the dictionaries and for the calibration; a text for the dictionaries is cut
+#: into pieces over its whole length, of which so many, drawn by a hash, are trained on; few, so that no text outweighs others.
 DICTIONARY_TEXTS, CALIBRATION_TEXTS = 1000, 2000
-PIECE_BYTES, DICTIONARY_PIECES = 4096, 3000
+PIECE_BYTES, PIECES = 4096, 2
 DICTIONARY_BYTES, LEVEL = 112 << 10, 3
 
 
@@ -85,18 +85,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     )
     sample = sample.persist()
     try:
-        raw = F.col("text").cast("binary")
         cuts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE_BYTES).cast("int"))
-        pieces = sample.filter("role = 'dictionary' and text <> ''").select("id", "label", raw.alias("raw"), F.explode(cuts).alias("k")).select(
-            "id", "label", "k", F.expr(f"substring(raw, k * {PIECE_BYTES} + 1, {PIECE_BYTES})").alias("piece")
-        )
-        drawn = F.xxhash64(F.lit(13), "id", "k")
-        good, bad = (
-            dictionary([bytes(r["piece"]) for r in sorted(
-                pieces.filter(F.col("label") == v).orderBy(drawn, "id", "k").limit(DICTIONARY_PIECES).collect(),
-                key=lambda r: (r["id"], r["k"]),
-            )]) for v in (1, 0)
-        )
+        # of a long text the pieces with the least hash, wherever they stand in it
+        drawn = F.slice(F.array_sort(F.transform(cuts, lambda k: F.struct(F.xxhash64(F.lit(13), "id", k).alias("h"), k.alias("k")))), 1, PIECES)
+        chosen = F.array_sort(F.transform(drawn, lambda p: p["k"]))
+        raw = F.col("text").cast("binary")
+        texts = sample.filter("role = 'dictionary' and text <> ''").select(
+            "id", "label", F.transform(chosen, lambda k: F.substring(raw, k * PIECE_BYTES + 1, F.lit(PIECE_BYTES))).alias("pieces")
+        ).collect()
+        texts.sort(key=lambda r: r["id"])
+        good, bad = (dictionary([b"".join(map(bytes, r["pieces"])) for r in texts if r["label"] == v]) for v in (1, 0))
 
         @F.pandas_udf("array<double>")
         def features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
