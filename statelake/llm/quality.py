@@ -53,6 +53,15 @@ class Sizes:
         return [gain, packed, packed * packed, length, gain * length, gain * packed, (bad - good) / (bad + good + 1)]
 
 
+def drawn_pieces(number: str, text: str) -> Column:
+    """PIECES pieces of PIECE_BYTES of a text that is not empty, those with the least hash wherever they stand, in order."""
+    raw = F.col(text).cast("binary")
+    cuts = F.sequence(F.lit(0), F.floor((F.octet_length(text) - 1) / PIECE_BYTES).cast("int"))
+    ranked = F.array_sort(F.transform(cuts, lambda k: F.struct(F.xxhash64(F.lit(13), number, k).alias("h"), k.alias("k"))))
+    chosen = F.array_sort(F.transform(F.slice(ranked, 1, PIECES), lambda p: p["k"]))
+    return F.transform(chosen, lambda k: F.substring(raw, k * PIECE_BYTES + 1, F.lit(PIECE_BYTES)))
+
+
 class QualityModel:
     """Dictionaries and calibration; `score` is a column expression. Small (two dictionaries), sent to tasks by Spark."""
 
@@ -85,14 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     )
     sample = sample.persist()
     try:
-        cuts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE_BYTES).cast("int"))
-        # of a long text the pieces with the least hash, wherever they stand in it
-        drawn = F.slice(F.array_sort(F.transform(cuts, lambda k: F.struct(F.xxhash64(F.lit(13), "id", k).alias("h"), k.alias("k")))), 1, PIECES)
-        chosen = F.array_sort(F.transform(drawn, lambda p: p["k"]))
-        raw = F.col("text").cast("binary")
-        texts = sample.filter("role = 'dictionary' and text <> ''").select(
-            "id", "label", F.transform(chosen, lambda k: F.substring(raw, k * PIECE_BYTES + 1, F.lit(PIECE_BYTES))).alias("pieces")
-        ).collect()
+        texts = sample.filter("role = 'dictionary' and text <> ''").select("id", "label", drawn_pieces("id", "text").alias("pieces")).collect()
         texts.sort(key=lambda r: r["id"])
         good, bad = (dictionary([b"".join(map(bytes, r["pieces"])) for r in texts if r["label"] == v]) for v in (1, 0))
 

@@ -107,16 +107,13 @@ def test_lexicon_of_its_own_counts(spark):
     assert near == {"mate"}
 
 
-def test_late_parts_of_long_texts_are_learnt(spark):
-    rng = random.Random(4)
-    kinds = {0: ["klick", "jetzt", "gratis", "bonus"], 1: ["meadow", "river", "harvest", "lantern"]}
-    rows = []
-    for i in range(240):
-        label = i % 2
-        head = "".join(rng.choice("abcdefgh ") for _ in range(6_000)) if i < 160 else ""
-        rows.append((i, (head + " " * 11_000 if head else "") + " ".join(rng.choice(kinds[label]) + str(rng.randint(0, 9)) for _ in range(150)), label))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    train, test = docs.filter("doc_id < 160"), docs.filter("doc_id >= 160")
-    model = quality.train(train, train.select("doc_id", "quality"), F.lit(True))
-    for label, held in ((0, model.bad), (1, model.good)):
-        assert any(word.encode() in held for word in kinds[label])
+def test_pieces_come_from_the_whole_length(spark):
+    size = quality.PIECE_BYTES
+    text = "".join(str(k) * size for k in range(9)) + "end"
+    rows = [(i, text) for i in range(200)] + [(200, "short"), (201, "x" * size)]
+    found = {r.id: [bytes(p).decode() for p in r.p] for r in spark.createDataFrame(rows, "id long, text string").select(
+        "id", quality.drawn_pieces("id", "text").alias("p")).collect()}
+    assert found[200] == ["short"] and found[201] == ["x" * size]
+    drawn = [p for i in range(200) for p in found[i]]
+    assert {p[0] for p in drawn} == set("012345678e") and len(drawn) == 200 * quality.PIECES
+    assert all(p == "end" or p == p[0] * size for p in drawn) and all(found[i] == sorted(found[i]) for i in range(200))
