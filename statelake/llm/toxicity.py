@@ -22,12 +22,12 @@ from statelake.llm.fitting import Logistic, labelled_sample
 #: Bounds of the sample by label (texts for the lexicon, for the fit), and of the lexicon.
 LEXICON_TEXTS, FIT_TEXTS = {0: 4000, 1: 3000}, {0: 3000, 1: 2000}
 LEXICON_WORDS, LEXICON_BEGINNINGS, LEAST_ODDS, BEGINNINGS = 600, 400, 1.2, range(4, 10)
-#: Edits allowed in a whole word by its length: below the first bound none, from the second two; words of the length of the
-#: first bound get theirs for a digit or sign in place of a letter only. A word of that length or one more that is one
-#: edit away from a word of this share of the clean texts gets none.
-ONE_EDIT, TWO_EDITS, COMMON = 4, 9, 0.0005
+#: Edits allowed in a whole word by its length: below the first bound none, from the second two. A word of MASKED letters is
+#: also met with a digit or sign in place of a letter. Of both lengths, words that are one edit away from a word of the share
+#: COMMON of the clean texts are met exactly.
+MASKED, ONE_EDIT, TWO_EDITS, COMMON = 4, 5, 9, 0.0005
 #: Words on either side of a hit; tokens and automaton states remembered.
-WINDOW, REMEMBERED, MOST_STATES = 6, 200_000, 20_000
+WINDOW, REMEMBERED, MOST_STATES = 6, 200_000, 100_000
 
 TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!](?=[^\W_]))*")
 #: Words that report or mention speech, and quotation marks that open and close.
@@ -50,14 +50,15 @@ class Lexicon:
         self.begin_at: list[float] = [0.0]
         self.edits_at: list[int] = [0]
         self.own: dict[int, int] = {}
-        self.size: dict[int, int] = {}
+        self.masked: dict[str, float] = {}
         for term, weight in words.items():
             allowed = 0 if term in exact else (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
             for node in self._path(term):
                 self.edits_at[node] = max(self.edits_at[node], allowed)
             self.word_at[node] = weight
             self.own[node] = allowed
-            self.size[node] = len(term)
+            if len(term) == MASKED and term not in exact:
+                self.masked.update({term[:k] + "?" + term[k + 1:]: weight / 2 for k in range(MASKED)})
         for term, weight in beginnings.items():
             *_, node = self._path(term)
             self.begin_at[node] = weight
@@ -69,7 +70,7 @@ class Lexicon:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.results: list[tuple[tuple[float, int], tuple[float, int]]] = []
+        self.results: list[tuple[float, int]] = []
         self.begun: list[float] = []
         self.start = self._state(self._closed({(0, 0)}))
 
@@ -101,14 +102,8 @@ class Lexicon:
             self.states[places] = len(self.members)
             self.members.append(places)
             self.moves.append({})
-            # the best of all ends but those of short words with an edit, and the best with them
-            ends = [
-                (self.word_at[n] / (1 + e), e, e and self.size[n] == ONE_EDIT) for n, e in places if self.word_at[n] and e <= self.own[n]
-            ]
-            rank = lambda x: (-x[1], x[0])
-            self.results.append((
-                max((x[:2] for x in ends if not x[2]), key=rank, default=(0.0, 0)), max((x[:2] for x in ends), key=rank, default=(0.0, 0)),
-            ))
+            ends = [(self.word_at[n] / (1 + e), e) for n, e in places if self.word_at[n] and e <= self.own[n]]
+            self.results.append(max(ends, key=lambda x: (-x[1], x[0]), default=(0.0, 0)))
             self.begun.append(max((self.begin_at[n] for n, e in places if e == 0), default=0.0))
         return self.states[places]
 
@@ -135,7 +130,10 @@ class Lexicon:
             begun = max(begun, self.begun[state])
             if not self.members[state] and not begun:
                 break
-        weight, edits = self.results[state][len(token) == ONE_EDIT and not token.isalpha()]
+        weight, edits = self.results[state]
+        if not weight and len(token) == MASKED and not token.isalpha():
+            weight = max((self.masked.get(token[:k] + "?" + token[k + 1:], 0.0) for k in range(MASKED) if not token[k].isalpha()), default=0.0)
+            edits = 1
         found = (weight, 0) if weight and not edits else (begun, 2) if begun else (weight, 1) if weight else None
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -224,7 +222,7 @@ def learn_lexicon(sample: DataFrame, texts: dict[int, int]) -> Lexicon:
         words = {r["term"][:-1]: r["odds"] for r in own.filter(F.col("term").endswith(" ")).orderBy(*best).limit(LEXICON_WORDS).collect()}
         begins = {r["term"]: r["odds"] for r in own.filter(~F.col("term").endswith(" ")).orderBy(*best).limit(LEXICON_BEGINNINGS).collect()}
         common = counted.filter(F.col("term").endswith(" ") & (F.col("clean") >= max(2, round(COMMON * clean)))).select(bare.alias("word"))
-        exact = _close_to_common([w for w in words if len(w) <= ONE_EDIT + 1], common)
+        exact = _close_to_common([w for w in words if MASKED <= len(w) <= ONE_EDIT], common)
     finally:
         counted.unpersist()
     return Lexicon(words, begins, exact)
