@@ -21,13 +21,13 @@ from statelake.llm.fitting import Logistic, labelled_sample
 
 #: Bounds of the sample by label (texts for the lexicon, for the fit), and of the lexicon.
 LEXICON_TEXTS, FIT_TEXTS = {0: 4000, 1: 3000}, {0: 3000, 1: 2000}
-LEXICON_WORDS, LEXICON_BEGINNINGS, LEAST_ODDS, BEGINNINGS = 600, 400, 1.2, range(4, 10)
+LEXICON_WORDS, LEXICON_BEGINNINGS, LEAST_ODDS, BEGINNINGS = 400, 350, 1.2, range(4, 10)
 #: Edits allowed in a whole word by its length: below the first bound none, from the second two. A word of MASKED letters is
 #: also met with a digit or sign in place of a letter. Of both lengths, words that are one edit away from a word of the share
 #: COMMON of the clean texts are met exactly.
 MASKED, ONE_EDIT, TWO_EDITS, COMMON = 4, 5, 9, 0.0005
 #: Words on either side of a hit; tokens and automaton states remembered.
-WINDOW, REMEMBERED, MOST_STATES = 6, 200_000, 100_000
+WINDOW, REMEMBERED, MOST_STATES = 6, 200_000, 150_000
 
 TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!](?=[^\W_]))*")
 #: Words that report or mention speech, and quotation marks that open and close.
