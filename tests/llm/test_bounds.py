@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from statelake.llm import decontaminate, quality, toxicity
+from statelake.llm import decontaminate, quality
 
 
 def fewest_edits(text, pattern):
@@ -76,37 +76,6 @@ def test_short_items_stand_between_word_ends(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench, with_short=True).collect()} == {2, 4}
 
 
-def test_automaton_forgets(monkeypatch):
-    rng = random.Random(1)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    words = {"".join(rng.choice(letters) for _ in range(rng.randint(4, 11))): 2.0 for _ in range(300)}
-    monkeypatch.setattr(toxicity, "MOST_STATES", 500)
-    lexicon, fresh = toxicity.Lexicon(words, {}), toxicity.Lexicon(words, {})
-    tokens = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(3000)] + list(words)
-    got = [lexicon.match(t) for t in tokens]
-    assert len(lexicon.members) < 600
-    monkeypatch.setattr(toxicity, "MOST_STATES", 10**9)
-    assert got == [fresh.match(t) for t in tokens]
-
-
-def test_words_of_four_letters():
-    lexicon = toxicity.Lexicon({"scum": 3.0, "hate": 2.0}, {}, frozenset({"hate"}))
-    assert lexicon.match("scum") == (3.0, 0) and lexicon.match("sc*m")[1] == 1 and lexicon.match("5cum")[1] == 1
-    assert lexicon.match("skum") is None
-    assert lexicon.match("scums") is None and lexicon.match("sum") is None
-    assert lexicon.match("hate") == (2.0, 0) and lexicon.match("late") is None and lexicon.match("date") is None
-
-
-def test_lexicon_of_its_own_counts(spark):
-    toxic = [(1, f"you scum {w} drivelling idiotic fools") for w in "abcdefghij"]
-    clean = [(0, f"my mate said skim {w} the fine weather") for w in "abcdefghij"]
-    lexicon = toxicity.learn_lexicon(spark.createDataFrame(toxic + clean, "label int, text string"), {0: 10, 1: 10})
-    assert {"scum", "idiotic", "fools"} <= set(lexicon.words) and "scum" not in lexicon.exact
-    assert not lexicon.beginnings  # every beginning is explained by a longer word
-    near = toxicity._close_to_common(["mate", "scum"], spark.createDataFrame([("gate",), ("skim",), ("mat",)], "word string"))
-    assert near == {"mate"}
-
-
 def test_pieces_come_from_the_whole_length(spark):
     size = quality.PIECE_BYTES
     text = "".join(str(k) * size for k in range(9)) + "end"
