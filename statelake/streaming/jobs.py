@@ -5,17 +5,21 @@ No watermark anywhere: a key can change at any time, and a row that comes late l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from statelake.operators.lww import KEYS, ORDER, TIES, lww, lww_max_by
+from statelake.session import SETTINGS
 from statelake.sinks.snapshots import SnapshotStore
 from statelake.sinks.tables import PARTITIONS, with_partition_columns
 from statelake.sources.blob import GLOB, decode_files
 from statelake.sources.files import FILES
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def stream_blobs(spark: SparkSession, path: str, max_files: int = 1000, by_path: bool = False) -> DataFrame:
     """Records of blob files as they arrive.
@@ -53,19 +57,36 @@ def current_values(
     return lww_max_by(state, keys, order, ties)
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB where the session has Spark's default store, on the heap.
+
+    `keyed.changed_values` needs more than that store can do. A stream takes the settings of its session when it starts; one
+    with a checkpoint keeps the store it began with.
+    """
+    found = spark.conf.get(STORE)
+    if found.endswith(".HDFSBackedStateStoreProvider"):
+        spark.conf.set(STORE, SETTINGS[STORE])
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, found)
+
+
 def updates_to(current: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """T2 in update mode into out/batch=<n>/; a repeated batch replaces its own folder."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return (
-        current.writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _state_on_disk(current.sparkSession):
+        return (
+            current.writeStream.outputMode("update")
+            .foreachBatch(save)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def read_updates(spark: SparkSession, out: str, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -185,3 +185,16 @@ def test_keyed_stream_emits_changes_alone(spark, tmp_path, schema):
     assert run(first) == {(r[2], r[3]) for r in first}
     assert run(second) == {("k1", "3"), ("new", "1"), ("s2", "up")}  # a restart from the checkpoint
     assert jobs.read_updates(spark, str(tmp_path / "out")).count() == 9
+
+
+def test_keyed_stream_needs_no_setting_of_the_session(spark, tmp_path, schema):
+    plain = spark.newSession()
+    heap = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"  # Spark's default
+    plain.conf.set(jobs.STORE, heap)
+    start = plain.createDataFrame([("tx", "a", "s", "snap", "t", 3, 3, 8)], TEXT)
+    rows = [("tx", "a", "s", "old", "t", 1, 1, 1), ("tx", "a", "k", "1", "t", 1, 1, 1)]
+    plain.createDataFrame(rows, TEXT).write.parquet(str(tmp_path / "in"))
+    stream = plain.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    jobs.updates_to(keyed.changed_values(stream, start), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    assert [(r["key"], r["value"]) for r in jobs.read_updates(plain, str(tmp_path / "out")).collect()] == [("k", "1")]
+    assert plain.conf.get(jobs.STORE) == heap
