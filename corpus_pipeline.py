@@ -17,9 +17,21 @@ from statelake.llm.queries import rank_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows that go to a Python worker at a time. An executor holds a batch several times, and an idle worker keeps much of what
+#: its largest batch took while the stages without Python run.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows at most for Python, from here on in this session: a stage runs after it has returned."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:  # 0 and less: no bound
+        spark.conf.set(setting, str(BATCH_ROWS))
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good; labels of every fifth id take no part in the training."""
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 5) != 0)
     return docs.filter(model.score(F.col("text")) >= 0.3)
 
@@ -36,16 +48,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and the digests of ids and of the decoded bytes."""
+    small_batches(spark)
     path, pattern = rank_file()
     return bpe.encode_column(docs, path, pattern)
 

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from statelake.llm.oracles import ORACLES
@@ -179,6 +180,23 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs, ROOT).columns == docs.columns
 
 
+@pytest.mark.parametrize("given, most", [("10000", 1000), ("0", 1000), ("300", 300)])
+def test_pipeline_sends_small_batches_to_python(spark, given, most):
+    import corpus_pipeline
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+    docs = session.read.parquet(f"{ROOT}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    corpus_pipeline.encoding_stage(session, docs, ROOT)
+    rows = session.range(0, 2500, numPartitions=1).mapInArrow(sizes, "n long").collect()
+    assert max(r["n"] for r in rows) == most and sum(r["n"] for r in rows) == 2500
+
+
 def test_pipeline_against_plain_python(spark, duck, texts):
     """The whole chain by hand; only the scores of the trained classifier are taken from its own query."""
     import public_tokenizers
