@@ -9,6 +9,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def dealt_out(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in partitions of about `rows` rows, for small rows that become much larger ones."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def state_events(spark: SparkSession, root: str) -> DataFrame:
     """One write per event: key per user, blob per day, four blobs share a timestamp."""
     events = table(spark, root, "events").selectExpr(

@@ -1,6 +1,7 @@
 """Blob files: format, bad files, selection by name, content and path as ways to the bytes."""
 
 import gzip
+import hashlib
 import random
 import struct
 
@@ -10,6 +11,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from statelake import schemas
+from statelake.plans import registry
 from statelake.sources import arrow_ipc, blob, generator, words
 
 
@@ -158,6 +160,48 @@ def test_words(spark, tmp_path):
         words.read_words(spark, str(tmp_path)).collect()
 
 
+def test_words_of_many_blobs_in_little_endian(spark):
+    blobs = {f"b{i}": random.Random(i).randbytes(words.BLOB_BYTES) for i in range(20)}
+    rows = spark.createDataFrame([(p, bytearray(c)) for p, c in blobs.items()], "path string, content binary").coalesce(1)
+    little = words.split_words(rows, "LE").toArrow().to_pylist()
+    assert len(little) == len(blobs) * words.WORDS
+    for row in little:
+        at = 32 * row["position"]
+        assert row["value"] == blobs[row["path"]][at:at + 32][::-1]
+    assert words.split_words(rows.limit(0), "LE").count() == 0
+    bad = spark.createDataFrame([("p", None), ("q", bytearray(words.BLOB_BYTES + 32))], "path string, content binary")
+    with pytest.raises(Exception, match="got 131104: q"):
+        words.split_words(bad.filter("path = 'q'"), "LE").collect()
+    with pytest.raises(Exception):
+        words.split_words(bad.filter("path = 'p'"), "LE").collect()
+
+
+def test_blob_words_spreads_one_file_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "BLOBS_PER_TASK", 5, raising=False)
+    keys = [*range(58), 7, 7]
+
+    def put_suppliers(name, some):
+        rows = spark.createDataFrame([(k,) for k in some], "s_suppkey long").coalesce(1)
+        rows.write.parquet(str(tmp_path / name / "supplier.parquet"))
+
+    put_suppliers("some", keys)
+    hashes = [[hashlib.sha256(f"{k}-{i}".encode()).digest() for k in set(keys)] for i in range(words.WORDS)]
+    expected = {(i, "0x" + max(h).hex(), "0x" + max(x[::-1] for x in h).hex()) for i, h in enumerate(hashes)}
+    spark.sparkContext.setJobGroup("blob_words", "")
+    found = registry.QUERIES["blob_words"](spark, str(tmp_path / "some")).collect()
+    status = spark.sparkContext.statusTracker()
+    stages = {s: status.getStageInfo(s) for j in status.getJobIdsForGroup("blob_words") for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(found) == words.WORDS and {tuple(r) for r in found} == expected
+    tasks = [s.numCompletedTasks for s in stages.values() if s]
+    assert tasks.count(12) == 2, tasks  # 60 blobs, 5 in a task, for each byte order
+    put_suppliers("none", [])
+    assert registry.QUERIES["blob_words"](spark, str(tmp_path / "none")).count() == 0
+    put_suppliers("null", [1, None])
+    with pytest.raises(Exception):
+        registry.QUERIES["blob_words"](spark, str(tmp_path / "null")).collect()
+
+
 def test_members(spark, tmp_path):
     state = generator.generate_state(spark, 1000, 3, keyspace=100)
     where = str(tmp_path / "m")
